@@ -14,6 +14,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urbangraph.llm import media
+
+    return media.digests(media.load(media.store(documents(spark, sf_dir)), tensor=False))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +41,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir, "source")).drop("copies_taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urbangraph.llm import toxicity
+
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,9 +66,11 @@ def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op8_sstable": op8_sstable,
 }
