@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,31 +25,25 @@ SYMBOL = r"[#*$%&|<>]"
 BUCKETS = 1 << 16
 TRUSTED_MOST = 20_000
 #: Mean weight of an n-gram in millionths, at least.
-THRESHOLD = -300_000
+THRESHOLD = -120_000
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
 
-def repeat_words(hashes: Column) -> Column:
-    """Words in 3-word windows that the text has twice or more. Places of equal windows stand side by side once sorted."""
+def windows(hashes: Column) -> Column:
+    """All 3-word windows: hash and place, sorted, so that equal windows stand side by side."""
     n = F.size(hashes)
-    windows = F.when(n < 3, F.array().cast("array<struct<w:bigint,i:int>>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(F.element_at(hashes, i), F.element_at(hashes, i + 1), F.element_at(hashes, i + 2)).alias("w"), i.alias("i")))
-    )
-    return windows
-
-
-def repeated(windows: Column) -> Column:
-    ordered = F.sort_array(windows)
-    m = F.size(windows)
-    places = F.filter(
-        F.transform(
-            ordered,
-            lambda x, j: F.when((F.get(ordered, j - 1)["w"] == x["w"]) | (F.get(ordered, j + 1)["w"] == x["w"]), x["i"]),
-        ),
-        lambda i: i.isNotNull(),
-    )
-    covered = F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))))
-    return F.when(F.size(F.array_distinct(F.transform(windows, lambda x: x["w"]))) == m, F.lit(0)).otherwise(covered).cast("long")
+    at = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(F.element_at(hashes, i), F.element_at(hashes, i + 1), F.element_at(hashes, i + 2)).alias("w"), i.alias("i")))
+    return F.sort_array(F.when(n < 3, F.array().cast("array<struct<w:bigint,i:int>>")).otherwise(at))
+
+
+def repeat_words(ordered: Column) -> Column:
+    """Words in 3-word windows that the text has twice or more, from its sorted windows."""
+
+    def place(x: Column, j: Column) -> Column:
+        return F.when((F.get(ordered, j - 1)["w"] == x["w"]) | (F.get(ordered, j + 1)["w"] == x["w"]), x["i"])
+
+    places = F.filter(F.transform(ordered, place), lambda i: i.isNotNull())
+    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2))))).cast("long")
 
 
 def pairs(hashes: Column) -> Column:
@@ -83,7 +76,7 @@ def weights(df: DataFrame, labels: DataFrame, trusted_most: int = TRUSTED_MOST)
 
 def score(df: DataFrame, model: list[int], threshold: int = THRESHOLD) -> DataFrame:
     """The counts of the base rules, score (mean weight in millionths), base_failed and kept, by document."""
-    table = F.lit(np.array(model, np.int32))
+    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")
 
     def add(grams: Column) -> Column:
         return F.aggregate(grams, F.lit(0).cast("long"), lambda a, h: a + F.get(table, bucket(h)).cast("long"))
@@ -96,7 +89,7 @@ def score(df: DataFrame, model: list[int], threshold: int = THRESHOLD) -> DataFr
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         lines.alias("lines"),
-        repeat_words(F.col("hashes")).alias("windows"),
+        windows(F.col("hashes")).alias("windows"),
     )
     grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     docs = docs.select(
@@ -105,7 +98,7 @@ def score(df: DataFrame, model: list[int], threshold: int = THRESHOLD) -> DataFr
         "word_chars",
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated(F.col("windows")).alias("n_repeat_words"),
+        repeat_words(F.col("windows")).alias("n_repeat_words"),
         F.floor((add(F.col("hashes")) + add(pairs(F.col("hashes")))) / grams).cast("long").alias("score"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
