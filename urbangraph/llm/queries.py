@@ -56,6 +56,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urbangraph.llm import jaccard
+
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op7_jaccard": op7_jaccard,
     "op8_sstable": op8_sstable,
 }
 
