@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are taken together up to so many bytes, so that temporary arrays stay in the CPU's cache.
 PIECE = 1 << 19
@@ -25,13 +25,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df, name: str):
+def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read from there: no executor's loss makes them be computed again."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between the JVM and Python: texts may be long, and batches of a number of rows large.
+BATCH_BYTES = 4 << 20
+
+
+def as_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in batches whose texts have about `limit` bytes; a longer text comes alone."""
     for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbangraph.llm.arrays import pieces, texts
+from urbangraph.llm.arrays import as_arrow, pieces, texts
 from urbangraph.llm.pretokens import Memory
 
 #: Above every rank.
@@ -231,7 +231,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], [*keep, "ids"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, F.col(text).alias("text")).mapInArrow(run, f"{schema}, ids array<int>")
+    return as_arrow(df.select(*keep, F.col(text).alias("text")), run, f"{schema}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -246,7 +246,7 @@ def decode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> Dat
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), part.column("ids"), pa.array(out, pa.binary())], [*keep, "ids", "decoded"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.mapInArrow(run, f"{schema}, ids array<int>, decoded binary")
+    return as_arrow(df, run, f"{schema}, ids array<int>, decoded binary")
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbangraph.llm.arrays import LOWER, PLACES, mix, pieces, saved, utf8, word_hashes, words
+from urbangraph.llm.arrays import LOWER, PLACES, as_arrow, mix, pieces, saved, utf8, word_hashes, words
 
 #: Each size band ends where this times its start is reached.
 BAND = 1.25
@@ -202,7 +202,7 @@ def describe(df: DataFrame, k: int, percent: int) -> tuple[DataFrame, dict[int,
             lists = pa.array([[{"band": x, "plan": y} for x, y in failed]] + [[]] * (batch.num_rows - 1), pa.list_(pa.struct([("band", pa.int32()), ("plan", pa.int32())])))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "a": pa.array(a), "n_shingles": pa.array(np.diff(first).astype(np.int64)), "failed": lists})
 
-    found = saved(df.mapInArrow(run, SETS + ", failed array<struct<band:int,plan:int>>"), "sets")
+    found = saved(as_arrow(df, run, SETS + ", failed array<struct<band:int,plan:int>>"), "sets")
     failed = {(r["band"], r["plan"]) for r in found.select(F.explode("failed").alias("x")).select("x.band", "x.plan").distinct().collect()}  # bands times plans at most
     chosen = {}
     for band in range(len(band_starts()) - 1):
@@ -228,7 +228,7 @@ def entries(df: DataFrame, k: int, percent: int, chosen: dict[int, int]) -> Data
             keys, owner = signatures(mine, np.searchsorted(doc, np.arange(len(some) + 1)), percent, chosen)
             yield pa.RecordBatch.from_pydict({"signature": pa.array(keys.view(np.int64)), "a": pa.array(a[some][owner])})
 
-    return df.select("text").mapInArrow(run, "signature long, a long")
+    return as_arrow(df.select("text"), run, "signature long, a long")
 
 
 def led(index: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def led(index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"signature": key[shared], "a": a[shared], "leader": lead[shared]})
 
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return index.repartition(parts, "signature").sortWithinPartitions("signature", "a").mapInArrow(run, "signature long, a long, leader long")
+    return as_arrow(index.repartition(parts, "signature").sortWithinPartitions("signature", "a"), run, "signature long, a long, leader long")
 
 
 def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -296,7 +296,7 @@ def verified(df: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
             if len(some):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a[some]), "text": batch.column("text").take(pa.array(some))})
 
-    chosen = df.select("text").mapInArrow(pick, "a long, text string").groupBy("a").agg(F.min("text").alias("text"))
+    chosen = as_arrow(df.select("text"), pick, "a long, text string").groupBy("a").agg(F.min("text").alias("text"))
     chosen = saved(chosen.join(pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct(), "a", "left_semi"), "candidates")
 
     def test(batches):
@@ -311,7 +311,7 @@ def verified(df: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
                 yield batch.select(["x", "y"]).filter(pa.array(keep))
 
     joined = pairs.join(chosen.withColumnRenamed("a", "x").withColumnRenamed("text", "text_x"), "x").join(chosen.withColumnRenamed("a", "y").withColumnRenamed("text", "text_y"), "y")
-    return saved(joined.select("x", "y", "text_x", "text_y").mapInArrow(test, "x long, y long"), "links")
+    return saved(as_arrow(joined.select("x", "y", "text_x", "text_y"), test, "x long, y long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

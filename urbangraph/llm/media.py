@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbangraph.llm import jpeg
-from urbangraph.llm.arrays import pieces
+from urbangraph.llm.arrays import as_arrow, pieces
 
 UNIT = 192
 
@@ -35,7 +35,7 @@ def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
             raw = [(x or "").encode() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(map(len, raw), pa.int64()), pa.array([jpeg.encode(padded(x)) for x in raw], pa.binary())], [*keep, "n_bytes", "media"])
 
-    return df.select(*keep, F.col(text).alias("text")).mapInArrow(run, types(df, keep) + "n_bytes long, media binary")
+    return as_arrow(df.select(*keep, F.col(text).alias("text")), run, types(df, keep) + "n_bytes long, media binary")
 
 
 def feature(rgb) -> str:
@@ -55,7 +55,7 @@ def load(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), tensor: b
             columns |= {"payload": pa.array([x.payload() for x in images], pa.binary()), "height": pa.array([x.height for x in images], pa.int32()), "width": pa.array([x.width for x in images], pa.int32()), "feature": pa.array(map(feature, shown), pa.string())}
             yield pa.RecordBatch.from_pydict(columns | ({"tensor": pa.array([x.tobytes() for x in shown], pa.binary())} if tensor else {}))
 
-    return df.select(*keep, "media").mapInArrow(run, types(df, keep) + "media binary, payload binary, height int, width int, feature string" + ", tensor binary" * tensor)
+    return as_arrow(df.select(*keep, "media"), run, types(df, keep) + "media binary, payload binary, height int, width int, feature string" + ", tensor binary" * tensor)
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def split(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Memory:
     """Token ids by piece. Forgets everything before it would hold more than `most` pieces."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 200_000):
         self.encode, self.most, self.bits = encode, most, max(4, (2 * most).bit_length())
         self.clear()
 

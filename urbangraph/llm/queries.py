@@ -71,6 +71,12 @@ def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digests(sstable.read(files))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urbangraph.llm import suffix
+
+    return suffix.dedup(documents(spark, sf_dir), keep_text=False)
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
@@ -80,6 +86,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_jaccard": op7_jaccard,
     "op8_sstable": op8_sstable,
+    "op9_suffix": op9_suffix,
 }
 
 #: Weight classes of sources, offsets from digests and the order within buckets are those of mixing.py.

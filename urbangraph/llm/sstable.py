@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urbangraph.llm.arrays import pieces, saved, scratch, texts
+from urbangraph.llm.arrays import as_arrow, pieces, saved, scratch, texts
 from urbangraph.llm.token_counts import library
 
 MAGIC = b"ugsst\x00\x00\x01"
@@ -191,7 +191,7 @@ def write(df: DataFrame, path: str, folder: str | None = None, end: int = 2, sha
             fs.move(temporary, f"{top}/{name}")
             yield pa.RecordBatch.from_pydict({"shard": pa.array([int(name[6:12])], pa.int64()), "file": [f"{folder.rstrip('/')}/{name}"], "entries": pa.array([writer.entries], pa.int64()), "ids": pa.array([writer.ids], pa.int64())})
 
-    return saved(ordered.mapInArrow(run, "shard long, file string, entries long, ids long"), "sstable-files")
+    return saved(as_arrow(ordered, run, "shard long, file string, entries long, ids long"), "sstable-files")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def read(files: DataFrame) -> DataFrame:
 
     located = files.withColumn("start", before)
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return located.repartition(parts, "shard").mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return as_arrow(located.repartition(parts, "shard"), run, "doc_id long, start long, ids array<int>")
 
 
 def digests(df: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def digests(df: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "start": batch.column("start"), "n_tokens": pa.array(np.diff(at).astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return df.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return as_arrow(df, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(files: list[str], doc_id: int | None) -> list[np.ndarray]:

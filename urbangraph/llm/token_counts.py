@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbangraph.llm.arrays import pieces, scratch, texts
+from urbangraph.llm.arrays import as_arrow, pieces, scratch, texts
 from urbangraph.llm.pretokens import Memory
 
 STORED = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -88,5 +88,5 @@ def token_counts(df: DataFrame, path: str, cache: str | None = None, keep: tuple
             counts = library(path).counts(texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array([version] * batch.num_rows, pa.string()), pa.array(counts, pa.int64())], ["content_digest", "tokenizer_digest", "n_tokens"])
 
-    misses.mapInArrow(run, STORED).write.mode("append").parquet(cache)
+    as_arrow(misses, run, STORED).write.mode("append").parquet(cache)
     return docs.select(*keep, F.octet_length("text").cast("long").alias("n_bytes"), "content_digest").join(stored(spark, cache, version), "content_digest").select(*keep, "n_bytes", "n_tokens")

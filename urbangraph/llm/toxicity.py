@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbangraph.llm.arrays import LOWER, pieces, utf8, word_hashes, words
+from urbangraph.llm.arrays import LOWER, as_arrow, pieces, utf8, word_hashes, words
 
 WINDOW, STRIDE = 48, 32
 BUCKETS, WIDE, HIDDEN = 1 << 15, 8, 8
@@ -272,7 +272,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(model, *utf8(batch.column(text))))], [*batch.schema.names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, score double")
+    return as_arrow(df, run, f"{schema}, score double")
 
 
 def toxicity(df: DataFrame, labels: DataFrame) -> DataFrame:
