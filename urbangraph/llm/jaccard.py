@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbangraph.llm.arrays import LOWER, PLACES, as_arrow, mix, pieces, saved, utf8, word_hashes, words
@@ -358,3 +358,23 @@ def join(df: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     named = described.join(labels, "a", "left").withColumn("label", F.coalesce("label", "a"))
     least = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def distinct(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """The rows of df without near duplicates: of each component the row of the least doc_id stays (a null counts as greatest,
+    of equal rows one stays); rows without words all stay."""
+    docs = df.select("doc_id", F.col(text).alias("text"))
+    described, labels = link_sets(docs, k, percent)
+    named = described.where("n_shingles > 0").join(labels, "a", "left").groupBy(F.coalesce("label", "a").alias("label"))
+    kept = named.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a")).alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.a").alias("__a"))
+
+    def run(batches):
+        for batch in pieces(batches, text):
+            shingles, first = sets(batch.column(text), k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(np.diff(first) > 0, digests(shingles, first), 0))], [*batch.schema.names, "__set"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    known = as_arrow(df, run, f"{schema}, __set long")
+    found = known.where("__set <> 0").join(kept, known["doc_id"].eqNullSafe(kept["__id"]) & (known["__set"] == kept["__a"]), "left_semi")
+    one = F.row_number().over(Window.partitionBy("doc_id", "__set").orderBy(F.lit(1)))  # equal rows only
+    return found.withColumn("__one", one).where("__one = 1").select(*df.columns).union(known.where("__set = 0").select(*df.columns))

@@ -73,7 +73,7 @@ def numbered(sizes: DataFrame, by_source: DataFrame, buckets: int = BUCKETS) ->
     counts = docs.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col("source").alias("of"), F.col("bucket").alias("in"), before.alias("before"))
-    docs = docs.withColumn("row", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("size", F.col("doc_id").asc_nulls_last())))
+    docs = docs.withColumn("row", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("size", F.col("doc_id").asc_nulls_last(), "tie")))
     if counts.count() <= MOST_SENT:
         counts = F.broadcast(counts)
     return docs.join(counts, docs["source"].eqNullSafe(counts["of"]) & (docs["bucket"] == counts["in"])).withColumn("k", F.col("before") + F.col("row"))
@@ -87,6 +87,22 @@ def crossed(seed: int) -> Column:
 
 def mix(df: DataFrame, seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, source_size, target, taken (words of its copies), copies_taken."""
-    sizes = saved(df.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")  # texts are counted once
-    docs = numbered(sizes, targets(sizes), buckets).withColumn("copies_taken", crossed(seed))
+    docs = taken(df, seed, buckets)
     return docs.select("doc_id", "size", "source_size", "target", (F.col("copies_taken") * F.col("size")).alias("taken"), "copies_taken")
+
+
+def taken(df: DataFrame, seed: int, buckets: int) -> DataFrame:
+    sizes = saved(df.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "sizes")  # texts are counted once
+    return numbered(sizes, targets(sizes), buckets).withColumn("copies_taken", crossed(seed))
+
+
+def mixed(df: DataFrame, seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of df, each as often as it is taken."""
+    key = ["__id", "__source", "__tie", "__again"]
+    again = F.row_number().over(Window.partitionBy(*key[:3]).orderBy(F.lit(1)))  # repeated rows only
+    copies = taken(df, seed, buckets).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), F.col("copies_taken").alias("__copies")).withColumn("__again", again)
+    docs = df.withColumns({"__id": F.col("doc_id"), "__source": F.col("source"), "__tie": F.xxhash64("text")}).withColumn("__again", again).alias("d")
+    c = copies.where("__copies > 0").alias("c")
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key]
+    rows = docs.join(c, same[0] & same[1] & same[2] & same[3])
+    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*(F.col(f"d.`{n}`") for n in df.columns))

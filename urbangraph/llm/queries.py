@@ -77,6 +77,18 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(documents(spark, sf_dir), keep_text=False)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urbangraph.llm import pii
+
+    return pii.spans(documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
@@ -87,6 +99,8 @@ QUERIES = {
     "op7_jaccard": op7_jaccard,
     "op8_sstable": op8_sstable,
     "op9_suffix": op9_suffix,
+    "op10_pii": op10_pii,
+    "pipeline": pipeline,
 }
 
 #: Weight classes of sources, offsets from digests and the order within buckets are those of mixing.py.
