@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are taken together up to so many bytes, so that temporary arrays stay in the CPU's cache.
 PIECE = 1 << 19
@@ -32,6 +33,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be sent to all executors: some megabytes.
+MOST_SENT = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A saved table of numbers, marked to be sent to all executors if it has at most MOST_SENT rows; larger ones are shuffled."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
 #: Bytes of an Arrow batch between the JVM and Python: texts may be long, and batches of a number of rows large.
 BATCH_BYTES = 4 << 20
 

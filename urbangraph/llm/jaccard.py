@@ -8,11 +8,17 @@ Pigeonhole. In a band whose sets can differ in at most H shingles, shingles are
 have at least m - H equal segments, and if one of them has e empty ones, at least m - H - e equal filled ones. `plain`
 plans index a hash of each segment's subset. `near` plans use fewer segments and also index each subset without one of
 its shingles: segments then differ only by two shingles or more, so at most H / 2 differ. The last plan indexes every
-shingle alone. A near plan also fails where a segment is empty in one set and has one shingle in the other. For each band a first pass finds which plans hold for every set (no set has so many empty segments that
-the bound fails), and the cheapest by index entries is taken.
+shingle alone. A near plan also fails where a segment is empty in one set and has one shingle in the other. A first pass
+finds for each set how many signatures more than one it must share with any partner by each plan, its slack; of the plans
+that leave no set of a band a negative slack, the cheapest by index entries is taken.
 
-Candidates. Entries are dealt and sorted by signature; in a stream each signature's first set is its leader. Each set is verified
-against the leader that it shares most signatures with; connected sets need no more tests. Then all pairs of sets that share
+Cost. As linked sets share more signatures than the slack of either, each set gives up as many of those that it shares with others
+as its slack allows, the most frequent first, in one order for all: of a pair's common signatures the least frequent one stays
+with both. So common passages, whose signatures are frequent, don't make candidates, and no link is lost.
+
+Candidates. Entries are dealt and sorted by signature, so that a stream finds those that several sets share. A signature's
+leader is the set that shares most signatures with others. Each set is verified against the leader that it shares most
+signatures with; connected sets need no more tests. Then all pairs of sets that share
 a signature and lie in different components are verified, so no link between components is lost, while a group of thousands
 of near copies costs a test a member. Verification counts common shingles exactly, on the whole texts.
 
@@ -26,12 +32,11 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urbangraph.llm.arrays import LOWER, PLACES, as_arrow, mix, pieces, saved, utf8, word_hashes, words
+from urbangraph.llm.arrays import LOWER, PLACES, as_arrow, mix, pieces, saved, small, utf8, word_hashes, words
 
 #: Each size band ends where this times its start is reached.
 BAND = 1.25
@@ -137,19 +142,44 @@ def spread(shingles: np.ndarray, first: np.ndarray, some: np.ndarray) -> tuple[n
     return shingles[np.arange(int(n.sum())) + np.repeat(first[some] - (np.cumsum(n) - n), n)], doc
 
 
-def failing(shingles: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """(band, plan) that don't hold for some of these sets."""
-    out = set()
-    for some, band in bands(np.diff(first), percent):
+def most_different(n: np.ndarray, band: np.ndarray, percent: int) -> np.ndarray:
+    """Most shingles in which a set of n differs from a linked one, neither larger than the band."""
+    partner = np.minimum(n * 100 // percent, band_starts()[band + 1] - 1)
+    return np.maximum(*(np.where(both > 0, both - 2 * -(-both * percent // (100 + percent)), 0) for both in (n + partner, n + partner - 1)))
+
+
+def slacks(shingles: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, band * 8 + plan, slack) of all sets, bands and plans, as two arrays: the set, and the others as columns."""
+    owner, rows = [], []
+    sizes = np.diff(first)
+    for some, band in bands(sizes, percent):
         some, band = some[band >= 0], band[band >= 0]
+        if not len(some):
+            continue
         mine, doc = spread(shingles, first, some)
-        deepest = max((len(plans(b, percent)) for b in set(band.tolist())), default=0)
-        for p in range(deepest - 1):
-            table = {b: plans(b, percent)[p] for b in set(band.tolist()) if p < len(plans(b, percent)) - 1}
-            m = np.array([table[b][1] if b in table else 1 for b in band.tolist()])
-            room = np.array([table[b][2] if b in table else 1 for b in band.tolist()])
-            out |= {(int(b), p) for b in band[m - filled(mine, doc, len(some), m) > room]}
-    return sorted(out)
+        n, different = sizes[some], most_different(sizes[some], band, percent)
+        options = {b: plans(b, percent) for b in set(band.tolist())}
+        for p in range(max(map(len, options.values()))):
+            pick = np.flatnonzero(np.array([p < len(options[b]) for b in band.tolist()]))
+            plan = [options[b][p] for b in band[pick].tolist()]
+            m = np.ones(len(some), np.int64)
+            m[pick] = [max(x[1], 1) for x in plan]
+            empty = (m - filled(mine, doc, len(some), m))[pick]
+            kind = np.array([x[0] for x in plan])
+            room = np.array([x[2] for x in plan])
+            slack = np.where(kind == "plain", m[pick] - different[pick] - 1 - empty, np.where(kind == "near", np.minimum(room - empty, 0), -(-n[pick] * percent // 100) - 1))
+            owner.append(some[pick])
+            rows.append(np.stack([band[pick] * 8 + p, slack]))
+    if not owner:
+        return np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
+    owner, rows = np.concatenate(owner), np.concatenate(rows, 1)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], rows[:, order]
+
+
+def tagged(h: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """A signature tells its band by its last 8 bits."""
+    return h >> np.uint64(8) << np.uint64(8) | band
 
 
 def signatures(shingles: np.ndarray, first: np.ndarray, percent: int, chosen: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,9 +194,9 @@ def signatures(shingles: np.ndarray, first: np.ndarray, percent: int, chosen: di
             if not len(pick):
                 continue
             mine, doc = spread(shingles, first, some[pick])
-            salt = mix(band[pick].astype(np.uint64) + PLACES[210])
+            salt, tag = mix(band[pick].astype(np.uint64) + PLACES[210]), band[pick].astype(np.uint64)
             if this == "single":
-                keys.append(mix(mine + salt[doc]))
+                keys.append(tagged(mix(mine + salt[doc]), tag[doc]))
                 owner.append(some[pick][doc])
                 continue
             seg = segment_of(mine, np.array([plan[i][1] for i in pick.tolist()])[doc])
@@ -178,13 +208,13 @@ def signatures(shingles: np.ndarray, first: np.ndarray, percent: int, chosen: di
             own = mix(mine ^ PLACES[211])
             total = np.add.reduceat(own, at)
             base = mix(seg[at] + np.uint64(1)) + salt[doc[at]]
-            keys.append(mix(total + base))
+            keys.append(tagged(mix(total + base), tag[doc[at]]))
             owner.append(some[pick][doc[at]])
             if this == "near":
                 of = np.cumsum(new) - 1
                 size = np.diff(at, append=len(seg))
                 less = np.flatnonzero(size[of] > 1)
-                keys.append(mix((total[of] - own + base[of])[less]))
+                keys.append(tagged(mix((total[of] - own + base[of])[less]), tag[doc[less]]))
                 owner.append(some[pick][doc[less]])
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -192,23 +222,21 @@ def signatures(shingles: np.ndarray, first: np.ndarray, percent: int, chosen: di
 
 
 def describe(df: DataFrame, k: int, percent: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, a: digest, n_shingles; the plan of each band)."""
+    """(doc_id, a: digest, n_shingles, slacks; the plan of each band)."""
 
     def run(batches):
         for batch in pieces(batches):
             shingles, first = sets(batch.column("text"), k)
-            a = digests(shingles, first)
-            failed = failing(shingles, first, percent)
-            lists = pa.array([[{"band": x, "plan": y} for x, y in failed]] + [[]] * (batch.num_rows - 1), pa.list_(pa.struct([("band", pa.int32()), ("plan", pa.int32())])))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "a": pa.array(a), "n_shingles": pa.array(np.diff(first).astype(np.int64)), "failed": lists})
+            owner, rows = slacks(shingles, first, percent)
+            at = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(rows[0].astype(np.int32)), pa.array(rows[1].astype(np.int32))], ["plan", "slack"]))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "a": pa.array(digests(shingles, first)), "n_shingles": pa.array(np.diff(first).astype(np.int64)), "slacks": lists})
 
-    found = saved(as_arrow(df, run, SETS + ", failed array<struct<band:int,plan:int>>"), "sets")
-    failed = {(r["band"], r["plan"]) for r in found.select(F.explode("failed").alias("x")).select("x.band", "x.plan").distinct().collect()}  # bands times plans at most
-    chosen = {}
-    for band in range(len(band_starts()) - 1):
-        ok = [p for p in range(len(plans(band, percent))) if (band, p) not in failed]
-        chosen[band] = ok[0]
-    return found.drop("failed"), chosen
+    found = saved(as_arrow(df, run, SETS + ", slacks array<struct<plan:int,slack:int>>"), "sets")
+    least = found.select(F.explode("slacks").alias("x")).groupBy("x.plan").agg(F.min("x.slack").alias("slack"))
+    holds = {r["plan"]: r["slack"] >= 0 for r in least.collect()}  # bands times plans at most
+    chosen = {band: next(p for p in range(8) if holds.get(band * 8 + p, True)) for band in {x // 8 for x in holds}}
+    return found, chosen
 
 
 def entries(df: DataFrame, k: int, percent: int, chosen: dict[int, int]) -> DataFrame:
@@ -261,26 +289,34 @@ def led(index: DataFrame) -> DataFrame:
     return as_arrow(index.repartition(parts, "signature").sortWithinPartitions("signature", "a"), run, "signature long, a long, leader long")
 
 
+def trimmed(index: DataFrame, described: DataFrame, chosen: dict[int, int]) -> DataFrame:
+    """signature, a, leader: all entries of shared signatures, their leaders' own too, less those given up for their cost."""
+    counts = index.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.min("leader").alias("leader"))
+    entries = index.select("signature", "a").union(counts.select("signature", F.col("leader").alias("a")))
+    of = described.select("a", F.explode("slacks").alias("x")).where(F.col("x.plan").isin([b * 8 + p for b, p in chosen.items()]))
+    slack = of.groupBy("a", F.shiftright("x.plan", 3).alias("band")).agg(F.min("x.slack").alias("slack"))
+    known = entries.join(counts.select("signature", "n"), "signature").withColumn("band", F.col("signature").bitwiseAND(255).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("a", "band").orderBy(F.desc("n"), "signature"))
+    kept = known.withColumn("rank", rank).join(slack, ["a", "band"]).where("rank > slack").select("signature", "a")
+    kept = saved(kept, "kept")
+    central = kept.join(entries.groupBy("a").agg(F.count(F.lit(1)).alias("shared")), "a")
+    leaders = central.groupBy("signature").agg(F.max(F.struct("shared", "a")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return saved(kept.join(leaders.select("signature", F.col("hub.a").alias("leader")), "signature"), "trimmed")
+
+
 def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Which of 2^bits top parts the column's values have, as packed bits; made in 2^11 groups, 2^bits / 8 bytes in all."""
-    low = bits - 11
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        has = np.zeros(1 << low, bool)
-        has[pdf["x"].to_numpy()] = True
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "bits": [np.packbits(has).tobytes()]})
-
-    x = F.shiftrightunsigned(F.col(column), 64 - bits)
-    tops = df.select(F.shiftright(x, low).cast("int").alias("chunk"), x.bitwiseAND((1 << low) - 1).cast("int").alias("x")).distinct()
-    out = np.zeros((1 << 11, 1 << (low - 3)), np.uint8)
-    for r in tops.groupBy("chunk").applyInPandas(pack, "chunk int, bits binary").collect():
+    """Which of 2^bits top parts the column's values have, as packed bits: 2^bits / 8 bytes in all, in bitmaps of 4 KB."""
+    top = F.shiftrightunsigned(F.col(column), 64 - bits)
+    maps = df.groupBy(F.shiftright(top, 15).alias("chunk")).agg(F.bitmap_construct_agg(top.bitwiseAND(32767)).alias("bits"))
+    out = np.zeros((1 << (bits - 15), 4096), np.uint8)
+    for r in maps.collect():
         out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
 
 def has_bit(packed: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     at = (values.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def verified(df: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -294,24 +330,23 @@ def verified(df: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
             a = digests(shingles, first)
             some = np.flatnonzero((np.diff(first) > 0) & has_bit(needed.value, a, FILTER_BITS))
             if len(some):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a[some]), "text": batch.column("text").take(pa.array(some))})
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a[some]), "held": pa.array([shingles[first[i] : first[i + 1]].tobytes() for i in some.tolist()], pa.binary())})
 
-    chosen = as_arrow(df.select("text"), pick, "a long, text string").groupBy("a").agg(F.min("text").alias("text"))
-    chosen = saved(chosen.join(pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct(), "a", "left_semi"), "candidates")
+    chosen = saved(as_arrow(df.select("text"), pick, "a long, held binary").groupBy("a").agg(F.min("held").alias("held")), "candidates")
 
     def test(batches):
-        for batch in pieces(batches, "text_x"):
-            parts = [sets(batch.column(c), k) for c in ("text_x", "text_y")]
+        for batch in pieces(batches, "held_y"):
             keep = []
-            for i in range(batch.num_rows):
-                x, y = (s[f[i] : f[i + 1]] for s, f in parts)
-                common = len(np.intersect1d(x, y, assume_unique=True))
+            for x, y in zip(batch.column("held_x"), batch.column("held_y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([x, y]))
+                common = int((both[1:] == both[:-1]).sum())
                 keep.append(common * 100 >= percent * (len(x) + len(y) - common))
             if any(keep):
                 yield batch.select(["x", "y"]).filter(pa.array(keep))
 
-    joined = pairs.join(chosen.withColumnRenamed("a", "x").withColumnRenamed("text", "text_x"), "x").join(chosen.withColumnRenamed("a", "y").withColumnRenamed("text", "text_y"), "y")
-    return saved(as_arrow(joined.select("x", "y", "text_x", "text_y"), test, "x long, y long"), "links")
+    joined = pairs.join(chosen.select(F.col("a").alias("x"), F.col("held").alias("held_x")), "x").join(chosen.select(F.col("a").alias("y"), F.col("held").alias("held_y")), "y")
+    return saved(as_arrow(joined.select("x", "y", "held_x", "held_y"), test, "x long, y long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -320,9 +355,10 @@ def components(links: DataFrame) -> DataFrame:
     both = saved(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "both")
     labels = saved(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "a"), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("a", "y"), "y").groupBy("x").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("x", "a"), "a").select("a", F.least("label", "near").alias("next"), "label")
-        jump = labels.select(F.col("a").alias("next"), F.col("label").alias("far"))
+        sent = small(labels)
+        near = both.join(sent.select(F.col("a").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
+        step = near.join(sent.select(F.col("a").alias("x"), "label"), "x").select(F.col("x").alias("a"), F.least("label", "near").alias("next"), "label")
+        jump = sent.select(F.col("a").alias("next"), F.col("label").alias("far"))
         new = saved(step.join(jump, "next", "left").select("a", F.least("next", F.coalesce("far", "next")).alias("label"), (F.col("next") != F.col("label")).alias("changed")), "labels")
         labels = new.drop("changed")
         if not new.where("changed").take(1):
@@ -332,23 +368,29 @@ def components(links: DataFrame) -> DataFrame:
 def link_sets(df: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(sets of all documents, a and label of the sets in components of several)."""
     described, chosen = describe(df.select("doc_id", "text"), k, percent)
-    index = saved(led(entries(df, k, percent, chosen)), "index")
-    votes = index.groupBy("a", "leader").agg(F.count(F.lit(1)).alias("votes"))
+    index = trimmed(saved(led(entries(df, k, percent, chosen)), "index"), described, chosen)
+    votes = index.where("a <> leader").groupBy("a", "leader").agg(F.count(F.lit(1)).alias("votes"))
     first = votes.groupBy("a").agg(F.max(F.struct("votes", F.negative("leader").alias("least"))).alias("best")).select(F.col("a").alias("x"), F.negative("best.least").alias("y"))
     first = saved(first, "first-pairs")
-    links = verified(df, first, k, percent)
-    labels = components(links)
-    own = labels.withColumnRenamed("label", "la")
-    members = index.select("signature", "a").union(index.select("signature", F.col("leader").alias("a")).distinct())
-    members = members.join(own, "a", "left").select("signature", "a", F.coalesce("la", "a").alias("la"))
-    mixed = members.groupBy("signature").agg(F.min("la").alias("low"), F.max("la").alias("high")).where("low < high").select("signature")
-    rest = saved(members.join(mixed, "signature", "left_semi"), "rest")
-    other = rest.select("signature", F.col("a").alias("y"), F.col("la").alias("lb"))
-    pairs = rest.withColumnRenamed("a", "x").join(other, "signature").where("la < lb").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    tested = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = verified(df, saved(pairs.join(tested, ["x", "y"], "left_anti"), "more-pairs"), k, percent)
+    labels = components(verified(df, first, k, percent))
+    own = small(labels).select("a", F.col("label").alias("la"))
+    members = index.join(own, "a", "left").select("signature", "a", F.coalesce("la", "a").alias("la"))
+    mixed = saved(members.groupBy("signature").agg(F.min("la").alias("low"), F.max("la").alias("high")).where("low < high").select("signature"), "mixed")
+    rest = saved(members.join(small(mixed), "signature", "left_semi"), "rest")
+    other = small(rest).select("signature", F.col("a").alias("y"), F.col("la").alias("lb"))
+    pairs = rest.withColumnRenamed("a", "x").join(other, "signature").where("la < lb")
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "la", "lb").distinct()
+    tested = small(first).select(F.greatest("x", "y").alias("y"), F.least("x", "y").alias("x"))
+    pairs = saved(pairs.join(tested, ["x", "y"], "left_anti"), "more-pairs")
+    if not pairs.take(1):
+        return described, labels
+    found = verified(df, pairs.select("x", "y").distinct(), k, percent)
+    more = saved(pairs.join(found, ["x", "y"]).select(F.col("la").alias("x"), F.col("lb").alias("y")).distinct(), "between")
     if more.take(1):
-        labels = components(links.union(more))
+        joined = small(components(more)).select(F.col("a").alias("label"), F.col("label").alias("top"))
+        single = joined.select(F.col("label").alias("a"), F.col("top").alias("label"))  # roots aren't named in labels
+        named = labels.join(joined, "label", "left").select("a", F.coalesce("top", "label").alias("label"))
+        labels = saved(named.union(single).distinct(), "labels")
     return described, labels
 
 
