@@ -12,6 +12,7 @@ their rows; an empty table gives an empty table; further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 from urbangraph.llm.arrays import as_arrow, pieces, scratch, texts
 from urbangraph.llm.pretokens import Memory
 
+#: One thread a task, as Spark runs a task for each core.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 STORED = "content_digest binary, tokenizer_digest string, n_tokens long"
 
 
