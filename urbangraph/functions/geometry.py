@@ -116,12 +116,13 @@ def ring_area(ring: Column) -> Column:
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
     """Of the area; the mean of the points where there is none."""
     area6, edges = F.nullif(ring_area(ring) * 6, F.lit(0.0)), ring_edges(ring)
-    out = []
-    for c in "xy":
-        moment = F.aggregate(edges, F.lit(0.0), lambda a, e, c=c: a + (e[f"{c}1"] + e[f"{c}2"]) * cross(e["x1"], e["y1"], e["x2"], e["y2"]))
-        mean = F.aggregate(ring, F.lit(0.0), lambda a, p, c=c: a + p[c]) / F.nullif(F.size(ring), F.lit(0))
-        out.append(F.coalesce(moment / area6, mean))
-    return out[0], out[1]
+
+    def along(c: str) -> Column:
+        moment = F.aggregate(edges, F.lit(0.0), lambda a, e: a + (e[f"{c}1"] + e[f"{c}2"]) * cross(e["x1"], e["y1"], e["x2"], e["y2"]))
+        mean = F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[c]) / F.nullif(F.size(ring), F.lit(0))
+        return F.coalesce(moment / area6, mean)
+
+    return along("x"), along("y")
 
 
 def in_ring(px: Column, py: Column, ring: Column) -> Column:
