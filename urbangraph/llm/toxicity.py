@@ -46,7 +46,7 @@ class Texts:
         data = LOWER[data]
         starts, ends, first = words(data, offsets)
         self.buckets = (word_hashes(data, starts, ends) >> np.uint64(49)).astype(np.int64)
-        self.starts, self.lengths = starts, ends - starts
+        self.starts, self.lengths = starts, ends - starts  # starts: in these texts' bytes
         self.grams = grams(data, starts, self.lengths)
         self.before = np.cumsum(self.lengths) - self.lengths
         n = np.diff(first)
@@ -56,6 +56,19 @@ class Texts:
         self.at = np.repeat(first[:-1], windows) + place * STRIDE
         self.size = np.minimum(WINDOW, np.repeat(first[1:], windows) - self.at)
 
+    @classmethod
+    def of(cls, column: pa.Array) -> Texts:
+        """The same from blocks of texts, so that what is needed meanwhile stays small."""
+        parts = [cls(*utf8(column.slice(i, BLOCK))) for i in range(0, len(column), BLOCK)]
+        out = cls.__new__(cls)
+        for name in ("buckets", "starts", "lengths", "grams", "size"):
+            setattr(out, name, np.concatenate([getattr(p, name) for p in parts]))
+        out.before = np.cumsum(out.lengths) - out.lengths
+        words_before = np.cumsum([0, *(len(p.buckets) for p in parts)])
+        out.at = np.concatenate([p.at + n for p, n in zip(parts, words_before[:-1], strict=True)])
+        out.first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.first) for p in parts]))])
+        return out
+
     def some_grams(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(4-grams of these words one after another, where each word's begin)."""
         lengths = self.lengths[of]
@@ -73,12 +86,18 @@ class Texts:
 
 def grams(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The bucket of the four bytes that end at each byte of each word; what comes before the word counts as spaces."""
-    place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.repeat(starts, lengths) + place
-    value = data[at].astype(np.uint32)
-    for back in (1, 2, 3):
-        value |= np.where(place >= back, data[np.maximum(at - back, 0)], 32).astype(np.uint32) << np.uint32(8 * back)
-    return ((value * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int64)
+    before = np.cumsum(lengths) - lengths
+    out = np.empty(int(lengths.sum()), np.int32)
+    for i in range(0, len(starts), 1 << 16):
+        some = slice(i, i + (1 << 16))
+        n = lengths[some]
+        place = np.arange(int(n.sum())) - np.repeat(before[some] - before[i], n)
+        at = np.repeat(starts[some], n) + place
+        value = data[at].astype(np.uint32)
+        for back in (1, 2, 3):
+            value |= np.where(place >= back, data[np.maximum(at - back, 0)], 32).astype(np.uint32) << np.uint32(8 * back)
+        out[before[i] : before[i] + len(at)] = (value * np.uint32(0x9E3779B1)) >> np.uint32(17)
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -204,33 +223,45 @@ def gradients(model: Model, t: Texts, windows: np.ndarray, labels: np.ndarray, w
     return g
 
 
-def log_odds(doc: np.ndarray, buckets: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """By bucket, of the shares of toxic and other documents that hold it, drawn to 0 where few do."""
-    pairs = np.unique(doc * BUCKETS + buckets)
-    held = np.array([np.bincount(pairs[toxic[pairs // BUCKETS] == k] % BUCKETS, minlength=BUCKETS) for k in (0, 1)])
-    share = (held + 2 * (held.sum(0) + 1) / len(toxic)) / np.array([[max(1, (toxic == k).sum())] for k in (0, 1)])
+def log_odds(held: np.ndarray, count: tuple[int, int]) -> np.ndarray:
+    """By bucket, of the shares of the `count` other and toxic documents that hold it, drawn to 0 where few do."""
+    share = (held + 2 * (held.sum(0) + 1) / sum(count)) / np.array([[max(1, n)] for n in count])
     return (np.log(share[1] / share[0]) * held.sum(0) / (held.sum(0) + 5)).astype(np.float32)
 
 
+#: Sample documents that are looked at together.
+BLOCK = 128
+
+
 def train(docs: list[str], labels: list[int], steps: int = STEPS, seed: int = 5) -> Model | None:
     """None without documents of both kinds."""
     column = pa.array(docs, pa.string())
-    t, toxic = Texts(*utf8(column)), np.array(labels, np.float32)
+    t, toxic = Texts.of(column), np.array(labels, np.float32)
     filled = np.flatnonzero(np.diff(t.first))
     bad, good = filled[toxic[filled] == 1], filled[toxic[filled] == 0]
     if not len(bad) or not len(good):
         return None
     model, rng = begin(seed), np.random.default_rng(seed)
     mean, square = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
-    half, doc_of_word = BATCH // 2, np.repeat(np.arange(len(docs)), np.diff(words(*utf8(column))[2]))
-    model["words"][:, 0] = log_odds(doc_of_word, t.buckets, toxic)
-    model["grams"][:, 0] = log_odds(np.repeat(doc_of_word, t.lengths), t.grams, toxic)
-    x = t.inputs(model)
-    top = x[:, 0] + x[:, WIDE]
-    logits = np.array([top[a : a + n].max() for a, n in zip(t.at.tolist(), t.size.tolist(), strict=True)])
+    half, blocks = BATCH // 2, [(range(i, min(i + BLOCK, len(docs))), column.slice(i, BLOCK)) for i in range(0, len(docs), BLOCK)]
+    held = {k: np.zeros((2, BUCKETS)) for k in ("words", "grams")}
+    for rows, part in blocks:
+        p, first = Texts(*utf8(part)), words(*utf8(part))[2]
+        before = np.concatenate([p.before, [len(p.grams)]])
+        for i, d in enumerate(rows):
+            held["words"][int(toxic[d]), np.unique(p.buckets[first[i] : first[i + 1]])] += 1
+            held["grams"][int(toxic[d]), np.unique(p.grams[before[first[i]] : before[first[i + 1]]])] += 1
+    for k, h in held.items():
+        model[k][:, 0] = log_odds(h, (int((toxic == 0).sum()), int((toxic == 1).sum())))
+
+    def highest(p: Texts) -> np.ndarray:
+        x = p.inputs(model)
+        top = x[:, 0] + x[:, WIDE]
+        return np.array([top[a : a + n].max() for a, n in zip(p.at.tolist(), p.size.tolist(), strict=True)])
+
     for step in range(1, steps + 1):
         if step % AGAIN == 1:
-            logits = score_windows(model, t) if step > 1 else logits
+            logits = np.concatenate([(score_windows if step > 1 else lambda m, p: highest(p))(model, Texts(*utf8(part))) for _, part in blocks])
             best = {d: t.first[d] + int(np.argmax(logits[t.first[d] : t.first[d + 1]])) for d in filled.tolist()}
         some = np.concatenate([rng.choice(bad, half), rng.choice(good, half)])
         windows = np.array([best[d] if toxic[d] or i % 2 else rng.integers(t.first[d], t.first[d + 1]) for i, d in enumerate(some.tolist())])
