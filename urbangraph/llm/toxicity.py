@@ -59,7 +59,7 @@ class Texts:
     @classmethod
     def of(cls, column: pa.Array) -> Texts:
         """The same from blocks of texts, so that what is needed meanwhile stays small."""
-        parts = [cls(*utf8(column.slice(i, BLOCK))) for i in range(0, len(column), BLOCK)]
+        parts = [cls(*utf8(column.slice(i, BLOCK))) for i in range(0, max(len(column), 1), BLOCK)]
         out = cls.__new__(cls)
         for name in ("buckets", "starts", "lengths", "grams", "size"):
             setattr(out, name, np.concatenate([getattr(p, name) for p in parts]))
