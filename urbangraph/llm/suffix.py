@@ -2,7 +2,7 @@
 
 A byte is removed if a 50-byte string covers it that also starts in a document with a smaller identifier.
 
-Every 50-byte string has an anchor: the least hash of the 16-byte strings in it. Equal strings have equal anchors, so a
+Every 50-byte string has an anchor: the least hash of the 24-byte strings in it. Equal strings have equal anchors, so a
 text is cut into fragments of neighbouring strings with one anchor, and only fragments with equal anchors need to meet. Two
 passes read the texts. The first finds the anchors that different texts share; a filter of fixed size tells the second
 which fragments to send (what it lets through in excess finds no partner). Within a task equal fragments are sent once,
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from urbangraph.llm.arrays import PLACES, as_arrow, mix, pieces, saved, utf8
 from urbangraph.llm.jaccard import bit_filter, has_bit
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 #: Strings of one fragment, and bytes of one shard's fragments.
 STRINGS, SHARD = 64, 1 << 20
 #: Fragments that a task remembers as sent.
@@ -52,7 +52,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         return none.view(np.uint64), none, none, none
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
-    h = mix(eight[: n - GRAM + 1] * PLACES[0] + eight[8 : n - GRAM + 9] * PLACES[1])
+    h = mix(sum((eight[k : n - GRAM + 1 + k] * PLACES[k] for k in range(8, GRAM, 8)), eight[: n - GRAM + 1] * PLACES[0]))
     width, span = LENGTH - GRAM + 1, 1
     while 2 * span <= width:
         h = np.minimum(h[:-span], h[span:])
