@@ -18,9 +18,7 @@ PIECE = 1 << 19
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; in tests, where it is unset, below /tmp."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", top)
+    top = top or "file:///tmp/checkpoints"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
