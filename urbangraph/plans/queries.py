@@ -351,7 +351,7 @@ def _(s, d):
 
 @query("od_betweenness")
 def _(s, d):
-    origins = points(s, d).where("pt_id % 10 = 0 or pt_id < 100").withColumn("weight", F.lit(1.0))
+    origins = points(s, d).withColumn("weight", F.lit(1.0))
     return paths.od_betweenness(lines(s, d), origins, attractions(s, d).withColumnRenamed("value", "weight"), 800.0)
 
 
