@@ -109,6 +109,23 @@ def test_segment_map(spark):
     assert [tuple(sorted([r.x1, r.x2])) for r in joined.collect()] == [(0, 20)]
 
 
+@pytest.mark.parametrize("pieces", [2, 3])
+def test_trim_tails_walks_chains(spark, pieces):
+    street = [(-100, 0, 0, 0), (0, 0, 100, 0), (100, 0, 100, 100), (100, 100, -100, 0)]
+    drawn = [(0, 3 * k, 0, 3 * k + 3) if k % 2 else (0, 3 * k + 3, 0, 3 * k) for k in range(pieces)]  # in either direction
+    alone = [(500, 3 * k, 500, 3 * k + 3) for k in range(pieces)]  # has two dead ends and no junction
+    lines = frame(spark, street + drawn + alone)
+    whole, kept = list(range(4 + 2 * pieces)), [*range(4), *range(4 + pieces, 4 + 2 * pieces)]
+    assert by_line(segment_map.trim_tails(lines, 3.0 * pieces), "line_id") == whole
+    assert by_line(segment_map.trim_tails(lines, 3.0 * pieces + 1), "line_id") == kept
+
+
+def test_trim_tails_counts_junctions_beforehand(spark):
+    # both tails of a fork go, but not the stem, which becomes a dead end only then
+    fork = frame(spark, [(-100, 0, 0, 0), (0, 0, 100, 0), (0, 0, 0, 6), (0, 6, 3, 9), (0, 6, -3, 9)])
+    assert by_line(segment_map.trim_tails(fork, 10.0), "line_id") == [0, 1, 2]
+
+
 def test_raster(spark):
     lines = frame(spark, chain(1, 4)).withColumn("value", F.lit(2.0))
     assert raster.raster_lines(lines, 1.0).agg(F.sum("value")).first()[0] == pytest.approx(8)

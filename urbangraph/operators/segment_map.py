@@ -73,16 +73,20 @@ def distinct_segments(lines: DataFrame) -> DataFrame:
 
 
 def trim_tails(lines: DataFrame, shortest: float) -> DataFrame:
-    """Without chains from a dead end to a junction of three or more that are shorter than that: each round a chain's end piece is
-    joined in length to the next one, until it meets a junction."""
-    lines = cut(segments.described(lines).withColumn("tail", F.lit(0.0)))
-    while True:
-        ends = segments.ends(lines).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("x", "y")))
-        free = ends.groupBy("line_id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        gone = cut(lines.join(free, "line_id").where((F.col("least") == 1) & (F.col("most") >= 3) & (F.col("length") + F.col("tail") < shortest)).select("line_id"))
-        if not gone.take(1):
-            return lines.drop("length", "orientation", "tail")
-        lines = cut(lines.join(gone, "line_id", "left_anti"))
+    """Without chains from a dead end over points of two segments to a junction of three or more, as counted beforehand, that are shorter
+    than that: each round adds the next segment to the chains still below it."""
+    e = segments.ends(lines).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("x", "y")))
+    far = e.select("line_id", F.col("end").alias("far"), F.col("x").alias("to_x"), F.col("y").alias("to_y"), F.col("n").alias("to_n"))
+    ways = cut(e.join(far, "line_id").where("end <> far").join(segments.described(lines).select("line_id", "length"), "line_id").where((F.col("to_n") > 1) & (F.col("length") < shortest)))
+    front = cut(ways.where("n = 1").select(F.col("line_id").alias("tail"), "line_id", "to_x", "to_y", "to_n", "length"))
+    walked = front
+    onward = ways.where("n = 2").select(F.col("line_id").alias("next"), "x", "y", F.col("to_x").alias("next_x"), F.col("to_y").alias("next_y"), F.col("to_n").alias("next_n"), F.col("length").alias("more"))
+    while front.take(1):
+        step = front.where("to_n = 2").join(onward, (F.col("to_x") == F.col("x")) & (F.col("to_y") == F.col("y"))).where((F.col("next") != F.col("line_id")) & (F.col("length") + F.col("more") < shortest))
+        front = cut(step.select("tail", F.col("next").alias("line_id"), F.col("next_x").alias("to_x"), F.col("next_y").alias("to_y"), F.col("next_n").alias("to_n"), (F.col("length") + F.col("more")).alias("length")))
+        walked = walked.union(front)
+    gone = walked.join(walked.where("to_n >= 3").select("tail"), "tail").select("line_id").distinct()
+    return lines.join(gone, "line_id", "left_anti")
 
 
 def remove_detail(lines: DataFrame, deviation: float) -> DataFrame:
