@@ -182,6 +182,11 @@ def _(s, d):
     return reach.angular_integration(lines(s, d), Radius(angular=100.0), rounds=3)
 
 
+@query("angular_integration_100_whole")
+def _(s, d):
+    return reach.angular_integration(lines(s, d), Radius(angular=100.0))
+
+
 @query("attraction_distance_straight", WITH + "r as (select p.pt_id, min(sqrt(power(a.x-p.x,2)+power(a.y-p.y,2))) as d from points p join attractions a on sqrt(power(a.x-p.x,2)+power(a.y-p.y,2)) <= 500.0 group by 1) select p.pt_id, round(coalesce(d, -1.0), 6) as distance from points p left join r using (pt_id)")
 def _(s, d):
     return reach.attraction_distance_straight(points(s, d), attractions(s, d).drop("value"), 500.0)
