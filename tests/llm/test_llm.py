@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -316,6 +317,22 @@ def test_suffix_shards_agree(docs, rows, monkeypatch):
     assert all((a is None) == (b is None) and (a is None or (a == b).all()) for a, b in zip(whole, parts, strict=True))
 
 
+def test_suffix_splits_anchors_of_many_fragments(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "MOST", 5)
+    rng = random.Random(3)
+    around = lambda: "".join(rng.choice("abcdefghijklmnop ") for _ in range(60))
+    phrase = around()[:45]
+    rows = [(k, around() + phrase + around(), "en", "s", 0) for k in range(60)]
+    rows += [(60 + k, around() + rows[k][1][20:150] + around(), "en", "s", 0) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    met, repeats = [], suffix.repeats
+    monkeypatch.setattr(suffix, "repeats", lambda sent: met.extend(sent.where("body is not null").groupBy("anchor").agg(F.countDistinct("body").alias("n")).collect()) or repeats(sent))
+    out = suffix.dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert collections.Counter(map(tuple, out)) == plain_removal(rows)
+    assert sum(r.n_removed > 0 for r in out) >= 20
+    assert met and max(r.n for r in met) <= 5
+
+
 # personal data
 
 

@@ -11,6 +11,8 @@ bounded size. In a shard equal fragments are joined; of anchors with several dif
 Larsson-Sadakane refinement (sorting only groups still equal, by the rank of what follows them), and Kasai's common
 prefixes tell which 50-byte strings are equal. An anchor that goes on in the next shard takes its sorted strings along,
 where later ones are found by binary search; as documents come in ascending order, only later ones can be repeats.
+Anchors of more than MOST fragments would gather too many strings in one task: their fragments are sent as single strings, each
+dealt by its own hash instead of the anchor, so only equal strings have to meet. Known repeats are dealt by text and place.
 
 Texts are known by 64-bit hashes, equal fragments within a task too (among a billion texts, two different ones
 share a hash with a probability of 3 in 100). Equal texts are handled once: all but the least document's are repeats throughout.
@@ -37,6 +39,8 @@ STRINGS, SHARD = 64, 1 << 20
 #: Fragments that a task remembers as sent.
 REMEMBERED = 200_000
 FILTER_BITS = 27
+#: Fragments of an anchor that may meet in one task; the filter of the anchors beyond.
+MOST, MANY_BITS = 5_000, 24
 LAST = (1 << 63) - 1
 
 SENT = "anchor long, doc long, text_id long, start int, strings int, body binary"
@@ -210,7 +214,7 @@ def shard(anchor: np.ndarray, doc: np.ndarray, bodies: list[bytes], carried: Car
 
 
 def shared_anchors(docs: DataFrame) -> DataFrame:
-    """The anchors that different texts have."""
+    """anchor, n: those that different texts have, and how many fragments."""
 
     def run(batches):
         seen: set[int] = set()
@@ -222,11 +226,11 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor.view(np.int64)), "text_id": pa.array(ids[fresh][text])})
 
     found = as_arrow(docs.select("text_id", "text"), run, "anchor long, text_id long")
-    return found.groupBy("anchor").agg(F.min("text_id").alias("low"), F.max("text_id").alias("high")).where("low < high").select("anchor")
+    return found.groupBy("anchor").agg(F.min("text_id").alias("low"), F.max("text_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("anchor", "n")
 
 
-def sent(docs: DataFrame, packed) -> DataFrame:
-    """The fragments with shared anchors, and (without a body) those known to be repeats."""
+def sent(docs: DataFrame, packed, many) -> DataFrame:
+    """The fragments with shared anchors, those of anchors in many string by string, and (without a body) those known to be repeats."""
 
     def run(batches):
         seen: dict[int, int] = {}
@@ -246,21 +250,35 @@ def sent(docs: DataFrame, packed) -> DataFrame:
                 continue
             power = powers(len(data) + 1)
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * power[0][:-1])])
-            content = mix((total[start + strings + LENGTH - 1] - total[start]) * power[1][start] + strings.astype(np.uint64))
-            bodies = []
             raw = data.tobytes()
-            for c, d, s, n in zip(content.tolist(), doc[text].tolist(), start.tolist(), strings.tolist(), strict=True):
-                before = least.get(c)
-                if before is not None and before < d:
-                    bodies.append(None)
-                    continue
-                if before is None or d < before:
-                    least[c] = d
-                bodies.append(raw[s : s + n + LENGTH - 1])
+
+            def part(anchor, text, start, strings, total=total, power=power, data=data, raw=raw, doc=doc, ids=ids, offsets=offsets, by_string=False):
+                """A batch, and which rows have a body; by_string: rows are single strings, dealt by their hashes."""
+                content = mix((total[start + strings + LENGTH - 1] - total[start]) * power[1][start] + strings.astype(np.uint64))
+                anchor = content if by_string else anchor
+                bodies = []
+                for c, d, s, n in zip(content.tolist(), doc[text].tolist(), start.tolist(), strings.tolist(), strict=True):
+                    before = least.get(c)
+                    if before is not None and before < d:
+                        bodies.append(None)
+                        continue
+                    if before is None or d < before:
+                        least[c] = d
+                    bodies.append(raw[s : s + n + LENGTH - 1])
+                new = np.fromiter((x is not None for x in bodies), bool, len(bodies))
+                anchor = np.where(new, anchor, mix(ids[text].view(np.uint64) + (start - offsets[text]).astype(np.uint64)))
+                columns = {"anchor": pa.array(anchor.view(np.int64)), "doc": pa.array(doc[text]), "text_id": pa.array(ids[text]), "start": pa.array((start - offsets[text]).astype(np.int32)), "strings": pa.array(strings.astype(np.int32)), "body": pa.array(bodies, pa.binary())}
+                return pa.RecordBatch.from_pydict(columns), new
+
+            batch, new = part(anchor, text, start, strings)
+            split = new & has_bit(many.value, anchor, MANY_BITS)
+            yield batch.filter(pa.array(~split))
+            if split.any():
+                size = strings[split]
+                step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                yield part(None, np.repeat(text[split], size), np.repeat(start[split], size) + step, np.ones(len(step), np.int64), by_string=True)[0]
             if len(least) > REMEMBERED:
                 least.clear()
-            columns = {"anchor": pa.array(anchor.view(np.int64)), "doc": pa.array(doc[text]), "text_id": pa.array(ids[text]), "start": pa.array((start - offsets[text]).astype(np.int32)), "strings": pa.array(strings.astype(np.int32)), "body": pa.array(bodies, pa.binary())}
-            yield pa.RecordBatch.from_pydict(columns)
 
     return as_arrow(docs.select("doc", "text_id", "text"), run, SENT)
 
@@ -348,8 +366,10 @@ def dedup(df: DataFrame, keep_text: bool = True) -> DataFrame:
     docs = df.select("doc_id", text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("text_id"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
     spark = df.sparkSession
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # each step is saved, so its shuffles can go
-    packed = spark.sparkContext.broadcast(bit_filter(shared_anchors(docs), "anchor", FILTER_BITS))  # 16 MB
-    flags = saved(repeats(sent(docs, packed)), "repeats")
+    shared = saved(shared_anchors(docs), "anchors")
+    packed = spark.sparkContext.broadcast(bit_filter(shared, "anchor", FILTER_BITS))  # 16 MB
+    many = spark.sparkContext.broadcast(bit_filter(shared.where(F.col("n") > MOST), "anchor", MANY_BITS))  # 2 MB
+    flags = saved(repeats(sent(docs, packed, many)), "repeats")
     classes = saved(docs.groupBy("text_id").agg(F.min("doc").alias("first")), "classes")
     runs = flags.groupBy("text_id", "doc").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))  # a text's own runs
     runs = saved(runs.join(classes, (runs["text_id"] == classes["text_id"]) & (runs["doc"] == classes["first"])).select(runs["text_id"], "runs"), "runs")
