@@ -271,6 +271,54 @@ def test_jaccard(docs, rows, k, percent):
     assert kept.count() == len({root for s, root in zip(sets, roots, strict=True) if s}) + sum(not s for s in sets)
 
 
+def edited(rng, base, share, vocabulary):
+    """base with a share of its words left out, replaced or followed by another one."""
+    out = []
+    for w in base:
+        kind = rng.randrange(3) if rng.random() < share else 3
+        out += {0: [], 1: [rng.choice(vocabulary)], 2: [w, rng.choice(vocabulary)], 3: [w]}[kind]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_finds_all_links_of_a_group_around_the_threshold(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(40 if seed == 2 else 4000)]
+    texts = []
+    for size in (60, 150, 400):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        side = edited(rng, base, 0.05, vocabulary).split()
+        texts += [edited(rng, rng.choice((base, base, side)), rng.uniform(0.005, 0.08), vocabulary) for _ in range(140)]
+    rng.shuffle(texts)
+    sets, roots = plain_components(texts, 4, 85)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()}
+    assert found == {i: (len(s), root) for i, (s, root) in enumerate(zip(sets, roots, strict=True))}
+    sets, roots = plain_components(texts, 5, 80)
+    assert sorted(r.doc_id for r in jaccard.distinct(df).collect()) == sorted(set(roots))
+
+
+def test_jaccard_plans():
+    rng = np.random.default_rng(3)
+    n = np.repeat([3, 9, 14, 40, 90, 260, 700], 30)
+    first = np.concatenate([[0], np.cumsum(n)])
+    shingles = rng.integers(0, 1 << 63, first[-1], dtype=np.int64).astype(np.uint64)
+    doc = np.repeat(np.arange(len(n)), n)
+    shingles = shingles[np.lexsort((shingles, doc))]
+    for percent, kind in ((85, "plain"), (80, "near"), (85, "single")):
+        chosen = {b: (next((i for i, x in enumerate(jaccard.plans(b, percent)) if x[0] == kind), len(jaccard.plans(b, percent)) - 1), len(jaccard.plans(b, percent)) - 1) for b in range(60)}
+        keys, owner = jaccard.signatures(shingles, first, percent, chosen)
+        of = {i: set(keys[owner == i].tolist()) for i in range(len(n))}
+        for i in range(len(n)):  # a partner at the threshold shares a signature
+            mine = shingles[first[i] : first[i + 1]]
+            lost = rng.permutation(len(mine))[: len(mine) * (100 - percent) // 100]
+            partner = np.delete(mine, lost)
+            if len(partner):
+                other, _ = jaccard.signatures(partner, np.array([0, len(partner)]), percent, chosen)
+                if kind != "near" or n[i] >= 90:  # near plans need room for empty segments
+                    assert of[i] & set(other.tolist())
+
+
 def test_jaccard_on_empty_table(nothing):
     assert jaccard.join(nothing).count() == 0 and jaccard.distinct(nothing).count() == 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ PIECE = 1 << 19
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; in tests, where it is unset, below /tmp."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     top = top or "file:///tmp/checkpoints"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(top)
@@ -25,12 +28,28 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the shared folder and read from there: no executor's loss makes them be computed again."""
+    """The rows written once to the shared folder and read from there: no executor's loss makes them be computed again, and the
+    shuffles behind them can go once they are written."""
     path = scratch(df.sparkSession, name)
+    df.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(*tables: DataFrame) -> None:
+    """Deletes the files of saved tables whose last reader is written."""
+    for table in tables:
+        session = table.sparkSession
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = session._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def keyed(df: DataFrame, column: str) -> bool:
+    """Whether no value of the column is null or stands in two rows."""
+    return not df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(column).isNull()).take(1)
+
+
 #: Rows of a few numbers each that may be sent to all executors: some megabytes.
 MOST_SENT = 200_000
 
@@ -40,6 +59,21 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_SENT else df
 
 
+class Recent:
+    """Which 64-bit digests were not met before, as far as a table of fixed size remembers; others count as new again."""
+
+    def __init__(self, bits: int = 17):
+        self.shift, self.slots = np.uint64(64 - bits), np.zeros(1 << bits, np.uint64)
+
+    def fresh(self, digests: np.ndarray) -> np.ndarray:
+        """Places of the first of each new digest, in order."""
+        values, first = np.unique(digests.view(np.uint64), return_index=True)
+        at = (values >> self.shift).astype(np.int64)
+        new = self.slots[at] != values
+        self.slots[at[new]] = values[new]
+        return np.sort(first[new])
+
+
 #: Bytes of an Arrow batch between the JVM and Python: texts may be long, and batches of a number of rows large.
 BATCH_BYTES = 4 << 20
 
