@@ -17,10 +17,13 @@ and `mixed` returns the input's own columns.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urbangraph.llm.arrays import saved
+from urbangraph.llm.arrays import keyed, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by a source's place in code-point order, repeating.
@@ -97,12 +100,18 @@ def taken(df: DataFrame, seed: int, buckets: int) -> DataFrame:
 
 
 def mixed(df: DataFrame, seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
-    """The rows of df, each as often as it is taken."""
-    key = ["__id", "__source", "__tie", "__again"]
-    again = F.row_number().over(Window.partitionBy(*key[:3]).orderBy(F.lit(1)))  # repeated rows only
-    copies = taken(df, seed, buckets).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), F.col("copies_taken").alias("__copies")).withColumn("__again", again)
-    docs = df.withColumns({"__id": F.col("doc_id"), "__source": F.col("source"), "__tie": F.xxhash64("text")}).withColumn("__again", again).alias("d")
-    c = copies.where("__copies > 0").alias("c")
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key]
-    rows = docs.join(c, same[0] & same[1] & same[2] & same[3])
-    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*(F.col(f"d.`{n}`") for n in df.columns))
+    """The rows of df, each as often as it is taken. Numbers are found on narrow rows; texts are dealt once, by identifier where
+    identifiers are unique, else by identifier, source and digest, with a number for repeated rows."""
+    rows = saved(taken(df, seed, buckets).select("doc_id", "source", "tie", "copies_taken"), "taken")
+    c = rows.where("copies_taken > 0").alias("c")
+    if keyed(rows, "doc_id"):
+        docs, same = df.alias("d"), F.col("d.doc_id") == F.col("c.doc_id")
+        whole = [F.col(f"d.`{n}`").alias(n) for n in df.columns]
+    else:
+        whole = [F.col(f"d.row.`{n}`").alias(n) for n in df.columns]
+        docs = df.select(F.struct(*(F.col(f"`{n}`") for n in df.columns)).alias("row"), "doc_id", "source", F.xxhash64("text").alias("tie"))
+        again = F.row_number().over(Window.partitionBy("doc_id", "source", "tie").orderBy(F.lit(1)))  # repeated rows only
+        docs, c = docs.withColumn("again", again).alias("d"), rows.withColumn("again", again).where("copies_taken > 0").alias("c")
+        same = reduce(and_, (F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in ("doc_id", "source", "tie", "again")))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("c.copies_taken"))).alias("copy")
+    return docs.join(c, same).select(F.struct(*whole).alias("row"), copies).select(*(F.col(f"row.`{n}`") for n in df.columns))
