@@ -353,6 +353,15 @@ def test_suffix(docs, rows, nothing):
     assert suffix.dedup(nothing).count() == 0
 
 
+def test_passages_of_few_letters(spark):
+    """Repeats at all places of an anchor, periodic texts, and chance meetings of anchors."""
+    rng = random.Random(5)
+    part = ["".join(rng.choice("ab") for _ in range(rng.choice((24, 36, 37, 49, 50, 51, 90)))) for _ in range(30)]
+    made = [(i, rng.choice(("", "a" * 60, "ab" * 70, "xyz")).join(rng.choice(part) for _ in range(rng.randint(0, 9))), "", "", 0) for i in range(150)]
+    out = suffix.dedup(spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n long").repartition(4), keep_text=False)
+    assert collections.Counter(map(tuple, out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == plain_removal(made)
+
+
 def test_suffix_shards_agree(docs, rows, monkeypatch):
     monkeypatch.setattr(suffix, "SHARD", 400)  # an anchor goes on over several shards
     bodies = [(b"0123456789" * 12)[k : k + 60 + k] for k in range(8)] * 3

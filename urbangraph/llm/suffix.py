@@ -3,19 +3,22 @@
 A byte is removed if a 50-byte string covers it that also starts in a document with a smaller identifier.
 
 Every 50-byte string has an anchor: the least hash of the 24-byte strings in it. Equal strings have equal anchors, so a
-text is cut into fragments of neighbouring strings with one anchor, and only fragments with equal anchors need to meet. Two
-passes read the texts. The first finds the anchors that different texts share; a filter of fixed size tells the second
-which fragments to send (what it lets through in excess finds no partner). Within a task equal fragments are sent once,
-and the later documents' ones are known to be repeats. Fragments are dealt and sorted by anchor and identifier and come in shards of
+text is cut into fragments of neighbouring strings with one anchor, and only fragments with equal anchors need to meet. Three
+passes read the texts. The first finds the anchors that different texts share. The second sends the fragments with such anchors,
+without their bytes: dealt and sorted by anchor, digest and identifier, they tell a stream which fragments are repeats as a whole,
+and which (the first documents' ones, of anchors with several digests) may have strings in common with others. Only the latter are sent with
+their bytes, by the third. Filters of fixed size tell a pass what the one before has found; what they let through in excess finds no partner.
+
+Fragments with bytes are dealt and sorted by anchor and identifier and come in shards of
 bounded size. In a shard equal fragments are joined; of anchors with several different ones a suffix array is made by
 Larsson-Sadakane refinement (sorting only groups still equal, by the rank of what follows them), and Kasai's common
 prefixes tell which 50-byte strings are equal. An anchor that goes on in the next shard takes its sorted strings along,
 where later ones are found by binary search; as documents come in ascending order, only later ones can be repeats.
-Anchors of more than MOST fragments would gather too many strings in one task: their fragments are sent as single strings, each
+Anchors of more than MOST such fragments would gather too many strings in one task: their fragments are sent as single strings, each
 dealt by its own hash instead of the anchor, so only equal strings have to meet. Known repeats are dealt by text and place.
 
-Texts are known by 64-bit hashes, equal fragments within a task too (among a billion texts, two different ones
-share a hash with a probability of 3 in 100). Equal texts are handled once: all but the least document's are repeats throughout.
+Texts are known by 64-bit hashes (among a billion texts, two different ones share a hash with a probability of 3 in 100), fragments
+by their anchor's and their own. Equal texts are handled once: all but the least document's are repeats throughout.
 
 Defined results: a null text is empty; a text of fewer than 50 bytes keeps all; rows with equal identifiers are no repeats of
 one another; a null identifier comes after all others; an empty table gives an empty table; further columns are not read.
@@ -30,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbangraph.llm.arrays import PLACES, as_arrow, mix, pieces, saved, utf8
+from urbangraph.llm.arrays import PLACES, Recent, as_arrow, freed, mix, pieces, saved, utf8
 from urbangraph.llm.jaccard import bit_filter, has_bit
 
 LENGTH, GRAM = 50, 24
 #: Strings of one fragment, and bytes of one shard's fragments.
 STRINGS, SHARD = 64, 1 << 20
-#: Fragments that a task remembers as sent.
+#: Texts and fragments that a task remembers as sent.
 REMEMBERED = 200_000
 FILTER_BITS = 27
 #: Fragments of an anchor that may meet in one task; the filter of the anchors beyond.
@@ -214,47 +217,118 @@ def shard(anchor: np.ndarray, doc: np.ndarray, bodies: list[bytes], carried: Car
 
 
 def shared_anchors(docs: DataFrame) -> DataFrame:
-    """anchor, n: those that different texts have, and how many fragments."""
+    """anchor: those that different texts have."""
 
     def run(batches):
-        seen: set[int] = set()
+        recent = Recent()
         for batch in pieces(batches):
             ids = batch.column("text_id").to_numpy()
-            fresh = np.array([not (x in seen or seen.add(x)) for x in ids.tolist()])
-            batch = batch.filter(pa.array(fresh))
-            anchor, text, _, _ = fragments(*utf8(batch.column("text")))
+            fresh = recent.fresh(ids)
+            anchor, text, _, _ = fragments(*utf8(batch.column("text").take(pa.array(fresh))))
             yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor.view(np.int64)), "text_id": pa.array(ids[fresh][text])})
 
     found = as_arrow(docs.select("text_id", "text"), run, "anchor long, text_id long")
-    return found.groupBy("anchor").agg(F.min("text_id").alias("low"), F.max("text_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("anchor", "n")
+    return found.groupBy("anchor").agg(F.min("text_id").alias("low"), F.max("text_id").alias("high")).where("low < high").select("anchor")
+
+
+class Copies:
+    """Which copies of a text come in the order of ever smaller documents: later ones are repeats as a whole."""
+
+    def __init__(self):
+        self.least: dict[int, int] = {}
+
+    def smaller(self, ids: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        out = []
+        for t, d in zip(ids.tolist(), docs.tolist(), strict=True):
+            before = self.least.get(t, LAST + 1)
+            out.append(d < before)
+            self.least[t] = min(d, before)
+        if len(self.least) > REMEMBERED:
+            self.least.clear()
+        return np.array(out, bool)
+
+
+def contents(data: np.ndarray, start: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """Digests of fragments: polynomials of their bytes."""
+    power = powers(len(data) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * power[0][:-1])])
+    return mix((total[start + strings + LENGTH - 1] - total[start]) * power[1][start] + strings.astype(np.uint64))
 
 
-def sent(docs: DataFrame, packed, many) -> DataFrame:
-    """The fragments with shared anchors, those of anchors in many string by string, and (without a body) those known to be repeats."""
+def place_of(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix(ids.view(np.uint64) + start.astype(np.uint64) * PLACES[9])
+
+
+def met(docs: DataFrame, packed) -> DataFrame:
+    """Runs that are repeats as a whole, and those (`open`) that may be in part: anchor long, text_id, doc, start, strings, open boolean, place (a digest)."""
+
+    def send(batches):
+        copies = Copies()
+        for batch in pieces(batches):
+            ids, doc = batch.column("text_id").to_numpy(), batch.column("doc").to_numpy()
+            some = copies.smaller(ids, doc)
+            batch, ids, doc = batch.filter(pa.array(some)), ids[some], doc[some]
+            data, offsets = utf8(batch.column("text"))
+            anchor, text, start, strings = fragments(data, offsets)
+            keep = has_bit(packed.value, anchor, FILTER_BITS)
+            anchor, text, start, strings = anchor[keep], text[keep], start[keep], strings[keep]
+            made = {"anchor": anchor.view(np.int64), "content": contents(data, start, strings).view(np.int64), "doc": doc[text], "text_id": ids[text], "start": (start - offsets[text]).astype(np.int32), "strings": strings.astype(np.int32)}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in made.items()})
+
+    def settle(batches):
+        last = [None, None, 0, 0]  # of the row before: anchor, content, the content's least document, contents of the anchor so far
+        waiting: list[pa.RecordBatch] = []  # first rows of an anchor that has had one content so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor, content, doc = (batch.column(c).to_numpy() for c in ("anchor", "content", "doc"))
+            new = np.append(anchor[0] != last[0], anchor[1:] != anchor[:-1])
+            other = new | np.append(content[0] != last[1], content[1:] != content[:-1])
+            begin = np.maximum.accumulate(np.where(other, np.arange(len(doc)), -1))
+            first = np.where(begin >= 0, doc[begin], last[2])
+            group, nth = np.cumsum(new), np.cumsum(other)  # group 0: the anchor of the batch before
+            starts = np.append(-last[3], nth[new] - 1)
+            count = nth - starts[group]
+            ends = np.searchsorted(group, np.arange(group[-1] + 1), "right") - 1
+            several, lead = count[ends][group] > 1, doc == first
+            if not new[0] and count[ends[0]] > 1:
+                yield from waiting
+            if new[0] or count[ends[0]] > 1 or group[-1]:
+                waiting = []
+            places = place_of(batch.column("text_id").to_numpy(), batch.column("start").to_numpy())
+            rows = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("anchor", "text_id", "doc", "start", "strings")), pa.array(lead), pa.array(places.view(np.int64))], ["anchor", "text_id", "doc", "start", "strings", "open", "place"])
+            yield rows.filter(pa.array(~lead | several))
+            held = lead & ~several & (group == group[-1])
+            if held.any():
+                waiting.append(rows.filter(pa.array(held)))
+            last = [anchor[-1], content[-1], first[-1], count[-1]]
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = as_arrow(docs.select("doc", "text_id", "text"), send, "anchor long, content long, doc long, text_id long, start int, strings int")
+    return as_arrow(rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc"), settle, "anchor long, text_id long, doc long, start int, strings int, open boolean, place long")
+
+
+def sent(docs: DataFrame, packed, opened, many) -> DataFrame:
+    """The open fragments, those of anchors in many string by string, and (without a body) those known to be repeats."""
 
     def run(batches):
-        seen: dict[int, int] = {}
+        copies = Copies()
         least: dict[int, int] = {}
         for batch in pieces(batches):
             ids, doc = batch.column("text_id").to_numpy(), batch.column("doc").to_numpy()
-            fresh = []
-            for t, d in zip(ids.tolist(), doc.tolist(), strict=True):  # a later copy of a text is a repeat as a whole
-                fresh.append(d < seen.get(t, LAST + 1))
-                seen[t] = min(d, seen.get(t, d))
+            fresh = copies.smaller(ids, doc)
             batch, ids, doc = batch.filter(pa.array(fresh)), ids[fresh], doc[fresh]
             data, offsets = utf8(batch.column("text"))
             anchor, text, start, strings = fragments(data, offsets)
-            some = has_bit(packed.value, anchor, FILTER_BITS) if len(anchor) else np.zeros(0, bool)
+            some = has_bit(packed.value, anchor, FILTER_BITS) & has_bit(opened.value, place_of(ids[text], start - offsets[text]), FILTER_BITS)
             anchor, text, start, strings = anchor[some], text[some], start[some], strings[some]
             if not len(anchor):
                 continue
-            power = powers(len(data) + 1)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * power[0][:-1])])
             raw = data.tobytes()
 
-            def part(anchor, text, start, strings, total=total, power=power, data=data, raw=raw, doc=doc, ids=ids, offsets=offsets, by_string=False):
+            def part(anchor, text, start, strings, data=data, raw=raw, doc=doc, ids=ids, offsets=offsets, by_string=False):
                 """A batch, and which rows have a body; by_string: rows are single strings, dealt by their hashes."""
-                content = mix((total[start + strings + LENGTH - 1] - total[start]) * power[1][start] + strings.astype(np.uint64))
+                content = contents(data, start, strings)
                 anchor = content if by_string else anchor
                 bodies = []
                 for c, d, s, n in zip(content.tolist(), doc[text].tolist(), start.tolist(), strings.tolist(), strict=True):
@@ -365,14 +439,19 @@ def dedup(df: DataFrame, keep_text: bool = True) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = df.select("doc_id", text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("text_id"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
     spark = df.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # each step is saved, so its shuffles can go
     shared = saved(shared_anchors(docs), "anchors")
     packed = spark.sparkContext.broadcast(bit_filter(shared, "anchor", FILTER_BITS))  # 16 MB
-    many = spark.sparkContext.broadcast(bit_filter(shared.where(F.col("n") > MOST), "anchor", MANY_BITS))  # 2 MB
-    flags = saved(repeats(sent(docs, packed, many)), "repeats")
+    found = saved(met(docs, packed), "met")
+    freed(shared)
+    opened = spark.sparkContext.broadcast(bit_filter(found.where("open"), "place", FILTER_BITS))  # 16 MB
+    counts = found.where("open").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST)
+    many = spark.sparkContext.broadcast(bit_filter(counts, "anchor", MANY_BITS))  # 2 MB
+    part = saved(repeats(sent(docs, packed, opened, many)), "repeats")
+    flags = found.where("not open").select("text_id", "doc", "start", "strings").union(part)
     classes = saved(docs.groupBy("text_id").agg(F.min("doc").alias("first")), "classes")
     runs = flags.groupBy("text_id", "doc").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))  # a text's own runs
     runs = saved(runs.join(classes, (runs["text_id"] == classes["text_id"]) & (runs["doc"] == classes["first"])).select(runs["text_id"], "runs"), "runs")
+    freed(found, part)
     results = cut(docs, runs)
     if not keep_text:
         results = results.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
