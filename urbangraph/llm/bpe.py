@@ -39,7 +39,7 @@ def ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """most: steps kept; beyond that all states are forgotten and found anew."""
 
-    def __init__(self, vocabulary: dict[bytes, int], most: int = 300_000):
+    def __init__(self, vocabulary: dict[bytes, int], most: int = 150_000):
         self.rank, self.bytes, self.most = vocabulary, {i: b for b, i in vocabulary.items()}, most
         self.child: dict[int, int] = {}
         self.token, self.inner = [-1], [True]
@@ -210,14 +210,18 @@ class Utf8Stream:
 
 
 @lru_cache(1)
-def codec(path: str) -> tuple[Memory, Utf8Stream]:
-    vocabulary = ranks(path)
-    machine = Transducer(vocabulary)
+def encoder(path: str) -> Memory:
+    machine = Transducer(ranks(path))
 
     def encode(words: list[str]) -> list[list[int]]:
         return [machine.encode(w.encode()) for w in words]
 
-    return Memory(encode), Utf8Stream(vocabulary)
+    return Memory(encode)
+
+
+@lru_cache(1)
+def decoder(path: str) -> Utf8Stream:
+    return Utf8Stream(ranks(path))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -225,8 +229,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
 
     def run(batches):
         for batch in pieces(batches):
-            memory, _ = codec(path)
-            counts, ids = memory.tokens(texts(batch.column("text")))
+            counts, ids = encoder(path).tokens(texts(batch.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], [*keep, "ids"])
 
@@ -239,7 +242,7 @@ def decode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
     def run(batches):
         for batch in batches:
-            _, stream = codec(path)
+            stream = decoder(path)
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 out = [stream.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in part.column("ids")]
