@@ -91,7 +91,8 @@ def test_bpe(docs, rows, nothing, tik):
         ids = tik.encode_ordinary(of(r))
         want[r[0], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(of(r).encode()).hexdigest()] += 1
     assert collections.Counter(map(tuple, out.collect())) == want
-    assert bpe.decode(bpe.encode(nothing, TIK), TIK).count() == 0
+    assert collections.Counter(map(tuple, bpe.digests(bpe.round_trip(awkward(docs), TIK)).collect())) == want
+    assert bpe.decode(bpe.encode(nothing, TIK), TIK).count() == bpe.round_trip(nothing, TIK).count() == 0
 
 
 def test_transducer_forgets(tik):

@@ -224,17 +224,28 @@ def decoder(path: str) -> Utf8Stream:
     return Utf8Stream(ranks(path))
 
 
+def ids_of(column: pa.Array, path: str) -> pa.ListArray:
+    counts, ids = encoder(path).tokens(texts(column))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
+
+
+def spelled(lists: pa.ListArray, path: str) -> pa.Array:
+    stream = decoder(path)
+    return pa.array([stream.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in lists], pa.binary())
+
+
+def types(df: DataFrame, keep: tuple[str, ...]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+
+
 def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` and `ids` array<int>: the token ids of each whole text by the ranks in `path`."""
 
     def run(batches):
         for batch in pieces(batches):
-            counts, ids = encoder(path).tokens(texts(batch.column("text")))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], [*keep, "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids_of(batch.column("text"), path)], [*keep, "ids"])
 
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return as_arrow(df.select(*keep, F.col(text).alias("text")), run, f"{schema}, ids array<int>")
+    return as_arrow(df.select(*keep, F.col(text).alias("text")), run, f"{types(df, keep)}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -242,14 +253,22 @@ def decode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
     def run(batches):
         for batch in batches:
-            stream = decoder(path)
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                out = [stream.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), part.column("ids"), pa.array(out, pa.binary())], [*keep, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), part.column("ids"), spelled(part.column("ids"), path)], [*keep, "ids", "decoded"])
+
+    return as_arrow(df, run, f"{types(df, keep)}, ids array<int>, decoded binary")
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """encode and decode in one pass, so that one worker a task holds the tables: `keep`, `ids`, `decoded`."""
+
+    def run(batches):
+        for batch in pieces(batches):
+            ids = ids_of(batch.column("text"), path)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids, spelled(ids, path)], [*keep, "ids", "decoded"])
 
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return as_arrow(df, run, f"{schema}, ids array<int>, decoded binary")
+    return as_arrow(df.select(*keep, F.col(text).alias("text")), run, f"{types(df, keep)}, ids array<int>, decoded binary")
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from urbangraph.llm import bpe
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.decode(bpe.encode(documents(spark, sf_dir), path), path))
+    return bpe.digests(bpe.round_trip(documents(spark, sf_dir), path))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
