@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from networks import by_line, chain, frame, square
@@ -139,3 +140,55 @@ def test_raster(spark):
 
 def test_square_lengths(spark):
     assert axial.with_length(frame(spark, square(3))).agg(F.sum("length")).first()[0] == 12
+
+
+def test_gaussian_kernel_values():
+    share = lambda x: math.erf(x / math.sqrt(2))
+    half = [(share((i + 0.5) * 6 / 7) - share((i - 0.5) * 6 / 7)) / 2 / share(3) for i in range(4)]
+    assert G.gaussian_kernel(1.0) == pytest.approx([*half[:0:-1], *half], abs=2e-4)
+
+
+def test_unlinks_take_turns(spark):
+    rng = random.Random(4)
+    made = [(0, 0, 100, 0), (0, 7, 100, 7)] + [(x, -5, x + rng.uniform(-3, 3), 12) for x in range(5, 95, 6)]
+    lines = frame(spark, made)
+    crossings = [tuple(r) for r in axial.crossing_pairs(lines).select("line_a", "line_b", "x", "y", "t_a").collect()]
+    unlinks = [(i, rng.uniform(20, 60), rng.uniform(-2, 9)) for i in range(18)]
+    left = sorted(c for c in crossings)
+    for _, x, y in unlinks:
+        inner = [c for c in left if c[4] not in (0.0, 1.0)]
+        left.remove(min(inner, key=lambda c: (math.hypot(c[2] - x, c[3] - y), c[0], c[1])))
+    df = spark.createDataFrame(unlinks, "pt_id long, x double, y double").repartition(3)
+    found = axial.without_unlinks(axial.crossing_pairs(lines), df)
+    assert sorted((r.line_a, r.line_b) for r in found.collect()) == sorted(c[:2] for c in left)
+    row = frame(spark, [(-20, 0, 20, 0)] + [(x, -1, x, 1) for x in (-7, 0, 2, 10)])
+    three = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.1, 0.0), (2, 2.0, 0.0)], "pt_id long, x double, y double")
+    assert [r.x for r in axial.without_unlinks(axial.crossing_pairs(row), three).collect()] == [-7.0]
+    assert axial.without_unlinks(axial.crossing_pairs(row), three.limit(0)).count() == 4
+
+
+def plain_region_points(ring, interval):
+    out, t, n = [ring[0]], interval, len(ring)
+    for i, (x, y) in enumerate(ring):
+        to = ring[(i + 1) % n]
+        whole = math.hypot(to[0] - x, to[1] - y)
+        if whole:
+            length = whole - (0.5 * interval if i == n - 1 else 0)
+            while t < length:
+                out.append((x + (to[0] - x) * t / whole, y + (to[1] - y) * t / whole))
+                t += interval
+            t -= length
+    return out
+
+
+def test_region_points_against_a_walk(spark):
+    rng = random.Random(9)
+    rings = [[(0, 0), (15, 0), (15, 10), (0, 10)], [(0, 0), (40, 0), (40, 5), (0, 5)], [(0, 0), (0, 0), (30, 0), (30, 1), (30, 1)], [(1, 2), (1, 2)], [(0, 0), (3, 0), (3, 3)]]
+    rings += [[(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(rng.randint(3, 9))] for _ in range(30)]
+    rows = [(i, [(float(x), float(y)) for x, y in ring]) for i, ring in enumerate(rings)]
+    found = {}
+    for r in segment_map.region_points(spark.createDataFrame(rows, "region_id long, ring array<struct<x:double,y:double>>"), 20.0).orderBy("region_id", "k").collect():
+        found.setdefault(r.region_id, []).append((r.x, r.y))
+    for i, ring in rows:
+        assert found[i] == [pytest.approx(p, abs=1e-6) for p in plain_region_points(ring, 20.0)], ring
+    assert len(found[0]) == 2

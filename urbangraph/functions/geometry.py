@@ -164,7 +164,9 @@ def hectares(x: Column) -> Column:
 
 
 def gaussian_kernel(sigma: float) -> list[float]:
-    """Weights at -3 sigma to 3 sigma, each the mean of ten samples of its pixel, adding up to 1."""
+    """Weights of the 2 r + 1 pixels around one, r = ceil(3 sigma): they share the range of r / sigma on both sides evenly, each weighs the
+    mean of ten samples of the bell curve in its share (the middle one ten in each half), and all add up to 1."""
     r = math.ceil(3 * sigma)
-    raw = [sum(math.exp(-((i - 0.45 + 0.1 * k) ** 2) / (2 * sigma * sigma)) for k in range(10)) for i in range(-r, r + 1)]
+    step = r / sigma / (r + 0.5)
+    raw = [sum(math.exp(-(((i - 0.5 + (k + 0.5) / n) * step) ** 2) / 2) for k in range(n)) / n for i in range(-r, r + 1) for n in (10 if i else 20,)]
     return [x / sum(raw) for x in raw]

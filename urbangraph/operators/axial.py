@@ -43,28 +43,30 @@ def crossing_pairs(left: DataFrame, right: DataFrame | None = None, cell: float
 
 def without_unlinks(crossings: DataFrame, unlinks: DataFrame | None, most: float | None = None) -> DataFrame:
     """crossings without those that unlinks (pt_id, x, y) take: in the order of pt_id each unlink takes the nearest crossing left,
-    not at the shared ends of two lines. An unlink whose nearest is wanted by none before it takes it at once; the others go on to the
-    next round with what is left."""
+    not at an end of its first line. In rounds: each open unlink asks for the nearest crossing that none before it in order
+    holds, a crossing goes to the first that asks, and whoever loses one that way is open again. That ends with the same as taking turns. No unlinks
+    or no crossings: nothing changes."""
     if unlinks is None:
         return crossings
-    from_end = (F.col("t_a").isin(0.0, 1.0)) & (F.col("t_b").isin(0.0, 1.0))
     open_ = cut(unlinks.select("pt_id", F.col("x").alias("ux"), F.col("y").alias("uy")))
-    left = crossings
+    everyone = open_
+    pair = ["line_a", "line_b"]
+    inner = cut(crossings.where(~F.col("t_a").isin(0.0, 1.0)).select(*pair, "x", "y"))
+    held = None
     while open_.take(1):
-        inner = left.where(~from_end)
-        reach = most
-        near = nearest_crossing(open_, inner, reach)
-        wanted = near.withColumn("turn", F.row_number().over(Window.partitionBy("line_a", "line_b").orderBy("pt_id")))
-        taken = cut(wanted.where("turn = 1").select("pt_id", "line_a", "line_b"))
-        if not taken.take(1):
-            break
-        left = cut(left.join(taken.select("line_a", "line_b"), ["line_a", "line_b"], "left_anti"))
-        open_ = cut(open_.join(taken.select("pt_id"), "pt_id", "left_anti"))
-    return left
+        free = inner.withColumn("holder", F.lit(None).cast("long")) if held is None else inner.join(held, pair, "left")
+        asked = nearest_crossing(open_, free, most).select("pt_id", *pair)
+        claims = asked if held is None else asked.union(held.select(F.col("holder").alias("pt_id"), *pair))
+        new = cut(claims.groupBy(*pair).agg(F.min("pt_id").alias("holder")))
+        settled = asked.select("pt_id") if held is None else asked.select("pt_id").union(held.select("holder"))
+        open_ = cut(settled.distinct().join(new.select(F.col("holder").alias("pt_id")), "pt_id", "left_anti").join(everyone, "pt_id"))
+        held = new
+    return crossings if held is None else crossings.join(held.select(*pair), pair, "left_anti")
 
 
 def nearest_crossing(unlinks: DataFrame, crossings: DataFrame, most: float | None) -> DataFrame:
-    """pt_id, line_a, line_b of the nearest crossing, searched in rings that double until one is found within the ring."""
+    """pt_id, line_a, line_b of the nearest crossing without a holder of a smaller pt_id, searched in rings, each four times as wide,
+    until one is found within the ring."""
     radius, limit, found = 30.0, most or float("inf"), None
     todo = unlinks
     bounds = crossings.agg(F.max(F.abs("x")), F.max(F.abs("y")), F.count(F.lit(1))).first()
@@ -77,7 +79,7 @@ def nearest_crossing(unlinks: DataFrame, crossings: DataFrame, most: float | Non
         a = grid.boxed(todo, "ux", "uy", "ux", "uy", r)
         b = grid.boxed(crossings, "x", "y", "x", "y")
         d = G.distance(F.col("ux"), F.col("uy"), F.col("r_x"), F.col("r_y"))
-        near = grid.overlapping(a, b, max(r, 1.0)).withColumn("d", d).where(F.col("d") <= r)
+        near = grid.overlapping(a, b, max(r, 1.0)).withColumn("d", d).where((F.col("d") <= r) & (F.col("r_holder").isNull() | (F.col("r_holder") > F.col("pt_id"))))
         best = near.groupBy("pt_id").agg(F.min(F.struct("d", "r_line_a", "r_line_b")).alias("best")).select("pt_id", F.col("best.r_line_a").alias("line_a"), F.col("best.r_line_b").alias("line_b"), F.col("best.d").alias("d"))
         best = cut(best)
         found = best if found is None else found.union(best)

@@ -134,13 +134,14 @@ def with_base_columns(result: DataFrame, layer: DataFrame, columns: list[str]) -
 
 
 def region_points(regions: DataFrame, interval: float) -> DataFrame:
-    """region_id, k, x, y: the first corner, then a point every interval along the edge; none where less than half an interval is
-    left before the first corner again."""
+    """region_id, k, x, y: the first corner, then a point every interval along the edge; on the last edge only where more than
+    half an interval is left before the first corner again. Edges without length count for nothing; a null or empty ring has no points."""
     edges = regions.select("region_id", F.posexplode(G.ring_edges(F.col("ring"))).alias("i", "e")).select("region_id", "i", "e.*").withColumn("length", G.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    along = Window.partitionBy("region_id").orderBy("i")
-    edges = edges.withColumn("to", F.sum("length").over(along)).withColumn("from", F.col("to") - F.col("length")).withColumn("whole", F.sum("length").over(Window.partitionBy("region_id")))
-    last = F.greatest(F.floor(F.col("whole") / interval - 0.5), F.lit(0))
-    k = F.sequence(F.ceil(F.col("from") / interval), F.least(F.ceil(F.col("to") / interval) - 1, last))
-    points = edges.where(F.ceil(F.col("from") / interval) <= F.least(F.ceil(F.col("to") / interval) - 1, last)).withColumn("k", F.explode(k))
+    ring = Window.partitionBy("region_id")
+    edges = edges.withColumn("to", F.sum("length").over(ring.orderBy("i"))).withColumn("from", F.col("to") - F.col("length"))
+    last = F.max_by(F.when(F.col("length") > 0, F.greatest("from", F.col("to") - 0.5 * interval)).otherwise(F.col("to")), "i").over(ring)
+    edges = edges.withColumn("begin", F.greatest(F.ceil(F.col("from") / interval), F.lit(1))).withColumn("end", F.ceil(F.least("to", last) / interval) - 1)
+    points = edges.where("length > 0 and begin <= end").withColumn("k", F.explode(F.sequence("begin", "end")))
     t = (F.col("k") * interval - F.col("from")) / F.col("length")
-    return points.select("region_id", F.col("k").cast("long").alias("k"), G.lerp(F.col("x1"), F.col("x2"), t).alias("x"), G.lerp(F.col("y1"), F.col("y2"), t).alias("y"))
+    points = points.select("region_id", F.col("k").cast("long").alias("k"), G.lerp(F.col("x1"), F.col("x2"), t).alias("x"), G.lerp(F.col("y1"), F.col("y2"), t).alias("y"))
+    return edges.where("i = 0").select("region_id", F.lit(0).cast("long").alias("k"), F.col("x1").alias("x"), F.col("y1").alias("y")).union(points)
