@@ -295,15 +295,15 @@ def fit(df: DataFrame, labels: DataFrame) -> Model | None:
     return train([r[0] for r in rows], [r[1] for r in rows])
 
 
-def score(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """All columns of df, and score double."""
+def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:
+    """All columns of df, and `name` double, which df must not have."""
 
     def run(batches):
         for batch in pieces(batches, text):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(model, *utf8(batch.column(text))))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(model, *utf8(batch.column(text))))], [*batch.schema.names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return as_arrow(df, run, f"{schema}, score double")
+    return as_arrow(df, run, f"{schema}, `{name}` double")
 
 
 def toxicity(df: DataFrame, labels: DataFrame) -> DataFrame:
