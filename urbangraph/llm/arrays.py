@@ -90,8 +90,13 @@ def as_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow with batches of bounded size."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
+    def each(batches):
+        for batch in batches:
+            yield batch
+            give_back()
+
     def whole(batches):
-        yield from run(batches)
+        yield from run(each(batches))
         give_back()
 
     return df.mapInArrow(whole, schema)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,9 @@ from urbangraph.llm.pretokens import Memory
 #: Above every rank.
 NEVER = 1 << 60
 
+#: Steps that a worker keeps: some 90 MB with their states. Fewer take less memory and more time; results are the same.
+MOST_STEPS = 300_000
+
 
 @lru_cache(2)
 def ranks(path: str) -> dict[bytes, int]:
@@ -37,9 +40,15 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """most: steps kept; beyond that all states are forgotten and found anew."""
+    """most: steps kept, and verdicts on pairs. The first half of the steps, which are mostly the common ones, stays when the rest is
+    forgotten and found anew; each KEEP-th time all are forgotten, so that the half that stays follows what the texts have become.
+
+    A state is one flat tuple of node, last token and waiting tokens by turns, which takes half of what a tuple for each member takes.
+    A step is its next state, or ~state if it emits tokens, which stand in `out`."""
 
-    def __init__(self, vocabulary: dict[bytes, int], most: int = 300_000):
+    KEEP = 16
+
+    def __init__(self, vocabulary: dict[bytes, int], most: int = MOST_STEPS):
         self.rank, self.bytes, self.most = vocabulary, {i: b for b, i in vocabulary.items()}, most
         self.child: dict[int, int] = {}
         self.token, self.inner = [-1], [True]
@@ -54,11 +63,21 @@ class Transducer:
                 node = self.child[key]
             self.token[node] = i
         self.sides: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.times, self.first = 0, None
         self.forget()
 
-    def forget(self) -> None:
-        self.states, self.steps, self.pairs = [((0, -1, ()),)], {}, {}
-        self.known = {self.states[0]: 0}
+    def forget(self, room: int = 0) -> None:
+        """Makes room for so many steps."""
+        if self.times % self.KEEP == 0 or self.first is None or self.first[1] + room > self.most:
+            self.first = None
+            self.states, self.steps, self.out = [(0, -1, ())], {}, {}
+        else:
+            n, m, k = self.first
+            del self.states[n:]
+            self.steps, self.out = dict(islice(self.steps.items(), m)), dict(islice(self.out.items(), k))
+        self.known = {x: i for i, x in enumerate(self.states)}
+        self.times += 1
 
     def merged(self, word: bytes) -> list[bytes]:
         """The plain rule: merge the adjoining pair of least rank, leftmost first, until none is in the vocabulary."""
@@ -112,42 +131,59 @@ class Transducer:
             self.pairs[key] = found
         return found
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        new, child, pairs = [], self.child, self.pairs
-        for node, last, wait in self.states[state]:
+    def step(self, state: int, byte: int) -> int:
+        new, waits, child, pairs = [], [], self.child, self.pairs
+        members = iter(self.states[state])
+        for node, last, wait in zip(members, members, members, strict=True):
             to = child.get(node << 8 | byte)
             if to is None:
                 continue
             if self.inner[to]:
-                new.append((to, last, wait))
+                new += to, last, wait
+                waits.append(wait)
             token = self.token[to]
             if token >= 0 and (self.stands(last, token) if (known := pairs.get(last << 20 | token)) is None else known):
-                new.append((0, token, (*wait, token)))
-        waits = [x[2] for x in new]
-        out = waits[0]
-        for w in waits:
-            while w[: len(out)] != out:
-                out = out[:-1]
-        n = len(out)
-        key = tuple([(node, last, wait[n:]) for node, last, wait in new]) if n else tuple(new)
+                wait = (*wait, token)
+                new += 0, token, wait
+                waits.append(wait)
+        if out := waits[0]:
+            for w in waits:
+                while w[: len(out)] != out:
+                    out = out[:-1]
+        if out:
+            new[2::3] = [w[len(out) :] for w in waits]
+        key = tuple(new)
         to = self.known.setdefault(key, len(self.states))
         if to == len(self.states):
             self.states.append(key)
-        self.steps[state << 8 | byte] = to, out
-        return to, out
+        at = state << 8 | byte
+        if out:
+            self.out[at], to = out, ~to
+        self.steps[at] = to
+        if self.first is None and 2 * len(self.steps) > self.most:
+            self.first = len(self.states), len(self.steps), len(self.out)
+        return to
 
     def encode(self, word: bytes) -> list[int]:
-        if len(self.steps) + len(word) > self.most or len(self.pairs) > 2 * self.most:
-            self.forget()
-        out, state, steps = [], 0, self.steps
+        if len(self.steps) + len(word) > self.most:
+            self.forget(len(word))
+        if len(self.pairs) > self.most:
+            self.pairs.clear()
+        out, state, get = [], 0, self.steps.get
         for byte in word:
-            state, emitted = steps.get(state << 8 | byte) or self.step(state, byte)
-            if emitted:
-                out += emitted
-        for node, _, wait in self.states[state]:
-            if node == 0:
-                return out + list(wait)
-        return out
+            at = state << 8 | byte
+            state = get(at)
+            if state is None:
+                state = self.step(at >> 8, byte)
+            if state < 0:
+                out += self.out[at]
+                state = ~state
+        return out + self.ending(state)
+
+    def ending(self, state: int) -> list[int]:
+        """The tokens still waiting where the text ends with a token's end."""
+        members = iter(self.states[state])
+        return next((list(wait) for node, _, wait in zip(members, members, members, strict=True) if node == 0), [])
 
 
 class Utf8Stream:
@@ -210,8 +246,8 @@ class Utf8Stream:
 
 
 @lru_cache(1)
-def encoder(path: str) -> Memory:
-    machine = Transducer(ranks(path))
+def encoder(path: str, most: int = MOST_STEPS) -> Memory:
+    machine = Transducer(ranks(path), most)
 
     def encode(words: list[str]) -> list[list[int]]:
         return [machine.encode(w.encode()) for w in words]
@@ -224,8 +260,8 @@ def decoder(path: str) -> Utf8Stream:
     return Utf8Stream(ranks(path))
 
 
-def ids_of(column: pa.Array, path: str) -> pa.ListArray:
-    counts, ids = encoder(path).tokens(texts(column))
+def ids_of(column: pa.Array, path: str, most: int = MOST_STEPS) -> pa.ListArray:
+    counts, ids = encoder(path, most).tokens(texts(column))
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
 
 
@@ -260,12 +296,12 @@ def decode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     return as_arrow(df, run, f"{types(df, keep)}, ids array<int>, decoded binary")
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """encode and decode in one pass, so that one worker a task holds the tables: `keep`, `ids`, `decoded`."""
+def round_trip(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), most: int = MOST_STEPS) -> DataFrame:
+    """encode and decode in one pass, so that one worker a task holds the tables: `keep`, `ids`, `decoded`. most: as in Transducer."""
 
     def run(batches):
         for batch in pieces(batches):
-            ids = ids_of(batch.column("text"), path)
+            ids = ids_of(batch.column("text"), path, most)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids, spelled(ids, path)], [*keep, "ids", "decoded"])
 
     return as_arrow(df.select(*keep, F.col(text).alias("text")), run, f"{types(df, keep)}, ids array<int>, decoded binary")

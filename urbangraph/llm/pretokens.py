@@ -58,10 +58,13 @@ def split(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Memory:
-    """Token ids by piece. Forgets everything before it would hold more than `most` pieces."""
+    """Token ids by piece. Before it would hold more than `most` pieces it forgets those after the first half, which are mostly the
+    rarer ones; each KEEP-th time it forgets all."""
+
+    KEEP = 16
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 200_000):
-        self.encode, self.most, self.bits = encode, most, max(4, (2 * most).bit_length())
+        self.encode, self.most, self.bits, self.times = encode, most, max(4, (2 * most).bit_length()), 0
         self.clear()
 
     def clear(self) -> None:
@@ -69,6 +72,18 @@ class Memory:
         self.n, self.used = 0, 0
         self.counts, self.offsets, self.ids = np.zeros(self.most + 1, np.int64), np.zeros(self.most + 1, np.int64), np.zeros(1 << 20, np.int32)
 
+    def forget(self) -> None:
+        half = self.most // 2
+        self.times += 1
+        if self.times % self.KEEP == 0 or self.n <= half:
+            self.clear()
+            return
+        stay = (self.keys != 0) & (self.slots < half)
+        h, slots = self.keys[stay], self.slots[stay]
+        self.keys[:] = 0
+        self.n, self.used = half, int(self.offsets[half])
+        self.put(h, slots)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int32)
         left, at = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -98,7 +113,7 @@ class Memory:
             return slot
         fresh, at = np.unique(h[missing], return_index=True)
         if self.n + len(fresh) > self.most and self.n:
-            self.clear()
+            self.forget()
             return self.look_up(cp, starts, lengths, h)
         if len(fresh) > self.most:
             self.most = len(fresh)
