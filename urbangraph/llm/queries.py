@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbangraph.llm.oracles import OP11_SQL, OP12_SQL, OP13_SQL
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,6 +85,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(documents(spark, sf_dir))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urbangraph.llm import chat
+    from urbangraph.llm.arrays import saved
+
+    control = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    every = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(saved(chat.conversations(chat.chains(every), keep=("conv_id",)), "conversations"))
+
+
+def op12_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urbangraph.llm import clustering
+
+    return clustering.with_inertia(*clustering.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urbangraph.llm import resampling
+
+    return resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +124,9 @@ QUERIES = {
     "op8_sstable": op8_sstable,
     "op9_suffix": op9_suffix,
     "op10_pii": op10_pii,
+    "op11_chat": op11_chat,
+    "op12_annulus": op12_annulus,
+    "op13_resampling": op13_resampling,
     "pipeline": pipeline,
 }
 
@@ -123,4 +150,4 @@ numbered as (select *, row_number() over (partition by source order by bucket, s
 select doc_id, size, source_size, target, cast((floor(k * copies + first) - floor((k - 1) * copies + first)) * size as bigint) as taken from numbered
 """
 
-ORACLES = {"op4_mixing": OP4_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op11_chat": OP11_SQL, "op12_annulus": OP12_SQL, "op13_resampling": OP13_SQL}
