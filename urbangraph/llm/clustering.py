@@ -1,8 +1,8 @@
 """Operator 12: k-means over whole-number vectors, each assignment by annulus search.
 
-Centroids are sorted by norm. The centroid whose norm is nearest to a vector's gives an upper bound u of its distance to the closest one, and
-no centroid whose norm differs by more than u from the vector's can be closer: two binary searches cut the sorted norms to that annulus, whose
-border is part of it, so that ties there count. Those candidates are compared exactly, in whole numbers; of equally near centroids the one of
+Centroids are sorted by norm. The two whose norms lie on either side of a vector's give an upper bound u of its distance to the closest one,
+and no centroid whose norm differs by more than u from the vector's can be closer: two binary searches cut the sorted norms to that annulus,
+whose border is part of it, so that ties there count. Those candidates are compared exactly, in whole numbers; of equally near centroids the one of
 the smaller number is taken. Norms are square roots, so the annulus is widened by what rounding may take; a wider one only adds candidates.
 
 Vectors that are null, have another number of components or a null or non-finite one are left out. A null vec_id stays null and is hashed as
@@ -52,9 +52,9 @@ class Annuli:
     def candidates(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, end) of each vector's candidates in the order of norms."""
         norms = np.sqrt((vectors**2).sum(axis=1).astype(np.float64))
-        after = np.clip(np.searchsorted(self.norms, norms), 1, max(1, len(self.norms) - 1))
-        near = np.where(norms - self.norms[after - 1] <= self.norms[np.minimum(after, len(self.norms) - 1)] - norms, after - 1, np.minimum(after, len(self.norms) - 1))
-        bound = np.sqrt(((vectors - self.centroids[near]) ** 2).sum(axis=1).astype(np.float64))
+        above = np.minimum(np.searchsorted(self.norms, norms), len(self.norms) - 1)
+        beside = (self.centroids[np.maximum(above - 1, 0)], self.centroids[above])
+        bound = np.sqrt(np.minimum(*(((vectors - c) ** 2).sum(axis=1) for c in beside)).astype(np.float64))
         bound += 1e-6 + 1e-9 * (bound + norms + self.norms[-1])
         return np.searchsorted(self.norms, norms - bound, "left"), np.searchsorted(self.norms, norms + bound, "right")
 
