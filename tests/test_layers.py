@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 
@@ -127,6 +128,75 @@ def test_trim_tails_counts_junctions_beforehand(spark):
     assert by_line(segment_map.trim_tails(fork, 10.0), "line_id") == [0, 1, 2]
 
 
+def plain_detail(rows, deviation):
+    """rows: (line_id, base_id, start, end). Segments one after the other, each walking on from its end."""
+    line = {i: [base, a, b] for i, base, a, b in rows}
+    number = collections.Counter(p for _, _, a, b in rows for p in (a, b))
+    for one in sorted(line):
+        while one in line:
+            base, start, end = line[one]
+            others = [k for k, (_, a, b) in line.items() if k != one and end in (a, b)]
+            if number[end] != 2 or len(others) != 1 or line[others[0]][0] != base:
+                break
+            _, a, b = line[others[0]]
+            far = b if a == end else a
+            height = abs((end[0] - start[0]) * (far[1] - start[1]) - (end[1] - start[1]) * (far[0] - start[0])) / (math.dist(start, far) or 1)
+            if far == start or height > deviation:
+                break
+            line[one] = [base, start, far]
+            del line[others[0]]
+    return sorted((i, base, *a, *b) for i, (base, a, b) in line.items())
+
+
+def test_remove_detail_by_distance_from_the_chord(spark):
+    shape = "line_id long, base_id long, x1 double, y1 double, x2 double, y2 double"
+    detail = lambda rows, d: sorted(tuple(r) for r in segment_map.remove_detail(spark.createDataFrame([(i, b, *a, *c) for i, b, a, c in rows], shape).repartition(3), d).select("line_id", "base_id", "x1", "y1", "x2", "y2").collect())
+    assert detail([(0, 0, (0.0, 0.0), (50.0, 0.5)), (1, 0, (50.0, 0.5), (100.0, 0.0))], 1.0) == [(0, 0, 0.0, 0.0, 100.0, 0.0)]  # turns by 1.15 degrees
+    bend = [(500.0 * k, 500.0 * k * math.tan(math.radians(0.45 * k))) for k in range(6)]
+    far_off = [(k, 0, bend[k], bend[k + 1]) for k in range(5)]
+    assert len(detail(far_off, 1.0)) == 5  # turns by less than a degree, but metres off
+    assert detail([], 1.0) == []
+    rng, rows = random.Random(11), []
+    for base in range(40):
+        at, points = (1000.0 * base, 0.0), []
+        for _ in range(rng.randrange(2, 14)):
+            points.append(at)
+            at = (at[0] + rng.uniform(5, 40), at[1] + rng.uniform(-2, 2))
+        pieces = list(zip(points, points[1:] + [at], strict=True))
+        order = rng.sample(range(100), len(pieces)) if base % 3 == 0 else list(range(len(pieces)))
+        for (a, b), place in zip(pieces, sorted(order) if base % 2 else order, strict=True):
+            a, b = (b, a) if base % 3 == 0 and rng.random() < 0.5 else (a, b)
+            rows.append((100 * base + place, None if base == 7 else base if rng.random() < 0.9 else base + 500, a, b))
+        if base % 4 == 0:  # a side street in the middle
+            rows.append((100 * base + 99_000, base, points[len(points) // 2], (points[len(points) // 2][0], 90.0)))
+    rows += [(200_000 + k, 9000, (-10.0 + 3 * math.cos(k * math.pi / 3), 3 * math.sin(k * math.pi / 3)), (-10.0 + 3 * math.cos((k + 1) % 6 * math.pi / 3), 3 * math.sin((k + 1) % 6 * math.pi / 3))) for k in range(6)]  # a ring
+    for deviation in (0.5, 1.5, 10.0):
+        assert detail(rows, deviation) == plain_detail(rows, deviation), deviation
+
+
+def test_unlinks_take_all_cuts_of_a_point(spark):
+    shape = "base_id long, coords array<struct<x:double,y:double>>"
+    unlink = lambda x, y: spark.createDataFrame([(0, x, y)], "pt_id long, x double, y double")
+    pieces = lambda lines, u: segment_map.segment_map(spark.createDataFrame([(i, [(float(a), float(b)), (float(c), float(d))]) for i, (a, b, c, d) in enumerate(lines)], shape), unlinks=u, snap_distance=0.0, tail=0.0, deviation=0.0)[0].count()
+    three, tee = [(-10, 0, 10, 0), (0, -10, 0, 10), (-10, -10, 10, 10)], [(-10, 0, 10, 0), (0, 0, 0, 10)]
+    assert pieces(three, None) == 6 and pieces(three, unlink(0.5, 0.0)) == 3
+    assert pieces(tee, None) == 3 and pieces(tee, unlink(0.5, 0.0)) == 2
+    assert pieces(tee, unlink(0.0, -99.9)) == 2 and pieces(tee, unlink(0.0, -100.0)) == 3
+
+
+def test_unlinked_points_take_turns(spark):
+    rng = random.Random(5)
+    made = [(0, y, 100, y) for y in (0, 5, 10)] + [(x, -5, x, 15) for x in range(5, 95, 6)]
+    cuts = segment_map.cuts(frame(spark, made))
+    points = sorted({(r.x, r.y) for r in cuts.collect()})
+    unlinks = [(i, rng.uniform(20, 60), rng.uniform(-2, 9)) for i in range(30)]
+    left = list(points)
+    for _, x, y in unlinks:
+        left.remove(min(left, key=lambda p: (math.dist(p, (x, y)), p)))
+    found = axial.without_unlinked_points(cuts, spark.createDataFrame(unlinks, "pt_id long, x double, y double").repartition(3), 100.0)
+    assert sorted({(r.x, r.y) for r in found.collect()}) == left
+
+
 def test_raster(spark):
     lines = frame(spark, chain(1, 4)).withColumn("value", F.lit(2.0))
     assert raster.raster_lines(lines, 1.0).agg(F.sum("value")).first()[0] == pytest.approx(8)

@@ -41,46 +41,57 @@ def crossing_pairs(left: DataFrame, right: DataFrame | None = None, cell: float
     return found.select(F.col("line_id").alias("line_a"), F.col("r_line_id").alias("line_b"), "at.x", "at.y", F.col("at.t").alias("t_a"), F.col("at.u").alias("t_b"))
 
 
-def without_unlinks(crossings: DataFrame, unlinks: DataFrame | None, most: float | None = None) -> DataFrame:
+def without_unlinks(crossings: DataFrame, unlinks: DataFrame | None) -> DataFrame:
     """crossings without those that unlinks (pt_id, x, y) take: in the order of pt_id each unlink takes the nearest crossing left,
-    not at an end of its first line. In rounds: each open unlink asks for the nearest crossing that none before it in order
-    holds, a crossing goes to the first that asks, and whoever loses one that way is open again. That ends with the same as taking turns. No unlinks
-    or no crossings: nothing changes."""
-    if unlinks is None:
-        return crossings
-    open_ = cut(unlinks.select("pt_id", F.col("x").alias("ux"), F.col("y").alias("uy")))
-    everyone = open_
-    pair = ["line_a", "line_b"]
-    inner = cut(crossings.where(~F.col("t_a").isin(0.0, 1.0)).select(*pair, "x", "y"))
-    held = None
+    not at an end of its first line. No unlinks or no crossings: nothing changes."""
+    pair = ("line_a", "line_b")
+    held = unlinks and taken(unlinks, crossings.where(~F.col("t_a").isin(0.0, 1.0)).select(*pair, "x", "y"), pair)
+    return crossings if held is None else crossings.join(held, list(pair), "left_anti")
+
+
+def without_unlinked_points(cuts: DataFrame, unlinks: DataFrame | None, most: float) -> DataFrame:
+    """cuts without those in the points that unlinks (pt_id, x, y) take: in the order of pt_id each takes the nearest point with cuts that is
+    left and nearer than most, and all cuts there go, those at ends of lines too. Equally near points: the least x, then y."""
+    held = unlinks and taken(unlinks, cuts.select("x", "y").distinct(), ("x", "y"), most)
+    return cuts if held is None else cuts.join(held, ["x", "y"], "left_anti")
+
+
+def taken(unlinks: DataFrame, places: DataFrame, key: tuple[str, ...], most: float | None = None) -> DataFrame | None:
+    """The keys of the places (key columns, x, y) that unlinks take in turn; null if there are none to take. In rounds: each open unlink asks for
+    the nearest place that none before it in order holds, a place goes to the first that asks, and whoever loses one that way is open
+    again. That ends with the same as taking turns. Unlinks with a null coordinate take nothing."""
+    everyone = cut(unlinks.where("x is not null and y is not null").select("pt_id", F.col("x").alias("ux"), F.col("y").alias("uy")))
+    open_, held = everyone, None
+    places = cut(places.select(*(F.col(c).alias(f"k_{c}") for c in key), "x", "y"))
+    names = [f"k_{c}" for c in key]
     while open_.take(1):
-        free = inner.withColumn("holder", F.lit(None).cast("long")) if held is None else inner.join(held, pair, "left")
-        asked = nearest_crossing(open_, free, most).select("pt_id", *pair)
-        claims = asked if held is None else asked.union(held.select(F.col("holder").alias("pt_id"), *pair))
-        new = cut(claims.groupBy(*pair).agg(F.min("pt_id").alias("holder")))
+        free = places.withColumn("holder", F.lit(None).cast("long")) if held is None else places.join(held, names, "left")
+        asked = nearest_place(open_, free, names, most).select("pt_id", *names)
+        claims = asked if held is None else asked.union(held.select(F.col("holder").alias("pt_id"), *names))
+        new = cut(claims.groupBy(*names).agg(F.min("pt_id").alias("holder")))
         settled = asked.select("pt_id") if held is None else asked.select("pt_id").union(held.select("holder"))
         open_ = cut(settled.distinct().join(new.select(F.col("holder").alias("pt_id")), "pt_id", "left_anti").join(everyone, "pt_id"))
         held = new
-    return crossings if held is None else crossings.join(held.select(*pair), pair, "left_anti")
+    return None if held is None else held.select(*(F.col(f"k_{c}").alias(c) for c in key))
 
 
-def nearest_crossing(unlinks: DataFrame, crossings: DataFrame, most: float | None) -> DataFrame:
-    """pt_id, line_a, line_b of the nearest crossing without a holder of a smaller pt_id, searched in rings, each four times as wide,
+def nearest_place(unlinks: DataFrame, places: DataFrame, names: list[str], most: float | None) -> DataFrame:
+    """pt_id and the key of the nearest place without a holder of a smaller pt_id, nearer than most, searched in rings, each four times as wide,
     until one is found within the ring."""
     radius, limit, found = 30.0, most or float("inf"), None
     todo = unlinks
-    bounds = crossings.agg(F.max(F.abs("x")), F.max(F.abs("y")), F.count(F.lit(1))).first()
+    bounds = places.agg(F.max(F.abs("x")), F.max(F.abs("y")), F.count(F.lit(1))).first()
     if not bounds[2]:
-        return unlinks.sparkSession.createDataFrame([], "pt_id long, line_a long, line_b long, d double")
+        return places.select(F.lit(0).cast("long").alias("pt_id"), *names, F.lit(0.0).alias("d"))  # no rows
     far = unlinks.agg(F.max(F.abs("ux")), F.max(F.abs("uy"))).first()
     whole = 2.0 * (max(bounds[0], bounds[1]) + max(far[0] or 0.0, far[1] or 0.0)) + radius
     while True:
         r = min(radius, limit, whole)
         a = grid.boxed(todo, "ux", "uy", "ux", "uy", r)
-        b = grid.boxed(crossings, "x", "y", "x", "y")
+        b = grid.boxed(places, "x", "y", "x", "y")
         d = G.distance(F.col("ux"), F.col("uy"), F.col("r_x"), F.col("r_y"))
-        near = grid.overlapping(a, b, max(r, 1.0)).withColumn("d", d).where((F.col("d") <= r) & (F.col("r_holder").isNull() | (F.col("r_holder") > F.col("pt_id"))))
-        best = near.groupBy("pt_id").agg(F.min(F.struct("d", "r_line_a", "r_line_b")).alias("best")).select("pt_id", F.col("best.r_line_a").alias("line_a"), F.col("best.r_line_b").alias("line_b"), F.col("best.d").alias("d"))
+        near = grid.overlapping(a, b, max(r, 1.0)).withColumn("d", d).where((F.col("d") <= r) & (F.col("d") < limit) & (F.col("r_holder").isNull() | (F.col("r_holder") > F.col("pt_id"))))
+        best = near.groupBy("pt_id").agg(F.min(F.struct("d", *(F.col(f"r_{n}").alias(n) for n in names))).alias("best")).select("pt_id", *(F.col(f"best.{n}") for n in names), F.col("best.d").alias("d"))
         best = cut(best)
         found = best if found is None else found.union(best)
         todo = cut(todo.join(best, "pt_id", "left_anti"))

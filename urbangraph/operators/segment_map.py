@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,10 @@ from urbangraph.lineage import cut
 from urbangraph.operators import axial, grid, grouping, segments
 
 
+#: An unlink takes a point with cuts that is nearer than this.
+UNLINK_MOST = 100.0
+
+
 def split_polylines(polylines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """base_id, part (from 0), x1, y1, x2, y2 and the columns in keep: a row for each pair of neighbouring points."""
     pairs = F.transform(F.sequence(F.lit(1), F.size("coords") - 1), lambda i: F.struct(F.element_at("coords", i)["x"].alias("x1"), F.element_at("coords", i)["y"].alias("y1"), F.element_at("coords", i + 1)["x"].alias("x2"), F.element_at("coords", i + 1)["y"].alias("y2")))
@@ -90,25 +95,67 @@ def trim_tails(lines: DataFrame, shortest: float) -> DataFrame:
 
 
 def remove_detail(lines: DataFrame, deviation: float) -> DataFrame:
-    """Joins two segments of one base that alone meet in a point and turn by at most deviation degrees; of chains every second point at
-    most goes in a round, and rounds go on while any does."""
-    lines = cut(lines)
-    while True:
-        e = segments.ends(lines).join(segments.described(lines).select("line_id", "base_id", "orientation"), "line_id")
-        e = e.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("x", "y"))).where("n = 2").withColumn("out", F.when(F.col("end") == 1, F.col("orientation")).otherwise(G.reversed_angle(F.col("orientation"))))
-        a, b = (e.select("x", "y", "base_id", F.col("line_id").alias(f"l{s}"), F.col("end").alias(f"e{s}"), F.col("out").alias(f"o{s}")) for s in "ab")
-        pairs = a.join(b, ["x", "y", "base_id"]).where("la < lb").where(180.0 - G.angle_between(F.col("oa"), F.col("ob")) <= deviation).select("la", "ea", "lb", "eb")
-        best = pairs.select(F.col("la").alias("l"), F.struct("la", "lb").alias("r")).union(pairs.select("lb", F.struct("la", "lb"))).groupBy("l").agg(F.min("r").alias("r"))
-        now = best.groupBy("r").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("r.la", "r.lb")
-        now = cut(pairs.join(now, ["la", "lb"]).dropDuplicates(["la", "lb"]))
-        if not now.take(1):
-            return lines
-        far = lambda s: [F.when(F.col(f"e{s}") == 1, F.col(f"{s}.{c}1")).otherwise(F.col(f"{s}.{c}2")) for c in "xy"]
-        joined = now.join(lines.alias("a"), F.col("la") == F.col("a.line_id")).join(lines.alias("b"), F.col("lb") == F.col("b.line_id"))
-        (xa, ya), (xb, yb) = far("a"), far("b")
-        merged = joined.select(F.col("la").alias("line_id"), F.col("a.base_id"), xa.alias("x1"), ya.alias("y1"), xb.alias("x2"), yb.alias("y2"))
-        used = now.select(F.col("la").alias("line_id")).union(now.select("lb"))
-        lines = cut(lines.select("line_id", "base_id", "x1", "y1", "x2", "y2").join(used, "line_id", "left_anti").unionByName(merged))
+    """Chains of segments of one base, which alone meet in a point, with fewer points: in the order of line_id each segment still there keeps
+    its start, and its end moves on over the next segment while the end lies within deviation (in the units of x and y) of the straight line from
+    its start to the next segment's far end. The segment moved over goes. A segment doesn't move on to its own start.
+
+    Which two segments meet alone is found by counts of points, and what can be joined lies within one base, so a task walks the chains of its
+    bases one base at a time. Null base_ids are one base. An empty table stays empty."""
+    e = segments.ends(lines).join(lines.select("line_id", "base_id"), "line_id")
+    two = e.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("a"), F.max("line_id").alias("b"), F.count_distinct(F.coalesce("base_id", F.lit(-1))).alias("bases")).where("n = 2 and a < b and bases = 1")
+    pairs = two.select("x", "y", F.explode(F.array(F.struct(F.col("a").alias("line_id"), F.col("b").alias("next")), F.struct(F.col("b").alias("line_id"), F.col("a").alias("next")))).alias("p")).select("x", "y", "p.*")
+    met = lines.select("line_id", "base_id", "x1", "y1", "x2", "y2")
+    for i in (1, 2):
+        at = pairs.select("line_id", F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"), F.col("next").alias(f"at{i}"))
+        met = met.join(at, ["line_id", f"x{i}", f"y{i}"], "left")
+    alone = met.where("at1 is null and at2 is null").select("line_id", "base_id", "x1", "y1", "x2", "y2")
+    itself = [F.coalesce(f"at{i}", "line_id").alias(f"at{i}") for i in (1, 2)]  # where there is no neighbour
+    known = [F.coalesce("base_id", F.lit(0).cast("long")).alias("base"), F.col("base_id").isNull().alias("baseless")]
+    chained = met.where("at1 is not null or at2 is not null").select("line_id", "x1", "y1", "x2", "y2", *itself, *known)
+
+    def run(batches):
+        now, rows = None, []
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if now != (row.base, row.baseless):
+                    out += contracted(rows, deviation)
+                    now, rows = (row.base, row.baseless), []
+                rows.append(row)
+            yield frame(out)
+        yield frame(contracted(rows, deviation))
+
+    frame = lambda out: pd.DataFrame(out, columns=["line_id", "base", "baseless", "x1", "y1", "x2", "y2"])
+    walked = chained.repartition("base", "baseless").sortWithinPartitions("base", "baseless", "line_id")
+    kept = walked.mapInPandas(run, "line_id long, base long, baseless boolean, x1 double, y1 double, x2 double, y2 double")
+    return alone.unionByName(kept.select("line_id", F.when(~F.col("baseless"), F.col("base")).alias("base_id"), "x1", "y1", "x2", "y2"))
+
+
+def contracted(rows: list, deviation: float) -> list[tuple]:
+    """The segments of one base (with the neighbour at each end, or their own line_id) after remove_detail."""
+    line = {r.line_id: [(r.x1, r.y1), (r.x2, r.y2)] for r in rows}
+    meet: dict[tuple[float, float], set[int]] = {}
+    for r in rows:
+        for point, other in (((r.x1, r.y1), r.at1), ((r.x2, r.y2), r.at2)):
+            if other != r.line_id:
+                meet.setdefault(point, set()).update((r.line_id, other))
+    for one in sorted(line):
+        if one not in line:
+            continue
+        start, end = line[one]
+        while len(here := meet.get(end, ())) == 2:
+            (other,) = here - {one}
+            a, b = line[other]
+            far = b if a == end else a
+            dx, dy = far[0] - start[0], far[1] - start[1]
+            off = (end[0] - start[0]) * dy - (end[1] - start[1]) * dx
+            if far == start or off * off > deviation * deviation * (dx * dx + dy * dy):
+                break
+            del line[other]
+            if far in meet:
+                meet[far] = meet[far] - {other} | {one}
+            end = line[one][1] = far
+    return [(i, rows[0].base, rows[0].baseless, *a, *b) for i, (a, b) in line.items()]
 
 
 def segment_map(polylines: DataFrame, road_centre_lines: bool = False, unlinks: DataFrame | None = None, snap_distance: float = 1.0, tail: float = 10.0, deviation: float = 1.0, extrude: float = 0.0) -> tuple[DataFrame, DataFrame | None]:
@@ -121,7 +168,7 @@ def segment_map(polylines: DataFrame, road_centre_lines: bool = False, unlinks:
     if road_centre_lines:
         out, pieces = at.select("x", "y").distinct(), lines.select("line_id", "base_id", "part", F.lit(0).alias("piece"), "x1", "y1", "x2", "y2")
     else:
-        pieces = cut_lines(lines, axial.without_unlinks(at, unlinks, 100.0))
+        pieces = cut_lines(lines, axial.without_unlinked_points(at, unlinks, UNLINK_MOST))
     pieces = cut(grouping.numbered(pieces.withColumn("key", F.struct("line_id", "piece")).drop("line_id"), "key", "line_id").drop("key", "part", "piece"))
     clean = distinct_segments(snap(pieces, snap_distance) if snap_distance else pieces)
     clean = trim_tails(clean, tail) if tail else clean
