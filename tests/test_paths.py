@@ -1,3 +1,7 @@
+import itertools
+import math
+import random
+
 import pytest
 from networks import CROSSHAIR, SPLIT, SPLIT2, by_line, chain, frame, square
 
@@ -58,6 +62,150 @@ def test_angular_betweenness(spark):
     assert by_line(paths.angular_betweenness(frame(spark, SPLIT2)), "betweenness") == near([0, 1, 1, 3, 3, 0])
 
 
+def crooked(seed, n=4):
+    """A grid of streets with moved corners, some diagonals and some gaps."""
+    rng = random.Random(seed)
+    at = {(i, j): (100.0 * i + rng.randint(-30, 30), 100.0 * j + rng.randint(-30, 30)) for i in range(n) for j in range(n)}
+    ways = [((i, j), (i + a, j + b)) for i, j in at for a, b in ((1, 0), (0, 1), (1, 1)) if (i + a, j + b) in at and rng.random() < (0.9 if a + b == 1 else 0.3)]
+    return [(*at[p], *at[q]) if rng.random() < 0.5 else (*at[q], *at[p]) for p, q in ways]
+
+
+def moves(lines):
+    """{(line, forward): [(line, forward, turn, walk, point)]}, lengths and middles."""
+    length = [math.dist(x[:2], x[2:]) for x in lines]
+    middle = [((a + c) / 2, (b + d) / 2) for a, b, c, d in lines]
+    way = lambda i, f: math.degrees(math.atan2(lines[i][3] - lines[i][1], lines[i][2] - lines[i][0])) + 180 * (not f)
+    out = {}
+    for i, f in itertools.product(range(len(lines)), (0, 1)):
+        end = lines[i][2:] if f else lines[i][:2]
+        turn = lambda j, g, i=i, f=f: 180 - abs(abs(way(i, f) - way(j, g)) % 360 - 180)
+        out[i, f] = [(j, g, turn(j, g), (length[i] + length[j]) / 2, end) for j, g in itertools.product(range(len(lines)), (0, 1)) if j != i and (lines[j][:2] if g else lines[j][2:]) == end]
+    return out, length, middle
+
+
+def plain_betweenness(lines, kind, limits):
+    """Betweenness by settling one entry at a time from a list, and by walking back all least paths."""
+    near, length, middle = moves(lines)
+    score, counts = [0.0] * len(lines), []
+    both = kind == "angular"
+    for o in range(len(lines)):
+        name = (lambda s: s) if both else (lambda s: s[0])
+        far = lambda i, o=o: math.dist(middle[i], middle[o])
+        entries, dist, paths, begin = [], {}, {}, [name((o, 0)), name((o, 1))]
+
+        def extend(s, cost, so_far, path, entries=entries, dist=dist, o=o, far=far, name=name):
+            for j, g, turn, walk, _ in near[s]:
+                new = {"angular": so_far["angular"] + turn, "steps": so_far["steps"] + 1, "walking": so_far["walking"] + walk}
+                new["axmeter"] = so_far["axmeter"] + (length[s[0]] * new["steps"] + length[j] * (new["steps"] + 1)) / 2
+                if j != o and name((j, g)) not in dist and all(new[k] <= v for k, v in limits.items() if k != "straight") and far(j) <= limits.get("straight", math.inf):
+                    entries.append((cost + round((new[kind] - so_far[kind]) * 1e6), len(entries), (j, g), new, path))
+
+        for b in begin:
+            dist[b], paths[b] = 0, [[b]]
+        for f in (0, 1):
+            extend((o, f), 0, dict.fromkeys(("angular", "steps", "walking", "axmeter"), 0.0), name((o, f)))
+        open_ = set(range(len(entries)))
+        while open_:
+            k = min(open_, key=lambda k: entries[k][:2])
+            open_.remove(k)
+            cost, _, s, so_far, came = entries[k]
+            n = name(s)
+            if n not in dist:
+                dist[n], paths[n], before = cost, [], len(entries)
+                extend(s, cost, so_far, n)
+                open_ |= set(range(before, len(entries)))
+            if cost == dist[n]:
+                paths[n] += [[*p, n] for p in paths[came]]
+        reached = {}
+        for n in dist:
+            i = n[0] if both else n
+            reached[i] = min(reached.get(i, math.inf), dist[n])
+        for i, best in reached.items():
+            ends = [n for n in dist if (n[0] if both else n) == i and dist[n] <= best]
+            for n in ends if i != o else []:
+                for p in paths[n]:
+                    for x in p[1:-1]:
+                        score[x[0] if both else x] += 0.5 / len(paths[n])
+        counts.append((len(reached), sum(reached.values()) / 1e6))
+    return score, counts
+
+
+LIMITS = [{}, {"walking": 250.0}, {"walking": 320.0, "steps": 3}, {"angular": 130.0, "walking": 300.0}, {"axmeter": 600.0, "straight": 220.0}, {"straight": 200.0, "steps": 4, "angular": 200.0}]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_betweenness_with_several_limits(spark, monkeypatch, limits):
+    monkeypatch.setattr(paths, "ORIGINS", 5)
+    made = crooked(len(limits))
+    lines = frame(spark, made)
+    for kind in paths.KINDS:
+        score, counts = plain_betweenness(made, kind, limits)
+        out = paths.segment_betweenness(lines, kind, Radius(**limits), tile=150.0).orderBy("line_id").collect()
+        assert [r.betweenness for r in out] == pytest.approx(score, abs=1e-6), kind
+        assert [(r.node_count, r.total_depth * (90 if kind == "angular" else 1)) for r in out] == [(n, pytest.approx(d, abs=1e-4)) for n, d in counts], kind
+
+
+def plain_reached(lines, limits):
+    """Of each line the numbers of lines reached and the sum of their turns, entries of least whole degrees first."""
+    near, _, middle = moves(lines)
+    out = []
+    for o in range(len(lines)):
+        far = lambda p, o=o: math.dist(p, middle[o]) <= limits.get("straight", math.inf)
+        entries, key, turns = [(0, 0, (o, 0), 0.0, 0.0, 0), (0, 1, (o, 1), 0.0, 0.0, 0)], {}, {}
+        open_ = {0, 1}
+        while open_:
+            k = min(open_, key=lambda k: entries[k][:2])
+            open_.remove(k)
+            cost, _, s, turned, walked, steps = entries[k]
+            if s in key:
+                continue
+            key[s] = cost
+            turns.setdefault(s[0], turned)
+            for j, g, turn, walk, point in near[s] if steps < limits.get("steps", math.inf) else []:
+                if far(point) and far(middle[j]) and walked + walk <= limits.get("walking", math.inf) and turned + turn <= limits.get("angular", math.inf):
+                    open_.add(len(entries))
+                    entries.append((cost + int(turn + 0.5), len(entries), (j, g), turned + turn, walked + walk, steps + 1))
+        out.append((len(turns), pytest.approx(sum(turns.values()) / 90, abs=1e-6)))
+    return out
+
+
+@pytest.mark.parametrize("limits", [x for x in LIMITS if "axmeter" not in x])
+def test_choice_with_several_limits(spark, monkeypatch, limits):
+    monkeypatch.setattr(paths, "ORIGINS", 5)
+    made = crooked(10 + len(limits))
+    lines = frame(spark, made)
+    out = paths.angular_choice(lines, Radius(**limits), tile=150.0).orderBy("line_id").collect()
+    assert [(r.node_count, r.total_depth) for r in out] == plain_reached(made, limits)
+    monkeypatch.setattr(paths, "ORIGINS", 1000)
+    assert [r.choice for r in out] == pytest.approx(by_line(paths.angular_choice(lines, Radius(**limits), tile=1e6), "choice"))
+
+
+def test_limits_that_a_measure_does_not_apply(spark):
+    lines = frame(spark, chain(3, 3))
+    with pytest.raises(ValueError, match="angular choice takes no limit by axmeter"):
+        paths.angular_choice(lines, Radius(axmeter=1.0))
+    with pytest.raises(ValueError, match="no betweenness by straight"):
+        paths.segment_betweenness(lines, "straight")
+
+
+def test_paths_of_nothing(spark):
+    none = frame(spark, [(0, 0, 1, 1)]).limit(0)
+    for out in (paths.angular_choice(none), paths.segment_betweenness(none, "steps"), paths.angular_betweenness(none), paths.angular_choice(none, Radius(walking=5.0))):
+        assert out.count() == 0
+
+
+def test_groups_of_origins_agree_with_the_whole(spark, monkeypatch):
+    lines = frame(spark, crooked(3, 5))
+    measures = [lambda: paths.angular_choice(lines), lambda: paths.segment_betweenness(lines, "angular", weight="length"), lambda: paths.segment_betweenness(lines, "walking"), lambda: paths.angular_betweenness(lines, True)]
+    rows = lambda df: [tuple(r) for r in df.orderBy("line_id").collect()]
+    whole = [rows(m()) for m in measures]
+    monkeypatch.setattr(paths, "ORIGINS", 4)
+    dealt = paths.groups(lines, None, 2000.0)
+    assert dealt.select("part").distinct().count() > 5 and dealt.where("own").count() == lines.count()
+    for m, w in zip(measures, whole, strict=True):
+        assert rows(m()) == [tuple(pytest.approx(x) for x in r) for r in w]
+
+
 def test_tiles_agree_with_the_whole(spark):
     grid = [(100 * i, 100 * j, 100 * (i + 1), 100 * j) for i in range(6) for j in range(6)] + [(100 * i, 100 * j, 100 * i, 100 * (j + 1)) for i in range(6) for j in range(6)]
     lines = frame(spark, grid)

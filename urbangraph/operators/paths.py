@@ -1,13 +1,18 @@
 """Measures that count shortest paths, by a small search for each origin.
 
-Origins are dealt to tiles of the plane; a tile's task gets the segments that its origins can reach, which a walking limit bounds:
-those within that distance of the tile. Without a walking limit the whole network is one tile, of at most WHOLE_MOST segments.
-A state is a segment with a direction, 2 * i + forward. Costs are whole numbers (degrees or lengths in units of SCALE), so ties are exact."""
+Origins are dealt to groups: those of one tile of the plane, split into parts of about ORIGINS origins. A group gets the segments that its
+origins can reach: with a walking, straight or axmeter limit those within that distance of the tile; without, all, so that only the origins
+are dealt and a task holds a network as arrays of numbers (some 200 bytes a segment) and ORIGINS searches in turn.
+A state is a segment with a direction, 2 * i + forward. Keys are whole numbers (degrees or lengths in units of SCALE), so ties are exact.
+
+Limits hold along the path that is found by the measure's own order, as it is walked: a path that breaks one isn't taken up again in another
+order. Empty tables give empty results; segments without length or with a null coordinate meet nothing but equal end points."""
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,45 +21,72 @@ from pyspark.sql import functions as F
 from urbangraph.operators import axial
 from urbangraph.radii import Radius
 
-WHOLE_MOST, SCALE = 50_000, 1_000_000
+ORIGINS, SCALE = 500, 1_000_000
 
 
-def tiles(lines: DataFrame, limit: float | None, tile: float) -> DataFrame:
-    """tile, own, and the columns of lines: a tile's own segments by their middle, and those around it."""
+def groups(lines: DataFrame, limit: float | None, tile: float) -> DataFrame:
+    """tile, part, own, and the columns of lines: each group's own segments by their middle, and those around its tile."""
+    mid = lambda c: F.floor((F.col(f"{c}1") + F.col(f"{c}2")) / 2 / tile) if limit is not None else F.lit(0).cast("long")
+    placed = lines.withColumns({"mx": mid("x"), "my": mid("y")})
+    counts = placed.groupBy(F.col("mx").alias("tx"), F.col("my").alias("ty")).agg(F.ceil(F.count(F.lit(1)) / ORIGINS).alias("parts"))
     if limit is None:
-        if (n := lines.count()) > WHOLE_MOST:
-            raise ValueError(f"{n} segments need a walking limit; without one, {WHOLE_MOST} at most")
-        return lines.withColumn("tile", F.lit("0,0")).withColumn("own", F.lit(True))
-    name = lambda x, y: F.concat_ws(",", x.cast("string"), y.cast("string"))
-    low = lambda c: F.floor((F.least(f"{c}1", f"{c}2") - limit) / tile)
-    high = lambda c: F.floor((F.greatest(f"{c}1", f"{c}2") + limit) / tile)
-    mid = lambda c: F.floor((F.col(f"{c}1") + F.col(f"{c}2")) / 2 / tile)
-    spread = lines.withColumn("tx", F.explode(F.sequence(low("x"), high("x")))).withColumn("ty", F.explode(F.sequence(low("y"), high("y"))))
-    return spread.withColumn("tile", name(F.col("tx"), F.col("ty"))).withColumn("own", (F.col("tx") == mid("x")) & (F.col("ty") == mid("y"))).drop("tx", "ty")
-
-
-def network(pdf: pd.DataFrame):
-    """(line ids, lengths, neighbours by state: (state, turn, walk))."""
-    pdf = pdf.sort_values("line_id")
-    x1, y1, x2, y2 = (pdf[c].tolist() for c in ("x1", "y1", "x2", "y2"))
-    length = [math.hypot(c - a, d - b) for a, b, c, d in zip(x1, y1, x2, y2, strict=True)]
-    angle = [math.degrees(math.atan2(d - b, c - a)) % 360 for a, b, c, d in zip(x1, y1, x2, y2, strict=True)]
-    at: dict[tuple[float, float], list[int]] = {}
-    for i in range(len(length)):
-        at.setdefault((x1[i], y1[i]), []).append(2 * i + 1)  # entered at its start it goes forward
-        at.setdefault((x2[i], y2[i]), []).append(2 * i)
-    heading = lambda s: angle[s // 2] if s % 2 else (angle[s // 2] + 180) % 360
-    turn = lambda a, b: min(d := abs(a - b), 360 - d)
-    out = []
-    for s in range(2 * len(length)):
-        end = (x2[s // 2], y2[s // 2]) if s % 2 else (x1[s // 2], y1[s // 2])
-        out.append([(t, turn(heading(s), heading(t)), (length[s // 2] + length[t // 2]) / 2) for t in at[end] if t // 2 != s // 2])
-    return pdf["line_id"].tolist(), length, out
-
-
-def by_tile(lines: DataFrame, limit: float | None, tile: float, kernel, schema: str, sums: list[str], firsts: list[str], extra: list[str]) -> DataFrame:
-    dealt = tiles(lines.select("line_id", "x1", "y1", "x2", "y2", *extra), limit, tile)
-    part = dealt.groupBy("tile").applyInPandas(kernel, schema)
+        spread = placed.withColumns({"tx": F.lit(0).cast("long"), "ty": F.lit(0).cast("long")})
+    else:
+        low = lambda c: F.floor((F.least(f"{c}1", f"{c}2") - limit) / tile)
+        high = lambda c: F.floor((F.greatest(f"{c}1", f"{c}2") + limit) / tile)
+        spread = placed.withColumn("tx", F.explode(F.sequence(low("x"), high("x")))).withColumn("ty", F.explode(F.sequence(low("y"), high("y"))))
+    parted = spread.join(counts, ["tx", "ty"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    own = (F.col("tx") == F.col("mx")) & (F.col("ty") == F.col("my")) & (F.pmod(F.xxhash64("line_id"), F.col("parts")) == F.col("part"))
+    return parted.withColumn("own", own).withColumn("tile", F.concat_ws(",", F.col("tx").cast("string"), F.col("ty").cast("string"))).drop("tx", "ty", "mx", "my", "parts")
+
+
+class Network:
+    """Segments in the order of line_id as arrays: a state's neighbours are to[begin[s]] to to[begin[s + 1] - 1], with turns in degrees and
+    walks (half of both lengths)."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        pdf = pdf.sort_values("line_id")
+        self.pdf, self.ids, self.own = pdf, pdf["line_id"].tolist(), [k for k, o in enumerate(pdf["own"]) if o]
+        x1, y1, x2, y2 = (array("d", pdf[c].to_numpy()) for c in ("x1", "y1", "x2", "y2"))
+        n = len(self.ids)
+        self.length = array("d", map(math.hypot, (b - a for a, b in zip(x1, x2, strict=True)), (b - a for a, b in zip(y1, y2, strict=True))))
+        self.x, self.y = (array("d", ((a + b) / 2 for a, b in zip(p, q, strict=True))) for p, q in ((x1, x2), (y1, y2)))
+        ways = array("d")  # of each state
+        at: dict[tuple[float, float], list[int]] = {}
+        for i in range(n):
+            way = math.degrees(math.atan2(y2[i] - y1[i], x2[i] - x1[i])) % 360
+            ways.extend(((way + 180) % 360, way))
+            at.setdefault((x1[i], y1[i]), []).append(2 * i + 1)  # entered at its start it goes forward
+            at.setdefault((x2[i], y2[i]), []).append(2 * i)
+        self.begin, self.to, self.turn, self.walk = array("q", [0]), array("q"), array("d"), array("d")
+        self.end_x, self.end_y = array("d"), array("d")  # where a state leaves its segment
+        for s in range(2 * n):
+            i = s // 2
+            end = (x2[i], y2[i]) if s % 2 else (x1[i], y1[i])
+            self.end_x.append(end[0])
+            self.end_y.append(end[1])
+            for t in at[end]:
+                if t // 2 != i:
+                    d = abs(ways[s] - ways[t])
+                    self.to.append(t)
+                    self.turn.append(min(d, 360 - d))
+                    self.walk.append((self.length[i] + self.length[t // 2]) / 2)
+            self.begin.append(len(self.to))
+
+    def near(self, s: int):
+        """(state, turn, walk) of each neighbour of a state."""
+        a, b = self.begin[s], self.begin[s + 1]
+        return zip(self.to[a:b], self.turn[a:b], self.walk[a:b], strict=True)
+
+
+def margin(radius: Radius) -> float | None:
+    """How far from an origin's middle in the plane the middle of a segment within the limits can be; null if they don't bound it."""
+    return min((v for k, v in radius.limits().items() if k in ("walking", "straight", "axmeter")), default=None)
+
+
+def by_group(lines: DataFrame, limit: float | None, tile: float, kernel, schema: str, sums: list[str], firsts: list[str], extra: list[str]) -> DataFrame:
+    dealt = groups(lines.select("line_id", "x1", "y1", "x2", "y2", *extra), limit, tile)
+    part = dealt.groupBy("tile", "part").applyInPandas(kernel, schema)
     return part.groupBy("line_id").agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in firsts))
 
 
@@ -70,20 +102,24 @@ SCHEMA = "line_id long, score double, node_count long, total_depth double, total
 def angular_choice(lines: DataFrame, radius: Radius = Radius(), by_length: bool = False, threshold: float = 0.0, precision: float = 1.0, tile: float = 2000.0) -> DataFrame:  # noqa: B008
     """line_id, choice (over all ordered pairs), node_count, total_depth, total_depth_weight (in right angles).
 
-    Of states reached by several least paths each entry counts as a path; a segment reached as cheaply in both directions is
-    credited by their path counts. By length: a pair counts the product of its lengths, its ends half."""
+    Paths are ordered by turns in whole multiples of precision, those below threshold being none; depths add up the turns themselves along the
+    path that came first. Of states reached by several least paths each entry counts as a path; a segment reached as cheaply in both directions
+    is credited by their path counts. By length: a pair counts the product of its lengths, its ends half. Limits: walking, steps, angular and
+    straight (of the points where paths pass from one segment to the next and of segments' middles)."""
+    radius.only("angular choice", "walking", "steps", "angular", "straight")
+    steps_most, walk_most, turn_most, far_most = (math.inf if v is None else v for v in (radius.steps, radius.walking, radius.angular, radius.straight))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, length, near = network(pdf)
-        mine = dict(zip(pdf["line_id"], pdf["own"], strict=True))
-        scores, own = [0.0] * len(ids), {}
-        for o in (k for k, i in enumerate(ids) if mine[i]):
+        net = Network(pdf)
+        length, scores, own = net.length, [0.0] * len(net.ids), {}
+        for o in net.own:
+            x, y = net.x[o], net.y[o]
             key, paths, parents, order, seen = {}, {}, {}, [], set()
             count, depth, weighted = 0, 0.0, 0.0
-            heap = [(0, 0, 2 * o + w, -1, 0.0, 0.0) for w in (0, 1)]
-            ticket = 0
+            heap = [(0, w, 2 * o + w, -1, 0.0, 0.0, 0) for w in (0, 1)]
+            ticket, least = 1, {}
             while heap:
-                k, _, s, came, turned, walked = heapq.heappop(heap)
+                k, _, s, came, turned, walked, steps = heapq.heappop(heap)
                 if s in key and key[s] < k:
                     continue
                 parents.setdefault(s, []).append(came)
@@ -97,11 +133,17 @@ def angular_choice(lines: DataFrame, radius: Radius = Radius(), by_length: bool
                     count += 1
                     depth += turned
                     weighted += turned * length[s // 2] * (s // 2 != o)
-                for t, a, w in near[s]:
+                if steps >= steps_most or far_most < math.inf and math.hypot(net.end_x[s] - x, net.end_y[s] - y) > far_most:
+                    continue
+                for t, a, w in net.near(s):
                     a = 0.0 if a < threshold else a
-                    if (radius.walking is None or walked + w <= radius.walking) and (radius.angular is None or turned + a <= radius.angular):
+                    if walked + w > walk_most or turned + a > turn_most or far_most < math.inf and math.hypot(net.x[t // 2] - x, net.y[t // 2] - y) > far_most:
+                        continue
+                    new = k + int(a / precision + 0.5)
+                    if new <= least.get(t, new):
+                        least[t] = new
                         ticket += 1
-                        heapq.heappush(heap, (k + int(a / precision + 0.5), ticket, t, s, turned + a, walked + w))
+                        heapq.heappush(heap, (new, ticket, t, s, turned + a, walked + w, steps + 1))
             below = dict.fromkeys(order, 0.0)
             for s in reversed(order):
                 if s // 2 == o:
@@ -116,49 +158,72 @@ def angular_choice(lines: DataFrame, radius: Radius = Radius(), by_length: bool
                     if p >= 0:
                         below[p] += (below[s] + credit) / paths[s]
             own[o] = (count, depth / 90, weighted / 90)
-        return frame(ids, scores, own)
+        return frame(net.ids, scores, own)
 
-    out = by_tile(lines, radius.walking, tile, kernel, SCHEMA, ["score"], ["node_count", "total_depth", "total_depth_weight"], [])
+    out = by_group(lines, margin(radius), tile, kernel, SCHEMA, ["score"], ["node_count", "total_depth", "total_depth_weight"], [])
     return out.withColumnRenamed("score", "choice")
 
 
+KINDS = ("angular", "steps", "walking", "axmeter")
+
+
 def segment_betweenness(lines: DataFrame, kind: str = "angular", radius: Radius = Radius(), weight: str | None = None, tile: float = 2000.0) -> DataFrame:  # noqa: B008
-    """line_id, betweenness (undirected), node_count, total_depth, by path counts. kind: angular, steps or walking. weight: of a pair the
-    product of its ends' weights; ends take half of it."""
+    """line_id, betweenness (undirected), node_count, total_depth, by path counts. kind: angular, steps, walking or axmeter (each metre
+    counts once more for each change of segment before it). weight: of a pair the product of its ends' weights; ends take half of it; "length" is
+    the segments' own. Limits: walking, steps, angular, axmeter, and straight between middles."""
+    radius.only("betweenness", "walking", "steps", "angular", "axmeter", "straight")
+    if kind not in KINDS:
+        raise ValueError(f"no betweenness by {kind}")
+    place = KINDS.index(kind)
+    most = [math.inf if v is None else v for v in (radius.angular, radius.steps, radius.walking, radius.axmeter)]
+    far_most = math.inf if radius.straight is None else radius.straight
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, _, near = network(pdf)
-        mine = dict(zip(pdf["line_id"], pdf["own"], strict=True))
-        w = [float(x) for x in pdf.sort_values("line_id")[weight]] if weight else [1.0] * len(ids)
+        net = Network(pdf)
+        length = net.length
+        w = list(length) if weight == "length" else [float(x) for x in net.pdf[weight]] if weight else [1.0] * len(net.ids)
         both = kind == "angular"
-        if not both:
-            near = [sorted({(t // 2, 0.0, d) for s in (2 * i, 2 * i + 1) for t, _, d in near[s]}) for i in range(len(ids))]
+        name = (lambda s: s) if both else (lambda s: s // 2)
         line = (lambda s: s // 2) if both else (lambda s: s)
-        scores, own = [0.0] * len(ids), {}
-        for o in (k for k, i in enumerate(ids) if mine[i]):
+        scores, own = [0.0] * len(net.ids), {}
+        for o in net.own:
             if w[o] <= 0:
                 own[o] = (0, 0.0, 0.0)
                 continue
+            x, y = net.x[o], net.y[o]
             starts = [2 * o, 2 * o + 1] if both else [o]
-            dist, walked, sigma, parents, order, done = dict.fromkeys(starts, 0), dict.fromkeys(starts, 0.0), dict.fromkeys(starts, 1.0), {}, [], set()
-            heap = [(0, s) for s in starts]
-            while heap:
-                d, s = heapq.heappop(heap)
-                if s in done:
-                    continue
-                done.add(s)
-                order.append(s)
-                for t, a, x in near[s]:
-                    new = d + (round(a * SCALE) if both else SCALE if kind == "steps" else round(x * SCALE))
-                    if line(t) == o or radius.walking is not None and walked[s] + x > radius.walking or radius.angular is not None and both and new > radius.angular * SCALE or radius.steps is not None and kind == "steps" and new > radius.steps * SCALE:
+            dist, sigma, parents, order, least = dict.fromkeys(starts, 0), dict.fromkeys(starts, 1.0), {s: [] for s in starts}, list(starts), {}
+            heap, ticket = [], 0
+
+            def push(s, key, so_far, heap=heap, least=least, dist=dist, o=o, x=x, y=y):
+                nonlocal ticket
+                turned, steps, walked, ax = so_far
+                for t, a, step in net.near(s):
+                    n = name(t)
+                    if t // 2 == o or n in dist:
                         continue
-                    if t not in dist or new < dist[t]:
-                        dist[t], sigma[t], parents[t], walked[t] = new, 0.0, [], walked[s] + x
-                        heapq.heappush(heap, (new, t))
-                    if new == dist[t] and t not in done:
-                        sigma[t] += sigma[s]
-                        parents[t].append(s)
-                        walked[t] = min(walked[t], walked[s] + x)
+                    more = (a, 1, step, (length[s // 2] * (steps + 1) + length[t // 2] * (steps + 2)) / 2)
+                    new = (turned + a, steps + 1, walked + step, ax + more[3])
+                    if any(v > m for v, m in zip(new, most, strict=True)) or far_most < math.inf and math.hypot(net.x[t // 2] - x, net.y[t // 2] - y) > far_most:
+                        continue
+                    cost = key + round(more[place] * SCALE)
+                    if cost <= least.get(n, cost):
+                        least[n] = cost
+                        ticket += 1
+                        heapq.heappush(heap, (cost, ticket, t, s, new))
+
+            for s in (2 * o, 2 * o + 1):
+                push(s, 0, (0.0, 0, 0.0, 0.0))
+            while heap:
+                d, _, s, came, so_far = heapq.heappop(heap)
+                n = name(s)
+                if n not in dist:
+                    dist[n], sigma[n], parents[n] = d, 0.0, []
+                    order.append(n)
+                    push(s, d, so_far)
+                if d == dist[n]:
+                    sigma[n] += sigma[name(came)]
+                    parents[n].append(name(came))
             dep, seen = dict.fromkeys(order, 0.0), {}
             for s in order:
                 seen.setdefault(line(s), dist[s])
@@ -173,9 +238,9 @@ def segment_betweenness(lines: DataFrame, kind: str = "angular", radius: Radius
             if weight:
                 scores[o] += w[o] * w[o] / 4
             own[o] = (len(seen), sum(seen.values()) / SCALE / (90 if both else 1), 0.0)
-        return frame(ids, scores, own)
+        return frame(net.ids, scores, own)
 
-    out = by_tile(lines, radius.walking, tile, kernel, SCHEMA, ["score"], ["node_count", "total_depth"], [weight] if weight else [])
+    out = by_group(lines, margin(radius), tile, kernel, SCHEMA, ["score"], ["node_count", "total_depth"], [weight] if weight not in (None, "length") else [])
     return out.withColumnRenamed("score", "betweenness")
 
 
@@ -184,10 +249,9 @@ def angular_betweenness(lines: DataFrame, by_length: bool = False, walking: floa
     before it, and a segment reached as cheaply in both directions is credited through the one settled first."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, length, near = network(pdf)
-        mine = dict(zip(pdf["line_id"], pdf["own"], strict=True))
-        scores, own = [0.0] * len(ids), {}
-        for o in (k for k, i in enumerate(ids) if mine[i]):
+        net = Network(pdf)
+        length, scores, own = net.length, [0.0] * len(net.ids), {}
+        for o in net.own:
             dist, walked, parents, order, done = {2 * o: 0, 2 * o + 1: 0}, {2 * o: 0.0, 2 * o + 1: 0.0}, {}, [], set()
             heap, ticket = [(0, 0, 2 * o), (0, 1, 2 * o + 1)], 1
             while heap:
@@ -196,7 +260,7 @@ def angular_betweenness(lines: DataFrame, by_length: bool = False, walking: floa
                     continue
                 done.add(s)
                 order.append(s)
-                for t, a, x in near[s]:
+                for t, a, x in net.near(s):
                     new = d + int(a + 0.5)
                     if t // 2 == o or walking is not None and walked[s] + x > walking:
                         continue
@@ -219,9 +283,9 @@ def angular_betweenness(lines: DataFrame, by_length: bool = False, walking: floa
                     flow[p] += (flow[s] + credit) / len(parents[s])
                 del left[s]
             own[o] = (len(seen), sum(seen.values()) / 90, 0.0)
-        return frame(ids, scores, own)
+        return frame(net.ids, scores, own)
 
-    out = by_tile(lines, walking, tile, kernel, SCHEMA, ["score"], ["node_count", "total_depth"], [])
+    out = by_group(lines, walking, tile, kernel, SCHEMA, ["score"], ["node_count", "total_depth"], [])
     return out.withColumnRenamed("score", "betweenness")
 
 
@@ -233,7 +297,7 @@ def od_betweenness(lines: DataFrame, origins: DataFrame, destinations: DataFrame
     for name, pts in (("origins", origins), ("destinations", destinations.where(F.col("weight") > 0))):
         near = axial.nearest_line(pts, lines).join(pts.select("pt_id", "weight"), "pt_id")
         full = full.join(near.groupBy("line_id").agg(F.collect_list(F.struct("pt_id", "t", "d", "weight")).alias(name)), "line_id", "left")
-    dealt = tiles(full, walking, tile)
+    dealt = groups(full, walking, tile)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         listed = lambda v: [] if v is None else list(v)
@@ -280,5 +344,5 @@ def od_betweenness(lines: DataFrame, origins: DataFrame, destinations: DataFrame
                         scores[line] = scores.get(line, 0.0) + origin["weight"] * weight / total
         return pd.DataFrame([(rows[k]["line_id"], s) for k, s in scores.items()], columns=["line_id", "score"])
 
-    sums = dealt.groupBy("tile").applyInPandas(kernel, "line_id long, score double").groupBy("line_id").agg(F.sum("score").alias("score"))
+    sums = dealt.groupBy("tile", "part").applyInPandas(kernel, "line_id long, score double").groupBy("line_id").agg(F.sum("score").alias("score"))
     return lines.select("line_id").join(sums, "line_id", "left").select("line_id", F.coalesce("score", F.lit(0.0)).alias("score"))
