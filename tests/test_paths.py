@@ -32,10 +32,10 @@ def test_network_integration(spark):
 
 def test_angular_integration(spark):
     lines = frame(spark, square(3))
-    assert by_line(reach.angular_integration(lines), "total_depth") == near([4] * 4)
-    assert by_line(reach.angular_integration(lines), "total_depth_weight") == near([12] * 4)
-    assert by_line(reach.angular_integration(lines, Radius(angular=80)), "node_count") == [1] * 4
-    assert by_line(reach.angular_integration(lines, Radius(angular=100)), "node_count") == [3] * 4
+    assert by_line(paths.angular_integration(lines), "total_depth") == near([4] * 4)
+    assert by_line(paths.angular_integration(lines), "total_depth_weight") == near([12] * 4)
+    assert by_line(paths.angular_integration(lines, Radius(angular=80)), "node_count") == [1] * 4
+    assert by_line(paths.angular_integration(lines, Radius(angular=100)), "node_count") == [3] * 4
 
 
 def test_angular_choice(spark):

@@ -99,6 +99,64 @@ def frame(ids, scores, own) -> pd.DataFrame:
 SCHEMA = "line_id long, score double, node_count long, total_depth double, total_depth_weight double"
 
 
+def explorer(radius: Radius, threshold: float, precision: float):
+    """A search from one origin by turns in whole multiples of precision, those below threshold being none. It gives by state the key, the number
+    of entries by least paths and where they came from, the order in which states were settled, and (segments reached, their turns in degrees along
+    the path that came first, lengths of those but the origin, turns times length)."""
+    radius.only("a search by turns", "walking", "steps", "angular", "straight")
+    steps_most, walk_most, turn_most, far_most = (math.inf if v is None else v for v in (radius.steps, radius.walking, radius.angular, radius.straight))
+
+    def explore(net: Network, o: int):
+        length, x, y = net.length, net.x[o], net.y[o]
+        key, paths, parents, order, seen = {}, {}, {}, [], set()
+        count, depth, weight, weighted = 0, 0.0, 0.0, 0.0
+        heap = [(0, w, 2 * o + w, -1, 0.0, 0.0, 0) for w in (0, 1)]
+        ticket, least = 1, {}
+        while heap:
+            k, _, s, came, turned, walked, steps = heapq.heappop(heap)
+            if s in key and key[s] < k:
+                continue
+            parents.setdefault(s, []).append(came)
+            if s in key:
+                paths[s] += 1
+                continue
+            key[s], paths[s] = k, 1
+            order.append(s)
+            if s // 2 not in seen:
+                seen.add(s // 2)
+                other = length[s // 2] * (s // 2 != o)
+                count, depth, weight, weighted = count + 1, depth + turned, weight + other, weighted + turned * other
+            if steps >= steps_most or far_most < math.inf and math.hypot(net.end_x[s] - x, net.end_y[s] - y) > far_most:
+                continue
+            for t, a, w in net.near(s):
+                a = 0.0 if a < threshold else a
+                if walked + w > walk_most or turned + a > turn_most or far_most < math.inf and math.hypot(net.x[t // 2] - x, net.y[t // 2] - y) > far_most:
+                    continue
+                new = k + int(a / precision + 0.5)
+                if new <= least.get(t, new):
+                    least[t] = new
+                    ticket += 1
+                    heapq.heappush(heap, (new, ticket, t, s, turned + a, walked + w, steps + 1))
+        return key, paths, parents, order, (count, depth, weight, weighted)
+
+    return explore
+
+
+def angular_integration(lines: DataFrame, radius: Radius = Radius(), threshold: float = 0.0, precision: float = 1.0, tile: float = 2000.0) -> DataFrame:  # noqa: B008
+    """line_id, node_count, total_depth (in right angles), total_weight and total_depth_weight (by length; the origin is in the count only): what
+    angular_choice's searches reach, with the same limits."""
+    explore = explorer(radius, threshold, precision)
+    columns = ["node_count", "total_depth", "total_weight", "total_depth_weight"]
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        net = Network(pdf)
+        found = ((net.ids[o], explore(net, o)[4]) for o in net.own)
+        return pd.DataFrame([(i, n, d / 90, w, dw / 90) for i, (n, d, w, dw) in found], columns=["line_id", *columns])
+
+    schema = "line_id long, node_count long, total_depth double, total_weight double, total_depth_weight double"
+    return by_group(lines, margin(radius), tile, kernel, schema, [], columns, [])
+
+
 def angular_choice(lines: DataFrame, radius: Radius = Radius(), by_length: bool = False, threshold: float = 0.0, precision: float = 1.0, tile: float = 2000.0) -> DataFrame:  # noqa: B008
     """line_id, choice (over all ordered pairs), node_count, total_depth, total_depth_weight (in right angles).
 
@@ -106,44 +164,13 @@ def angular_choice(lines: DataFrame, radius: Radius = Radius(), by_length: bool
     path that came first. Of states reached by several least paths each entry counts as a path; a segment reached as cheaply in both directions
     is credited by their path counts. By length: a pair counts the product of its lengths, its ends half. Limits: walking, steps, angular and
     straight (of the points where paths pass from one segment to the next and of segments' middles)."""
-    radius.only("angular choice", "walking", "steps", "angular", "straight")
-    steps_most, walk_most, turn_most, far_most = (math.inf if v is None else v for v in (radius.steps, radius.walking, radius.angular, radius.straight))
+    explore = explorer(radius, threshold, precision)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         net = Network(pdf)
         length, scores, own = net.length, [0.0] * len(net.ids), {}
         for o in net.own:
-            x, y = net.x[o], net.y[o]
-            key, paths, parents, order, seen = {}, {}, {}, [], set()
-            count, depth, weighted = 0, 0.0, 0.0
-            heap = [(0, w, 2 * o + w, -1, 0.0, 0.0, 0) for w in (0, 1)]
-            ticket, least = 1, {}
-            while heap:
-                k, _, s, came, turned, walked, steps = heapq.heappop(heap)
-                if s in key and key[s] < k:
-                    continue
-                parents.setdefault(s, []).append(came)
-                if s in key:
-                    paths[s] += 1
-                    continue
-                key[s], paths[s] = k, 1
-                order.append(s)
-                if s // 2 not in seen:
-                    seen.add(s // 2)
-                    count += 1
-                    depth += turned
-                    weighted += turned * length[s // 2] * (s // 2 != o)
-                if steps >= steps_most or far_most < math.inf and math.hypot(net.end_x[s] - x, net.end_y[s] - y) > far_most:
-                    continue
-                for t, a, w in net.near(s):
-                    a = 0.0 if a < threshold else a
-                    if walked + w > walk_most or turned + a > turn_most or far_most < math.inf and math.hypot(net.x[t // 2] - x, net.y[t // 2] - y) > far_most:
-                        continue
-                    new = k + int(a / precision + 0.5)
-                    if new <= least.get(t, new):
-                        least[t] = new
-                        ticket += 1
-                        heapq.heappush(heap, (new, ticket, t, s, turned + a, walked + w, steps + 1))
+            key, paths, parents, order, (count, depth, _, weighted) = explore(net, o)
             below = dict.fromkeys(order, 0.0)
             for s in reversed(order):
                 if s // 2 == o:

@@ -1,6 +1,6 @@
 """What lies within reach of lines: counts, lengths, depths, and distances to and decayed sums of attractions.
 
-A limit of several kinds is met by what each of them alone reaches. Walking goes from and to the middle of lines."""
+Limits of several kinds hold for one path (see multidistance). Walking goes from and to the middle of lines. Empty tables give empty results."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from urbangraph.functions import geometry as G
 from urbangraph.functions import normalize as N
 from urbangraph.lineage import cut
-from urbangraph.operators import axial, grid, segments
-from urbangraph.operators.frontier import relax
+from urbangraph.operators import axial, grid, multidistance, segments
+from urbangraph.operators.frontier import first_visits, relax
 from urbangraph.radii import Radius
 
 
@@ -34,56 +34,35 @@ def walks(at: DataFrame, lines: DataFrame, weight: str = "length") -> DataFrame:
     return cut(one.union(one.select(F.col("dst"), F.col("src"), "cost")).groupBy("src", "dst").agg(F.min("cost").alias("cost")))
 
 
-def turns(at: DataFrame, lines: DataFrame) -> DataFrame:
-    """src, dst, cost in degrees between states (line, crossing where it was entered, direction)."""
-    d = segments.described(lines).select("line_id", "orientation")
-    there = at.join(d, "line_id").select("line_id", "crossing", "t", "orientation")
-    go = there.alias("a").join(there.alias("c"), F.col("a.line_id") == F.col("c.line_id")).where("a.t <> c.t or (a.crossing = c.crossing)")
-    ahead = go.select(F.col("a.line_id").alias("line"), F.col("a.crossing").alias("frm"), F.col("c.crossing").alias("via"), F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), F.col("a.t").alias("ta"), F.col("c.t").alias("tc"), F.col("a.orientation").alias("o"))
-    ahead = ahead.where("(way = 1 and tc > ta) or (way = 0 and tc < ta)")
-    to = there.select(F.col("line_id").alias("next"), F.col("crossing").alias("via"), F.col("orientation").alias("p")).withColumn("next_way", F.explode(F.array(F.lit(0), F.lit(1))))
-    out = F.when(F.col("way") == 1, F.col("o")).otherwise(G.reversed_angle(F.col("o")))
-    into = F.when(F.col("next_way") == 1, F.col("p")).otherwise(G.reversed_angle(F.col("p")))
-    state = lambda a, b, c: F.concat_ws("/", a, b, c)
-    moved = ahead.join(to, "via").where("line <> next")
-    return cut(moved.select(state("line", "frm", "way").alias("src"), state("next", "via", "next_way").alias("dst"), G.angle_between(out, into).alias("cost")).groupBy("src", "dst").agg(F.min("cost").alias("cost")))
-
-
 def line_depths(g: dict[str, DataFrame], radius: Radius, kind: str) -> DataFrame:
-    """origin, line_id, d: the least cost from each line to each line by one kind of distance within that kind's limit."""
-    lines, at, limit = cut(g["lines"]), cut(g["line_crossings"]), radius.limits().get(kind)
-    itself = lines.select(F.col("line_id").alias("origin"), "line_id", F.lit(0.0).alias("d"))
-    if kind == "steps":
-        seeds = lines.select(F.col("line_id").alias("origin"), F.col("line_id").alias("node"), F.lit(0.0).alias("d"))
-        return relax(seeds, line_steps(at), limit).withColumnRenamed("node", "line_id")
+    """origin, line_id, d: the least cost from each line to each line by one kind of distance, on paths within all limits."""
+    others = [k for k in radius.limits() if k != kind]
+    if others or kind not in ("steps", "straight", "walking"):
+        return multidistance.reached(g, multidistance.from_lines(g), kind, radius).withColumnRenamed("target", "line_id")
+    lines, limit = g["lines"], radius.limits().get(kind)
     if kind == "straight":
         mid = lines.select("line_id", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
         near = grid.overlapping(grid.boxed(mid, "x", "y", "x", "y", limit), grid.boxed(mid, "x", "y", "x", "y"), max(limit, 1.0))
         return near.withColumn("d", G.distance(F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y"))).where(F.col("d") <= limit).select(F.col("line_id").alias("origin"), F.col("r_line_id").alias("line_id"), "d")
+    lines, at = cut(lines), cut(g["line_crossings"])
+    itself = lines.select(F.col("line_id").alias("origin"), "line_id", F.lit(0.0).alias("d"))
+    if kind == "steps":
+        seeds = lines.select(F.col("line_id").alias("origin"), F.col("line_id").alias("node"))
+        return first_visits(seeds, line_steps(at), limit).withColumnRenamed("node", "line_id")
     half = F.abs(F.col("t") - 0.5)
-    if kind == "walking":
-        here = cut(at.join(lines.select("line_id", "length"), "line_id").select("line_id", "crossing", (half * F.col("length")).alias("leg")))
-        seeds = here.select(F.col("line_id").alias("origin"), F.col("crossing").alias("node"), F.col("leg").alias("d"))
-        reached = relax(seeds, walks(at, lines), limit)
-        found = reached.join(here, reached["node"] == here["crossing"]).select("origin", "line_id", (F.col("d") + F.col("leg")).alias("d"))
-        found = found if limit is None else found.where(F.col("d") <= limit)
-        return found.where("origin <> line_id").union(itself).groupBy("origin", "line_id").agg(F.min("d").alias("d"))
-    if kind == "angular":
-        edges = turns(at.unionByName(lines.select("line_id", F.concat(F.lit("middle "), F.col("line_id").cast("string")).alias("crossing"), F.lit(0.5).alias("t"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))), lines)
-        seeds = lines.select(F.col("line_id").alias("origin"), F.explode(F.array(F.lit(0), F.lit(1))).alias("way")).select("origin", F.concat(F.col("origin").cast("string"), F.lit("/middle "), F.col("origin").cast("string"), F.lit("/"), F.col("way").cast("string")).alias("node"), F.lit(0.0).alias("d"))
-        reached = relax(seeds, edges, limit).withColumn("line_id", F.split_part("node", F.lit("/"), F.lit(1)).cast("long"))
-        return reached.groupBy("origin", "line_id").agg(F.min("d").alias("d"))
-    raise ValueError(f"no paths by {kind}")
+    here = cut(at.join(lines.select("line_id", "length"), "line_id").select("line_id", "crossing", (half * F.col("length")).alias("leg")))
+    seeds = here.select(F.col("line_id").alias("origin"), F.col("crossing").alias("node"), F.col("leg").alias("d"))
+    reached = relax(seeds, walks(at, lines), limit)
+    found = reached.join(here, reached["node"] == here["crossing"]).select("origin", "line_id", (F.col("d") + F.col("leg")).alias("d"))
+    found = found if limit is None else found.where(F.col("d") <= limit)
+    return found.where("origin <> line_id").union(itself).groupBy("origin", "line_id").agg(F.min("d").alias("d"))
 
 
 def reached_lines(g: dict[str, DataFrame], radius: Radius) -> DataFrame:
-    """origin, line_id."""
-    kinds = list(radius.limits()) or ["steps"]
-    out = None
-    for kind in kinds:
-        here = line_depths(g, radius, kind).select("origin", "line_id")
-        out = here if out is None else out.join(here, ["origin", "line_id"])
-    return out
+    """origin, line_id of all lines that one path within all limits reaches; without a limit those that steps do."""
+    kinds = list(radius.limits())
+    found = line_depths(g, radius, kinds[0] if kinds else "steps") if len(kinds) < 2 else multidistance.reached(g, multidistance.from_lines(g), None, radius).withColumnRenamed("target", "line_id")
+    return found.select("origin", "line_id")
 
 
 def hull_area(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -106,24 +85,22 @@ def hull_area(pdf: pd.DataFrame) -> pd.DataFrame:
 def reach(g: dict[str, DataFrame], radius: Radius, area: bool = True) -> DataFrame:
     """line_id, reach_count (its own line included), reach_length and reach_area (of the hull of the lines reached; of the circle if the
     only limit is straight)."""
-    found = cut(reached_lines(g, radius))
     lines = g["lines"]
-    joined = found.join(lines, "line_id")
+    straight = list(radius.limits()) == ["straight"]
+    found = reached_lines(g, radius)
+    joined = (found if straight or not area else cut(found)).join(lines, "line_id")
     out = joined.groupBy(F.col("origin").alias("line_id")).agg(F.count(F.lit(1)).alias("reach_count"), F.sum("length").alias("reach_length"))
     if not area:
         return out
-    if list(radius.limits()) == ["straight"]:
+    if straight:
         return out.withColumn("reach_area", F.lit(math.pi * radius.straight**2))
     ends = joined.select("origin", F.col("x1").alias("x"), F.col("y1").alias("y")).union(joined.select("origin", "x2", "y2")).distinct()
     return out.join(ends.groupBy("origin").applyInPandas(hull_area, "line_id long, reach_area double"), "line_id")
 
 
 def network_integration(g: dict[str, DataFrame], radius: Radius = Radius()) -> DataFrame:  # noqa: B008
-    """line_id, node_count, total_depth (steps), integration."""
+    """line_id, node_count, total_depth (the least steps on paths within all limits), integration."""
     depths = line_depths(g, radius, "steps")
-    others = Radius(**{k: v for k, v in radius.limits().items() if k != "steps"})
-    if others.limits():
-        depths = depths.join(reached_lines(g, others), ["origin", "line_id"])
     sums = depths.groupBy(F.col("origin").alias("line_id")).agg(F.count(F.lit(1)).alias("node_count"), F.sum("d").alias("total_depth"))
     return sums.withColumn("integration", N.network_integration(F.col("node_count"), F.col("total_depth")))
 
@@ -133,16 +110,20 @@ def junction_scores(g: dict[str, DataFrame], scores: DataFrame) -> DataFrame:
     return g["line_crossings"].join(scores, "line_id").groupBy("crossing").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.avg("integration").alias("score")).drop("crossing")
 
 
-def angular_integration(lines: DataFrame, radius: Radius = Radius(), threshold: float = 0.0, precision: float = 1.0, rounds: int | None = None) -> DataFrame:  # noqa: B008
-    """line_id, node_count, total_depth (in right angles), total_weight and total_depth_weight (by length; the origin is in the count only)."""
-    edges = cut(segments.states(lines).withColumn("cost", F.when(F.col("turn") <= threshold, 0.0).otherwise(F.round(F.col("turn") / precision) * precision if precision != 1.0 else F.col("turn"))))
-    seeds = lines.select(F.col("line_id").alias("origin"), F.explode(F.array(F.col("line_id") * 2, F.col("line_id") * 2 + 1)).alias("node")).withColumn("d", F.lit(0.0))
-    depth = relax(seeds, edges.select("src", "dst", "cost"), radius.angular, rounds).groupBy("origin", F.expr("node div 2").alias("line_id")).agg(F.min("d").alias("d"))
-    if radius.walking is not None:
-        mid = seeds.select("origin", "node", "d")
-        near = relax(mid, edges.select("src", "dst", F.col("walk").alias("cost")), radius.walking).select("origin", F.expr("node div 2").alias("line_id")).distinct()
-        depth = depth.join(near, ["origin", "line_id"])
-    joined = depth.join(segments.described(lines).select("line_id", "length"), "line_id")
+def segment_depths(lines: DataFrame, radius: Radius) -> DataFrame:
+    """origin, line_id, d: the least turns in degrees from each segment to each, over all paths within all limits."""
+    radius.only("depths by turns", "walking", "steps", "angular")
+    metrics = multidistance.needed("angular", radius)
+    edges = segments.states(lines).select("src", "dst", multidistance.units(F.col("walk")).alias("walking"), F.lit(1).cast("long").alias("steps"), multidistance.units(F.col("turn")).alias("angular"))
+    seeds = lines.select(F.col("line_id").alias("origin"), F.explode(F.array(F.col("line_id") * 2, F.col("line_id") * 2 + 1)).alias("node"), *(F.lit(0).cast("long").alias(m) for m in metrics))
+    found = multidistance.search(seeds, cut(edges), metrics, radius)
+    return found.groupBy("origin", F.expr("node div 2").alias("line_id")).agg((F.min("angular") / multidistance.SCALE).alias("d"))
+
+
+def depth_sums(depths: DataFrame, lines: DataFrame) -> DataFrame:
+    """line_id, node_count, total_depth (in right angles), total_weight and total_depth_weight (by length; the origin is in the count only) of
+    depths (origin, line_id, d in degrees)."""
+    joined = depths.join(segments.described(lines).select("line_id", "length"), "line_id")
     other = F.col("origin") != F.col("line_id")
     return joined.groupBy(F.col("origin").alias("line_id")).agg(
         F.count(F.lit(1)).alias("node_count"),
@@ -174,7 +155,7 @@ def attraction_reach_straight(origins: DataFrame, attractions: DataFrame, radius
 def attraction_lines(g: dict[str, DataFrame], attractions: DataFrame, kind: str, limit: float | None = None, together: bool = True) -> DataFrame:
     """origin, line_id, d from attractions to lines along the network; together: from all at once, as origin 0.
 
-    Walking includes the way from the attraction to its nearest line; steps count line changes; angular the turns."""
+    Walking includes the way from the attraction to its nearest line; steps count line changes."""
     lines, at = cut(g["lines"]), cut(g["line_crossings"])
     near = cut(axial.nearest_line(attractions, lines).withColumn("origin", F.lit(0).cast("long") if together else F.col("pt_id")))
     if kind == "steps":
@@ -192,13 +173,19 @@ def attraction_lines(g: dict[str, DataFrame], attractions: DataFrame, kind: str,
 
 
 def attraction_distance(g: dict[str, DataFrame], attractions: DataFrame, kind: str, limit: float | None = None) -> DataFrame:
-    """line_id, distance to the nearest attraction by one relaxation from all attractions at once; -1 beyond the limit."""
+    """line_id, distance to the nearest attraction by one relaxation from all attractions at once; -1 beyond the limit. Angular and axmeter, and
+    other targets or limits: multidistance.attraction_distance."""
+    if kind not in ("steps", "walking"):
+        return multidistance.attraction_distance(g, attractions, kind, Radius(**({} if limit is None else {kind: limit}))).withColumnRenamed("target", "line_id")
     found = attraction_lines(g, attractions, kind, limit)
     return g["lines"].select("line_id").join(found, "line_id", "left").select("line_id", F.coalesce("d", F.lit(-1.0)).alias("distance"))
 
 
 def attraction_reach(g: dict[str, DataFrame], attractions: DataFrame, kind: str, limit: float | None = None, decay: str = "constant", constant: float = 1.0) -> DataFrame:
-    """line_id, score: for each attraction (with value) its best score at the line, summed."""
+    """line_id, score: for each attraction (with value) its best score at the line, summed. Angular and axmeter, polygons, and other targets
+    or limits: multidistance.attraction_reach."""
+    if kind not in ("steps", "walking"):
+        return multidistance.attraction_reach(g, attractions, kind, Radius(**({} if limit is None else {kind: limit})), decay, constant).withColumnRenamed("target", "line_id")
     valued = attractions.where(F.col("value") > 0)
     found = attraction_lines(g, valued, kind, limit, together=False)
     scale = None if limit is None else limit + (kind == "steps")

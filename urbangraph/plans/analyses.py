@@ -41,10 +41,10 @@ def network_integration_analysis(lines: DataFrame, steps: list[int | None], unli
     return wide(lines, found)
 
 
-def angular_integration_analysis(lines: DataFrame, radii: list[Radius], rounds: int | None = None) -> DataFrame:
+def angular_integration_analysis(lines: DataFrame, radii: list[Radius], threshold: float = 0.0, precision: float = 1.0) -> DataFrame:
     found = []
     for r in radii:
-        out = reach.angular_integration(lines, r, rounds=rounds)
+        out = paths.angular_integration(lines, r, threshold, precision)
         n, td, l, tdl = (F.col(c) for c in ("node_count", "total_depth", "total_weight", "total_depth_weight"))
         name = lambda w="", k="", x="", r=r: column_name("AI", "", r, weight=w, normalisation=k, extra=x)
         found.append(out.select(

@@ -173,18 +173,24 @@ def _(s, d):
     return reach.network_integration(axial.graph(lines(s, d)), Radius(steps=3))
 
 
-@query("angular_integration_100", WITH + ADJ + """, walk as (select line_id*2 + w as origin2, line_id as origin, line_id*2 + w as node, 0.0::double as d, 0 as n from lines, (values (0), (1)) v(w)
- union select k.origin2, k.origin, x.dst*2 + x.forward::int, k.d + x.turn, k.n + 1 from walk k join nexts x on x.src = k.node // 2 and x.src_end = k.node % 2 where k.n < 3 and k.d + x.turn <= 100.0),
-depth as (select origin, node // 2 as line_id, min(d) as d from walk group by 1, 2)
+DEPTHS = """depth as (select origin, node // 2 as line_id, min(d) as d from walk group by 1, 2)
 select origin as line_id, count(*) as node_count, round(sum(d)/90, 6) as total_depth, round(coalesce(sum(len) filter (origin <> depth.line_id), 0), 6) as total_weight, round(coalesce(sum(len*d) filter (origin <> depth.line_id), 0)/90, 6) as total_depth_weight
-from depth join dirs on dirs.line_id = depth.line_id group by 1""")
+from depth join dirs on dirs.line_id = depth.line_id group by 1"""
+
+
+@query("angular_integration_100", WITH + ADJ + """, walk as (select line_id as origin, line_id*2 + w as node, 0.0::double as d from lines, (values (0), (1)) v(w)
+ union select k.origin, x.dst*2 + x.forward::int, k.d + x.turn from walk k join nexts x on x.src = k.node // 2 and x.src_end = k.node % 2 where k.d + x.turn <= 100.0),
+""" + DEPTHS)
 def _(s, d):
-    return reach.angular_integration(lines(s, d), Radius(angular=100.0), rounds=3)
+    return paths.angular_integration(lines(s, d), Radius(angular=100.0))
 
 
-@query("angular_integration_100_whole")
+@query("angular_integration_100_steps3", WITH + ADJ + """, walk as (select line_id*2 + w as origin2, line_id as origin, line_id*2 + w as node, 0.0::double as d, 0 as n from lines, (values (0), (1)) v(w)
+ union select k.origin2, k.origin, x.dst*2 + x.forward::int, k.d + x.turn, k.n + 1 from walk k join nexts x on x.src = k.node // 2 and x.src_end = k.node % 2 where k.n < 3 and k.d + x.turn <= 100.0),
+""" + DEPTHS)
 def _(s, d):
-    return reach.angular_integration(lines(s, d), Radius(angular=100.0))
+    every = lines(s, d)
+    return reach.depth_sums(reach.segment_depths(every, Radius(angular=100.0, steps=3)), every)
 
 
 @query("attraction_distance_straight", WITH + "r as (select p.pt_id, min(sqrt(power(a.x-p.x,2)+power(a.y-p.y,2))) as d from points p join attractions a on sqrt(power(a.x-p.x,2)+power(a.y-p.y,2)) <= 500.0 group by 1) select p.pt_id, round(coalesce(d, -1.0), 6) as distance from points p left join r using (pt_id)")
