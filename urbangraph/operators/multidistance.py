@@ -98,6 +98,13 @@ class Network:
         return each.select("target", node("line_id", F.col("side.spot.place"), F.col("side.way")).alias("node"), "d", part.alias("part"), (part * F.col("length")).alias("leg"), (part * F.col("weight")).alias("heft"))
 
 
+    def middles(self) -> DataFrame:
+        """As ends, the middle of each line from all its spots: the last way isn't counted as axmeter, so what enters the line farther off may be nearer."""
+        ways = self.spots.withColumn("way", F.explode(F.array(F.lit(0), F.lit(1)))).where("(way = 1 and t <= 0.5) or (way = 0 and t >= 0.5)").join(self.lines, "line_id")
+        part = F.abs(F.col("t") - 0.5)
+        return ways.select(F.col("line_id").alias("target"), node("line_id", "place", F.col("way")).alias("node"), F.lit(0.0).alias("d"), part.alias("part"), (part * F.col("length")).alias("leg"), (part * F.col("weight")).alias("heft"))
+
+
 def node(line: str, place: str | Column, way: int | Column) -> Column:
     place = F.col(place) if isinstance(place, str) else place
     way = F.lit(way) if isinstance(way, int) else way
@@ -173,9 +180,10 @@ def reached(g: dict[str, DataFrame], starts: DataFrame, kind: str | None, radius
     if isinstance(targets, str):
         spots = network.spots.where("crossing is not null").withColumn("way", F.explode(F.array(F.lit(0), F.lit(1))))
         ends = spots.select(F.struct("x", "y").alias("target"), node("line_id", "place", F.col("way")).alias("node"), *(F.lit(0.0).alias(c) for c in ("d", "part", "leg", "heft")))
+    elif to_points:
+        ends = network.ends(axial.nearest_line(targets, g["lines"]).withColumnRenamed("pt_id", "target"))
     else:
-        places = axial.nearest_line(targets, g["lines"]).withColumnRenamed("pt_id", "target") if to_points else g["lines"].select(F.col("line_id").alias("target"), "line_id", F.lit(0.5).alias("t"), F.lit(0.0).alias("d"))
-        ends = network.ends(places)
+        ends = network.middles()
     ends = ends.withColumnRenamed("d", "off")
     on = labels.join(ends, "node")
     whole = {"walking": units(F.col("leg") + F.col("off")), "weights": units(F.col("heft") + weight_per_metre * F.col("off"))}
