@@ -22,7 +22,7 @@ from urbangraph.operators import axial, grouping, segment_map, segments
 from urbangraph.operators.frontier import relax
 from urbangraph.radii import Radius
 
-SCALE = 1_000_000
+SCALE = 1_000_000_000
 DISTANCES = ("walking", "steps", "angular", "axmeter", "weights")
 
 

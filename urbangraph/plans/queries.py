@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from urbangraph.functions import geometry as G
 from urbangraph.functions import normalize as N
-from urbangraph.operators import axial, grid, grouping, isovist, paths, raster, reach, segment_map, segments
+from urbangraph.operators import axial, grid, grouping, isovist, multidistance, paths, raster, reach, segment_map, segments
 from urbangraph.plans import analyses
 from urbangraph.radii import Radius
 from urbangraph.sources import layers
@@ -136,12 +136,12 @@ def _(s, d):
     return axial.lines_within(points(s, d), lines(s, d), 75.0)
 
 
-@query("points_per_line")
+@query("points_per_line", WITH + NEAR.format(of="points") + " select line_id, count(*) as n_points from best group by 1")
 def _(s, d):
     return axial.points_per_line(points(s, d), lines(s, d))
 
 
-@query("attraction_line_weights")
+@query("attraction_line_weights", WITH + NEAR.format(of="attractions") + ", r as (select b.line_id, sum(a.value) as w from best b join attractions a using (pt_id) group by 1) select l.line_id, round(coalesce(w, 0.0), 6) as weight from lines l left join r using (line_id)")
 def _(s, d):
     return axial.line_weights(attractions(s, d).withColumnRenamed("value", "weight"), lines(s, d))
 
@@ -163,6 +163,26 @@ def _(s, d):
     return reach.reach(axial.graph(lines(s, d)), Radius(steps=3), area=False)
 
 
+#: Where lines meet others, the same as points (cx, cy) at t along them.
+SPOTS = "spots as (select line_id, x as cx, y as cy, min(t) as t from (select la as line_id, x, y, ta as t from crossings union all select lb, x, y, tb from crossings) group by 1, 2, 3),\nlens as (select line_id, " + LEN + " as len from lines),\n"
+#: Entries into lines by walks from the middle of each line: the heading before, and what was walked, turned and stepped so far.
+ENTERED = """turned as (select line_id, case when degrees(atan2(y2-y1,x2-x1)) < 0 then degrees(atan2(y2-y1,x2-x1))+360 else degrees(atan2(y2-y1,x2-x1)) end as o from lines),
+wide as (select s.*, len, o, case when o >= 180 then o-180 else o+180 end as r from spots s join lens using (line_id) join turned using (line_id)),
+gone as (select line_id as origin, line_id, 0.5::double as t, null::double as cx, null::double as cy, null::double as head, 0.0::double as walked, 0.0::double as angle, 0 as steps from lines
+ union select origin, n.line_id, n.t, n.cx, n.cy, to_head, to_walked, to_angle, steps + 1 from (
+  select g.origin, g.line_id as left_line, p.cx as px, p.cy as py, case when p.t > g.t then p.o when p.t < g.t then p.r else g.head end as to_head, round(g.walked + abs(p.t-g.t)*p.len, 9) as to_walked,
+   round(g.angle + case when g.head is null or p.t = g.t then 0.0 else least(abs(g.head - case when p.t > g.t then p.o else p.r end), 360 - abs(g.head - case when p.t > g.t then p.o else p.r end)) end, 9) as to_angle, g.steps
+  from gone g join wide p using (line_id) where p.cx is distinct from g.cx or p.cy is distinct from g.cy) m
+ join spots n on n.cx = m.px and n.cy = m.py and n.line_id <> m.left_line where {limits}),
+arrived as (select origin, g.line_id, steps, walked + abs(g.t-0.5)*len as walked, angle + case when head is null then 0.0 when g.t = 0.5 then least(least(abs(head-o), 360-abs(head-o)), least(abs(head-r), 360-abs(head-r)))
+ else least(abs(head - case when g.t < 0.5 then o else r end), 360 - abs(head - case when g.t < 0.5 then o else r end)) end as angle from gone g join (select line_id, len, o, case when o >= 180 then o-180 else o+180 end as r from lens join turned using (line_id)) using (line_id))"""
+
+
+@query("reach_walking350_steps2", WITH + CROSS + SPOTS + ENTERED.format(limits="to_walked <= 350.0 and steps + 1 <= 2") + ", r as (select distinct origin, line_id from arrived where walked <= 350.0 and steps <= 2) select origin as line_id, count(*) as reach_count, round(sum(len), 6) as reach_length from r join lens using (line_id) group by 1")
+def _(s, d):
+    return reach.reach(axial.graph(lines(s, d)), Radius(walking=350.0, steps=2), area=False)
+
+
 def integration_sql(n: str, t: str) -> str:
     mean, k = f"({t}::double/nullif({n}-1,0))", f"{n}::double"
     return f"case when {n} < 2 then -1.0 else (2*((ln(({k}+2)/3)/ln(2)-1)*{k}+1)/nullif(({k}-1)*({k}-2),0)) / nullif(2*({mean}-1)/nullif({k}-2,0), 0) end"
@@ -178,6 +198,11 @@ select origin as line_id, count(*) as node_count, round(sum(d)/90, 6) as total_d
 from depth join dirs on dirs.line_id = depth.line_id group by 1"""
 
 
+@query("network_integration_walking_angular", WITH + CROSS + SPOTS + ENTERED.format(limits="to_walked <= 300.0 and to_angle <= 100.0") + f", depth as (select origin, line_id, min(steps) as d from arrived where walked <= 300.0 and angle <= 100.0 group by 1, 2), r as (select origin as line_id, count(*) as node_count, sum(d)::double as total_depth from depth group by 1) select line_id, node_count, total_depth, round({integration_sql('node_count', 'total_depth')}, 6) as integration from r")
+def _(s, d):
+    return reach.network_integration(axial.graph(lines(s, d)), Radius(walking=300.0, angular=100.0))
+
+
 @query("angular_integration_100", WITH + ADJ + """, walk as (select line_id as origin, line_id*2 + w as node, 0.0::double as d from lines, (values (0), (1)) v(w)
  union select k.origin, x.dst*2 + x.forward::int, k.d + x.turn from walk k join nexts x on x.src = k.node // 2 and x.src_end = k.node % 2 where k.d + x.turn <= 100.0),
 """ + DEPTHS)
@@ -206,19 +231,74 @@ for _kind, _sql in DECAYS.items():
         return reach.attraction_reach_straight(points(s, d), attractions(s, d), 500.0, kind, {"divide": 0.5}.get(kind, 2.0))
 
 
-@query("attraction_distance_steps3")
+#: Ways of attractions (one, or all as one) from their nearest line over crossings, within {most} metres.
+WALKED = """seeds as (select b.pt_id as origin, b.line_id, b.d, greatest(0.0, least(1.0, ((a.x-l.x1)*(l.x2-l.x1)+(a.y-l.y1)*(l.y2-l.y1)) / (len*len))) as t, len from best b join attractions a using (pt_id) join lines l on l.line_id = b.line_id join lens on lens.line_id = l.line_id {some}),
+hops as (select distinct a.cx, a.cy, b.cx as nx, b.cy as ny, abs(a.t-b.t)*len as w from spots a join spots b using (line_id) join lens using (line_id) where a.t <> b.t),
+way as (select {origin} as origin, cx, cy, round(s.d + abs(p.t-s.t)*len, 9) as d from seeds s join spots p using (line_id) where s.d + abs(p.t-s.t)*len <= {most}
+ union select w.origin, h.nx, h.ny, round(w.d + h.w, 9) from way w join hops h on h.cx = w.cx and h.cy = w.cy where w.d + h.w <= {most}),
+came as (select origin, cx, cy, min(d) as d from way group by 1, 2, 3),
+there as (select origin, line_id, min(d) as d from (select origin, line_id, d + abs(t-0.5)*len as d from came join spots using (cx, cy) join lens using (line_id) union all select {origin}, line_id, d + abs(t-0.5)*len from seeds) where d <= {most} group by 1, 2)"""
+
+
+@query("attraction_distance_steps3", WITH + CROSS + NEAR.format(of="attractions") + """, walk as (select distinct line_id as node, 0 as d from best union select a.dst, w.d + 1 from walk w join adj a on a.src = w.node where w.d < 3),
+depth as (select node, min(d) as d from walk group by 1) select line_id, coalesce(d, -1)::double as distance from lines left join depth on node = line_id""")
 def _(s, d):
     return reach.attraction_distance(axial.graph(lines(s, d)), attractions(s, d), "steps", 3)
 
 
-@query("attraction_distance_walking")
+@query("attraction_distance_walking", WITH + CROSS + SPOTS + NEAR.format(of="attractions") + ",\n" + WALKED.format(most=800.0, origin=0, some="") + " select line_id, round(coalesce(d, -1.0), 6) as distance from lines left join there using (line_id)")
 def _(s, d):
     return reach.attraction_distance(axial.graph(lines(s, d)), attractions(s, d), "walking", 800.0)
 
 
-@query("attraction_reach_walking")
+@query("attraction_reach_walking", WITH + CROSS + SPOTS + NEAR.format(of="attractions") + ",\n" + WALKED.format(most=600.0, origin="s.origin", some="where a.value > 0").replace("select s.origin, line_id, d + abs(t-0.5)*len from seeds)", "select s.origin, line_id, d + abs(t-0.5)*len from seeds s)") + """, r as (select line_id, sum(value*(1.0 - power(d/600.0, 2.0))) as score from there join attractions on pt_id = origin group by 1)
+ select line_id, round(coalesce(score, 0.0), 4) as score from lines left join r using (line_id)""")
+def _(s, d):
+    return reach.attraction_reach(axial.graph(lines(s, d)), attractions(s, d), "walking", 600.0, "pow", 2.0).withColumn("score", F.round("score", 4))
+
+
+#: The same from the lines nearest to attractions, all as one.
+FROM_ATTRACTIONS = ENTERED.replace("select line_id as origin, line_id, 0.5::double as t, null::double as cx, null::double as cy, null::double as head, 0.0::double as walked,", "select 0 as origin, b.line_id, greatest(0.0, least(1.0, ((a.x-l.x1)*(l.x2-l.x1)+(a.y-l.y1)*(l.y2-l.y1)) / (len*len))) as t, null::double as cx, null::double as cy, null::double as head, round(b.d, 9) as walked,").replace("0 as steps from lines\n", "0 as steps from best b join attractions a using (pt_id) join lines l on l.line_id = b.line_id join lens on lens.line_id = l.line_id where b.d <= 300.0\n")
+
+
+@query("attraction_distance_angular", WITH + CROSS + SPOTS + NEAR.format(of="attractions") + ",\n" + FROM_ATTRACTIONS.format(limits="to_walked <= 300.0") + ", r as (select line_id, min(angle) as d from arrived where walked <= 300.0 group by 1) select line_id, round(coalesce(d, -1.0), 6) as distance from lines left join r using (line_id)")
 def _(s, d):
-    return reach.attraction_reach(axial.graph(lines(s, d)), attractions(s, d), "walking", 600.0, "pow", 2.0)
+    found = multidistance.attraction_distance(axial.graph(lines(s, d)), attractions(s, d), "angular", Radius(walking=300.0))
+    return found.withColumnRenamed("target", "line_id")
+
+
+@query("attraction_distance_junctions", WITH + CROSS + SPOTS + NEAR.format(of="attractions") + ",\n" + WALKED.format(most=400.0, origin=0, some="") + " select p.cx as x, p.cy as y, round(coalesce(c.d, -1.0), 6) as distance from (select distinct cx, cy from spots) p left join came c using (cx, cy)")
+def _(s, d):
+    found = multidistance.attraction_distance(axial.graph(lines(s, d)), attractions(s, d), "walking", Radius(walking=400.0), "junctions")
+    return found.select("target.x", "target.y", "distance")
+
+
+def attraction_regions(s, d):
+    corners = ((0.0, 0.0), (40.0, 0.0), (40.0, 30.0), (0.0, 30.0))
+    ring = F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in corners))
+    return attractions(s, d).select(F.col("pt_id").alias("region_id"), ring.alias("ring"), "value")
+
+
+#: Seven points 20 apart along the edge of each region, their nearest lines, and the lines within one step.
+ENTRANCES = """rp as (select pt_id*10 + k as pt_id, x + case when k*20 < 40 then k*20.0 when k*20 < 70 then 40.0 when k*20 < 110 then 110.0-k*20 else 0.0 end as x,
+ y + case when k*20 < 40 then 0.0 when k*20 < 70 then k*20.0-40 when k*20 < 110 then 30.0 else 140.0-k*20 end as y from attractions, range(7) r(k)),
+""" + NEAR.format(of="rp") + """, within as (select pt_id, line_id from best union select b.pt_id, a.dst from best b join adj a on a.src = b.line_id)"""
+for _how, _sql in (("copy", "sum(value) as score from (select distinct pt_id // 10 as region, line_id from within) w join attractions a on a.pt_id = w.region"), ("divide", "sum(value/7) as score from within w join attractions a on a.pt_id = w.pt_id // 10")):
+
+    @query(f"attraction_reach_polygons_{_how}", WITH + CROSS + ENTRANCES + f", r as (select line_id, {_sql} where value > 0 group by 1) select line_id, round(coalesce(score, 0.0), 4) as score from lines left join r using (line_id)")
+    def _(s, d, how=_how):
+        parts = multidistance.polygon_attractions(attraction_regions(s, d), 20.0, how)
+        found = multidistance.attraction_reach(axial.graph(lines(s, d)), parts, "steps", Radius(steps=1))
+        return found.select(F.col("target").alias("line_id"), F.round("score", 4).alias("score"))
+
+
+@query("attraction_distance_groups", WITH + CROSS + NEAR.format(of="attractions") + ",\n" + NEAR.format(of="points").replace("near as (", "near2 as (").replace("best as (", "best2 as (").replace("from near)", "from near2)") + """,
+ walk as (select distinct line_id as node, 0 as d from best union select a.dst, w.d + 1 from walk w join adj a on a.src = w.node where w.d < 2), depth as (select node, min(d) as d from walk group by 1)
+select pt_id % 50 as group_id, coalesce(min(depth.d), -1)::double as distance from best2 left join depth on node = line_id group by 1""")
+def _(s, d):
+    every = points(s, d)
+    found = multidistance.attraction_distance(axial.graph(lines(s, d)), attractions(s, d), "steps", Radius(steps=2), every)
+    return multidistance.by_group(found, every.select("pt_id", (F.col("pt_id") % 50).alias("group_id")), "distance", "min")
 
 
 @query("std_normalize", WITH + "r as (select 1) select line_id, round((value - (select min(value) from lines)) / ((select max(value) from lines) - (select min(value) from lines)), 6) as score from lines")
@@ -294,14 +374,29 @@ def before_after(s, d):
     return every, every.withColumn("value", F.col("value") * (1 + F.col("size") % 3 - 1) / 2)
 
 
-@query("compare_normalized")
+#: Thirteen weights for sigma 2, by the same rule.
+KERNEL2 = """kernel as (select d, avg(exp(-power((d - 0.5 + (k + 0.5)/10.0)*3.0/6.5, 2)/2)) as w from range(-6, 7) t(d), range(10) s(k) where d <> 0 group by d
+union all select 0, avg(exp(-power((k + 0.5)/10.0*0.5*3.0/6.5, 2)/2)) from range(10) s(k)), kn as (select d, w/sum(w) over () as w from kernel)"""
+BLURS = """{name}1 as (select ix + d as ix, iy, sum(value*w) as value from {of}, kn group by 1, 2), {name} as (select ix, iy + d as iy, sum(value*w) as value from {name}1, kn group by 1, 2)"""
+CHANGED = "(1 + size % 3 - 1) / 2.0"
+
+
+def rastered(name: str, value: str) -> str:
+    """The rasterised lines of SAMPLES by another value, under another name."""
+    sql = SAMPLES.replace("y2/20.0 as y2, value from", f"y2/20.0 as y2, {value} as value from")
+    for table in ("sc", "ln", "sm", "cl", "ras"):
+        sql = sql.replace(f"{table} as (", f"{name}_{table} as (").replace(f"from {table},", f"from {name}_{table},").replace(f"from {table} ", f"from {name}_{table} ")
+    return sql
+
+
+@query("compare_normalized", WITH + rastered("c", f"value * {CHANGED} - value") + f", {KERNEL2}, " + BLURS.format(name="b", of="c_ras") + " select ix, iy, round(value / (select max(abs(value)) from b), 6) as value from b")
 def _(s, d):
     return raster.compare_normalized(*before_after(s, d), 20.0, 2.0)
 
 
-@query("compare_percent")
+@query("compare_percent", WITH + rastered("p", "value") + ", " + rastered("q", f"value * {CHANGED}") + f", {KERNEL2}, " + BLURS.format(name="b", of="p_ras") + ", " + BLURS.format(name="a", of="q_ras") + " select ix, iy, round(100.0 * (greatest(coalesce(a.value, 0.0), 1.0) / greatest(coalesce(b.value, 0.0), 1.0) - 1.0), 4) as value from a full join b using (ix, iy)")
 def _(s, d):
-    return raster.compare_percent(*before_after(s, d), 20.0, 2.0, 1.0)
+    return raster.compare_percent(*before_after(s, d), 20.0, 2.0, 1.0).withColumn("value", F.round("value", 4))
 
 
 @query("range_classification", WITH + "r as (select line_id, (size - 25) / 25.0 as v from lines), c as (select line_id, v, case when v >= -1 and v < -0.5 then 0 when v >= -0.5 and v < -0.25 then 1 when v >= -0.25 and v < -0.1 then 2 when v >= -0.1 and v < -0.01 then 3 when v >= 0.01 and v < 0.1 then 4 when v >= 0.1 and v < 0.25 then 5 when v >= 0.25 and v < 0.5 then 6 when v >= 0.5 and v <= 1 then 7 end as category from r) select line_id, category from c where category is not null")
