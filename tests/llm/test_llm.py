@@ -146,6 +146,18 @@ def test_sstable(docs, rows, nothing, library):
     assert sstable.read(sstable.write(nothing, JSON)).count() == 0
 
 
+def test_sstable_keys(spark, library):
+    ids = [None, None, -(1 << 63), -(1 << 63), -1, 0, (1 << 63) - 1]
+    assert [sstable.id_of(sstable.key_of(i)) for i in ids] == ids
+    assert [sstable.key_of(i, k) for k, i in enumerate(ids)] == sorted(sstable.key_of(i, k) for k, i in enumerate(ids))
+    files = sstable.write(spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string"), JSON, shards=4)
+    assert sorted(map(str, [r.doc_id for r in sstable.digests(sstable.read(files)).collect()])) == sorted(map(str, ids))
+    shards = [r.file for r in files.orderBy("shard").collect()]
+    want = lambda i: sorted([*library.encode(f"text {k}", add_special_tokens=False).ids, 2] for k, j in enumerate(ids) if j == i)
+    for i in (*ids, 7, -(1 << 63) + 1):
+        assert sorted(x.tolist() for x in sstable.lookup(shards, i)) == want(i), i
+
+
 # quality
 
 

@@ -3,14 +3,14 @@
 A shard is one file: blocks of entries in key order, then a block index, a Bloom filter of the keys and a footer.
 
     block   zstd of entries: shared (varint), rest length (varint), value length (varint), rest of key, value
-    index   for each block: first key (8 bytes), offset (8), length (4), all big-endian
+    index   for each block: first key (13 bytes), offset (8), length (4), all big-endian
     Bloom   8 bits a key, 5 probes
-    footer  last key (8), entries (8), ids (8), index offset (8), Bloom offset (8), end of Bloom (8), magic (8)
+    footer  last key (13), entries (8), ids (8), index offset (8), Bloom offset (8), end of Bloom (8), magic (8)
 
-A key is a document's identifier as 8 big-endian bytes with the sign bit flipped, and 4 bytes that number repeats of one
-identifier, so that byte order is identifier order; `shared` is how many bytes it has in common with the key before it.
+A key is a byte that is 0 for a null identifier and 1 for others, the identifier as 8 big-endian bytes with the sign bit flipped, and 4 bytes that
+number repeats of one identifier, so that byte order is identifier order, null first; `shared` is how many bytes it has in common with the key before it.
 A value is the document's ids as little-endian unsigned 32-bit integers. `lookup` finds a document by binary search in
-the shards' ranges and the block index after asking the Bloom filter.
+the shards' ranges, which opens as many shards as the logarithm of their number, and in the block index after asking the Bloom filter.
 
 Shards come from a range partitioning by identifier; each task writes its own file under a temporary name and renames
 it, so that a task run again leaves the same file. Files go through pyarrow.fs to the folder's own file system.
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +35,23 @@ from pyspark.sql import functions as F
 from urbangraph.llm.arrays import as_arrow, pieces, saved, scratch, texts
 from urbangraph.llm.token_counts import library
 
-MAGIC = b"ugsst\x00\x00\x01"
-FOOTER = struct.Struct(">12sQQQQQ8s")
-BLOCK = struct.Struct(">12sQI")
+MAGIC = b"ugsst\x00\x00\x02"
+KEY = struct.Struct(">BQI")
+FOOTER = struct.Struct(f">{KEY.size}sQQQQQ8s")
+BLOCK = struct.Struct(f">{KEY.size}sQI")
+#: Bytes of a key without the number of the repeat.
+NAME = KEY.size - 4
 #: Bytes of entries in a block before it is compressed.
 BLOCK_BYTES = 1 << 16
-NULL_ID = -(1 << 63)
 
 
 def key_of(doc_id: int | None, again: int = 0) -> bytes:
-    return struct.pack(">QI", (NULL_ID if doc_id is None else doc_id) + (1 << 63), again)
+    return KEY.pack(0, 0, again) if doc_id is None else KEY.pack(1, doc_id + (1 << 63), again)
 
 
 def id_of(key: bytes) -> int | None:
-    i = struct.unpack(">QI", key)[0] - (1 << 63)
-    return None if i == NULL_ID else i
+    there, i, _ = KEY.unpack(key)
+    return i - (1 << 63) if there else None
 
 
 def varint(n: int) -> bytes:
@@ -113,7 +115,7 @@ class Writer:
         bits = max(64, 8 * len(self.keys))
         bloom = np.zeros(bits, bool)
         for k in self.keys:
-            bloom[probes(k[:8], bits)] = True
+            bloom[probes(k[:NAME], bits)] = True
         index, bloom = b"".join(self.index), struct.pack(">Q", bits) + np.packbits(bloom).tobytes()
         ends = self.offset, self.offset + len(index), self.offset + len(index) + len(bloom)
         self.out.write(index + bloom + FOOTER.pack(self.last, self.entries, self.ids, *ends, MAGIC))
@@ -147,14 +149,14 @@ class Reader:
             yield from self.block(offset, length)
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
-        key = key_of(doc_id)[:8]
+        key = key_of(doc_id)[:NAME]
         if not self.bloom[probes(key, self.bits)].all():
             return []
         out = []
-        for i in range(max(0, bisect_right(self.blocks, key, key=lambda b: b[0][:8]) - 1), -1, -1):  # repeats may begin in an earlier block
-            found = [np.frombuffer(v, "<u4") for k, v in self.block(*self.blocks[i][1:]) if k[:8] == key]
+        for i in range(max(0, bisect_right(self.blocks, key, key=lambda b: b[0][:NAME]) - 1), -1, -1):  # repeats may begin in an earlier block
+            found = [np.frombuffer(v, "<u4") for k, v in self.block(*self.blocks[i][1:]) if k[:NAME] == key]
             out = found + out
-            if self.blocks[i][0][:8] < key:
+            if self.blocks[i][0][:NAME] < key:
                 break
         return out
 
@@ -188,6 +190,8 @@ def write(df: DataFrame, path: str, folder: str | None = None, end: int = 2, sha
         if writer:
             writer.close()
             writer.out.close()
+            if fs.get_file_info(f"{top}/{name}").type != pafs.FileType.NotFound:  # of an attempt that was lost; some file systems don't move onto it
+                fs.delete_file(f"{top}/{name}")
             fs.move(temporary, f"{top}/{name}")
             yield pa.RecordBatch.from_pydict({"shard": pa.array([int(name[6:12])], pa.int64()), "file": [f"{folder.rstrip('/')}/{name}"], "entries": pa.array([writer.entries], pa.int64()), "ids": pa.array([writer.ids], pa.int64())})
 
@@ -238,7 +242,15 @@ def digests(df: DataFrame) -> DataFrame:
 
 def lookup(files: list[str], doc_id: int | None) -> list[np.ndarray]:
     """The ids of one document, as often as it is stored. files: the shards in key order."""
-    readers = [Reader(*open_folder(f)) for f in files]
-    i = bisect_right([r.last[:8] for r in readers], key_of(doc_id)[:8])
-    around = readers[max(0, i - 1) : i + 1]
-    return [x for r in around for x in r.get(doc_id)]
+    readers: dict[int, Reader] = {}
+
+    def reader(i: int) -> Reader:
+        if i not in readers:
+            readers[i] = Reader(*open_folder(files[i]))
+        return readers[i]
+
+    i = bisect_left(range(len(files)), key_of(doc_id)[:NAME], key=lambda i: reader(i).last[:NAME])
+    out = []
+    while i < len(files) and (found := reader(i).get(doc_id)):  # repeats may go on in the next one
+        out, i = out + found, i + 1
+    return out
