@@ -248,3 +248,34 @@ def test_grouping_and_group_integration(spark):
     assert by_line(grouping.group_integration(lines, of), "total_depth", "group_id") == [11] * 4 + [10] * 4
     assert by_line(grouping.group_integration(lines, of, Radius(steps=1)), "node_count", "group_id") == [4] * 4 + [5] * 4
     assert by_line(grouping.group_integration(lines, of, Radius(walking=1)), "node_count", "group_id") == [7] * 4 + [8] * 4
+
+
+def test_od_by_turns_against_all_walks(spark):
+    made = crooked(31, 4)
+    near, length, _ = moves(made)
+    rng = random.Random(8)
+    on = lambda i, t: (made[i][0] + (made[i][2] - made[i][0]) * t, made[i][1] + (made[i][3] - made[i][1]) * t)
+    starts = [(k, i, t) for k in range(5) for i, t in [(rng.randrange(len(made)), rng.uniform(0.2, 0.8))]]
+    ends = [(k, i, t, float(k % 3)) for k in range(9) for i, t in [(rng.randrange(len(made)), rng.uniform(0.2, 0.8))]]
+    score = [0.0] * len(made)
+    for _, o, t in starts:
+        best = {}
+        todo = [(o, f, 0.0, [o]) for f in (0, 1)]
+        while todo:
+            i, f, turned, path = todo.pop()
+            for k, j, u, w in ends:
+                ahead = i == j and (len(path) > 1 or (u > t) == bool(f))
+                if w > 0 and ahead and turned < best.get(k, (math.inf,))[0]:
+                    best[k] = (turned, path, w)
+            if len(path) < 5:
+                todo += [(j, g, turned + a, [*path, j]) for j, g, a, _, _ in near[i, f] if turned + a <= 130.0 and j not in path]
+        for _, path, w in best.values():
+            for i in path:
+                score[i] += w / sum(x[2] for x in best.values())
+    origins = spark.createDataFrame([(k, *on(i, t)) for k, i, t in starts], "pt_id long, x double, y double")
+    targets = spark.createDataFrame([(k, *on(i, t), w) for k, i, t, w in ends], "pt_id long, x double, y double, weight double")
+    out = paths.od_betweenness(frame(spark, made), origins, targets, kind="angular", radius=Radius(angular=130.0, steps=4))
+    assert by_line(out, "score") == pytest.approx(score, abs=1e-6)
+    assert max(by_line(paths.od_betweenness(frame(spark, made), origins, targets.drop("weight"), kind="walking", radius=Radius(straight=1.0)), "score")) <= 5.0
+    with pytest.raises(ValueError, match="no flows by steps"):
+        paths.od_betweenness(frame(spark, made), origins, targets, kind="steps")

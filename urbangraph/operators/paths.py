@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -316,53 +317,37 @@ def angular_betweenness(lines: DataFrame, by_length: bool = False, walking: floa
     return out.withColumnRenamed("score", "betweenness")
 
 
-def od_betweenness(lines: DataFrame, origins: DataFrame, destinations: DataFrame, walking: float | None = None, closest: bool = False, cell: float = axial.CELL, tile: float = 2000.0) -> DataFrame:
+def od_betweenness(lines: DataFrame, origins: DataFrame, destinations: DataFrame, walking: float | None = None, closest: bool = False, cell: float = axial.CELL, tile: float = 2000.0, kind: str = "walking", radius: Radius = Radius()) -> DataFrame:  # noqa: B008
     """line_id, score: of each origin (pt_id, x, y, weight) its weight, shared by the destinations' weights (> 0) within reach, or to the
-    closest one, laid along one shortest walk from the origin's nearest line to the destination's."""
-    at = axial.line_crossings(axial.crossing_pairs(lines, cell=cell)).groupBy("line_id").agg(F.collect_list(F.struct("crossing", "t")).alias("at"))
+    closest one, laid along one best path from the origin's nearest line to the destination's. Without a column weight each counts 1. kind:
+    walking, or angular (the turns; the way from the last crossing to a destination and from its line to it then counts for no limit). Limits:
+    walking, steps, angular, and straight from the origin to the crossings passed and to the destinations and their places on lines."""
+    radius.only("flows from origins to destinations", "walking", "steps", "angular", "straight")
+    if kind not in ("walking", "angular"):
+        raise ValueError(f"no flows by {kind}")
+    if walking is not None:
+        radius = replace(radius, walking=walking)
+    weighted = lambda d: d if "weight" in d.columns else d.withColumn("weight", F.lit(1.0))
+    at = axial.line_crossings(axial.crossing_pairs(lines, cell=cell)).groupBy("line_id").agg(F.collect_list(F.struct("crossing", "t", "x", "y")).alias("at"))
     full = axial.with_length(lines.select("line_id", "x1", "y1", "x2", "y2")).join(at, "line_id", "left")
-    for name, pts in (("origins", origins), ("destinations", destinations.where(F.col("weight") > 0))):
-        near = axial.nearest_line(pts, lines).join(pts.select("pt_id", "weight"), "pt_id")
-        full = full.join(near.groupBy("line_id").agg(F.collect_list(F.struct("pt_id", "t", "d", "weight")).alias(name)), "line_id", "left")
-    dealt = groups(full, walking, tile)
+    for name, pts in (("origins", weighted(origins)), ("destinations", weighted(destinations).where(F.col("weight") > 0))):
+        near = axial.nearest_line(pts, lines).join(pts.select("pt_id", "weight", "x", "y"), "pt_id")
+        full = full.join(near.groupBy("line_id").agg(F.collect_list(F.struct("pt_id", "t", "d", "weight", "x", "y")).alias(name)), "line_id", "left")
+    trails = directed_trails if kind == "angular" or set(radius.limits()) - {"walking"} else walked_trails
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         listed = lambda v: [] if v is None else list(v)
         rows = pdf.sort_values("line_id").to_dict("records")
         by_crossing: dict[str, list[tuple[int, float]]] = {}
         for k, r in enumerate(rows):
-            r["at"] = listed(r["at"])
+            r["at"], r["origins"], r["destinations"] = (listed(r[c]) for c in ("at", "origins", "destinations"))
+            r["way"] = math.degrees(math.atan2(r["y2"] - r["y1"], r["x2"] - r["x1"])) % 360
             for c in r["at"]:
                 by_crossing.setdefault(c["crossing"], []).append((k, c["t"]))
         scores: dict[int, float] = {}
         for k, r in enumerate(rows):
-            for origin in listed(r["origins"]) if r["own"] else []:
-                heap, best, done = [(origin["d"] + abs(c["t"] - origin["t"]) * r["length"], c["crossing"], (k, None)) for c in r["at"]], {}, {}
-                heapq.heapify(heap)
-                trail: dict[str, tuple] = {}
-                found: dict[int, tuple[float, float, tuple]] = {}
-
-                def arrive(d, line, t, path, found=found):
-                    for x in listed(rows[line]["destinations"]):
-                        there = d + abs(x["t"] - t) * rows[line]["length"] + x["d"]
-                        if (walking is None or there <= walking) and (x["pt_id"] not in found or there < found[x["pt_id"]][0]):
-                            found[x["pt_id"]] = (there, x["weight"], path)
-
-                arrive(origin["d"], k, origin["t"], (k, None))
-                while heap:
-                    d, c, path = heapq.heappop(heap)
-                    if c in done or walking is not None and d > walking:
-                        continue
-                    done[c] = trail[c] = path
-                    for line, t in by_crossing[c]:
-                        onward = path if line == path[0] else (line, path)
-                        arrive(d, line, t, onward)
-                        for other in rows[line]["at"]:
-                            if other["crossing"] not in done:
-                                new = d + abs(other["t"] - t) * rows[line]["length"]
-                                if new < best.get(other["crossing"], math.inf):
-                                    best[other["crossing"]] = new
-                                    heapq.heappush(heap, (new, other["crossing"], onward))
+            for origin in r["origins"] if r["own"] else []:
+                found = trails(rows, by_crossing, k, origin, kind, radius)
                 chosen = [min(found.values(), key=lambda f: f[0])] if closest and found else list(found.values())
                 total = sum(f[1] for f in chosen)
                 for _, weight, path in chosen:
@@ -371,5 +356,81 @@ def od_betweenness(lines: DataFrame, origins: DataFrame, destinations: DataFrame
                         scores[line] = scores.get(line, 0.0) + origin["weight"] * weight / total
         return pd.DataFrame([(rows[k]["line_id"], s) for k, s in scores.items()], columns=["line_id", "score"])
 
+    dealt = groups(full, margin(radius), tile)
     sums = dealt.groupBy("tile", "part").applyInPandas(kernel, "line_id long, score double").groupBy("line_id").agg(F.sum("score").alias("score"))
     return lines.select("line_id").join(sums, "line_id", "left").select("line_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def walked_trails(rows: list[dict], by_crossing: dict, k: int, origin: dict, kind: str, radius: Radius) -> dict[int, tuple]:
+    """{pt_id: (distance, weight, lines passed)} of the destinations that walks from an origin on line k reach; lines as nested pairs (line, those
+    before)."""
+    walking = radius.walking
+    heap, best, done = [(origin["d"] + abs(c["t"] - origin["t"]) * rows[k]["length"], c["crossing"], (k, None)) for c in rows[k]["at"]], {}, {}
+    heapq.heapify(heap)
+    found: dict[int, tuple[float, float, tuple]] = {}
+
+    def arrive(d, line, t, path):
+        for x in rows[line]["destinations"]:
+            there = d + abs(x["t"] - t) * rows[line]["length"] + x["d"]
+            if (walking is None or there <= walking) and (x["pt_id"] not in found or there < found[x["pt_id"]][0]):
+                found[x["pt_id"]] = (there, x["weight"], path)
+
+    arrive(origin["d"], k, origin["t"], (k, None))
+    while heap:
+        d, c, path = heapq.heappop(heap)
+        if c in done or walking is not None and d > walking:
+            continue
+        done[c] = path
+        for line, t in by_crossing[c]:
+            onward = path if line == path[0] else (line, path)
+            arrive(d, line, t, onward)
+            for other in rows[line]["at"]:
+                if other["crossing"] not in done:
+                    new = d + abs(other["t"] - t) * rows[line]["length"]
+                    if new < best.get(other["crossing"], math.inf):
+                        best[other["crossing"]] = new
+                        heapq.heappush(heap, (new, other["crossing"], onward))
+    return found
+
+
+def directed_trails(rows: list[dict], by_crossing: dict, k: int, origin: dict, kind: str, radius: Radius) -> dict[int, tuple]:
+    """As walked_trails, by entries into lines in one direction, so that turns can be counted and limited: an entry at a crossing in a direction counts
+    once, by the least distance; of equally near ones the one found first."""
+    walk_most, step_most, turn_most, far_most = (math.inf if v is None else v for v in (radius.walking, radius.steps, radius.angular, radius.straight))
+    far = lambda x, y: math.hypot(x - origin["x"], y - origin["y"]) > far_most
+    by_turns, found, done = kind == "angular", {}, set()
+    first = (origin["d"], 0.0, 0)
+    heap, ticket = [(0.0 if by_turns else origin["d"], w, k, None, origin["t"], w, first, (k, None)) for w in (0, 1) if origin["d"] <= far_most], 2
+
+    def put(turned, walked, *entry):
+        nonlocal ticket
+        ticket += 1
+        heapq.heappush(heap, (turned if by_turns else walked, ticket, *entry))
+
+    while heap:
+        d, _, line, crossing, t, way, (walked, turned, steps), path = heapq.heappop(heap)
+        if way is None:  # a destination
+            found.setdefault(crossing["pt_id"], (d, crossing["weight"], path))
+            continue
+        if crossing is not None:
+            if (line, crossing, way) in done:
+                continue
+            done.add((line, crossing, way))
+        r = rows[line]
+        heading = r["way"] if way else (r["way"] + 180) % 360
+        for c in r["at"]:
+            on = walked + abs(c["t"] - t) * r["length"]
+            if c["crossing"] == crossing or c["t"] == t or (c["t"] > t) != bool(way) or far(c["x"], c["y"]) or on > walk_most or steps + 1 > step_most:
+                continue
+            for other, u in by_crossing[c["crossing"]]:
+                for w in (0, 1) if other != line else ():
+                    turn = abs(heading - (rows[other]["way"] + 180 * (not w)) % 360)
+                    now = turned + min(turn, 360 - turn)
+                    if now <= turn_most and (other, c["crossing"], w) not in done:
+                        put(now, on, other, c["crossing"], u, w, (on, now, steps + 1), (other, path))
+        for x in r["destinations"]:
+            there = walked if by_turns else walked + abs(x["t"] - t) * r["length"] + x["d"]
+            place = (r["x1"] + (r["x2"] - r["x1"]) * x["t"], r["y1"] + (r["y2"] - r["y1"]) * x["t"])
+            if x["pt_id"] not in found and (x["t"] > t) == bool(way) and there <= walk_most and not far(x["x"], x["y"]) and not far(*place):
+                put(turned, there, line, x, t, None, (there, turned, steps), path)
+    return found

@@ -463,9 +463,23 @@ def _(s, d):
     return paths.od_betweenness(lines(s, d), origins, attractions(s, d).withColumnRenamed("value", "weight"), 800.0)
 
 
+@query("od_betweenness_angular")
+def _(s, d):
+    return paths.od_betweenness(lines(s, d), points(s, d), attractions(s, d).where("value > 0").drop("value"), kind="angular", radius=Radius(angular=100.0, straight=600.0))
+
+
+def streets(s, d):
+    """The lines with a bend of up to 1.6 in their middle and a stub of 3 to 18 at their end."""
+    xy = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    off, stub = 0.004 * (F.col("size") % 5), 3.0 + 5.0 * (F.col("size") % 4)
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    middle = xy((x1 + x2) / 2 - (y2 - y1) * off, (y1 + y2) / 2 + (x2 - x1) * off)
+    return lines(s, d).select(F.col("line_id").alias("base_id"), F.array(xy(x1, y1), middle, xy(x2, y2), xy(x2 + stub, y2 - stub / 2)).alias("coords"))
+
+
 @query("segment_map")
 def _(s, d):
-    return analyses.segment_map_analysis(polylines(s, d))[0]
+    return analyses.segment_map_analysis(streets(s, d), unlinks=attractions(s, d).drop("value"))[0]
 
 
 @query("isovists")
