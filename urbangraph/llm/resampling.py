@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from urbangraph.llm.arrays import as_arrow, pieces, saved
 
 BUCKETS, SEED, PERCENT, LEAST_WORDS = 10_000, 7, 25, 20
-#: Nodes of a trie before it starts anew: some 20 MB.
-NODES = 150_000
+#: Nodes of a trie before it starts anew: some 5 MB.
+NODES = 40_000
 #: Bytes of a text whose words are listed at once.
-RUN = 1 << 16
+RUN = 1 << 14
 #: Bytes of words stay, A-Z in lower case; all others become spaces. Bytes from 128 on are those of letters beyond ASCII.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
