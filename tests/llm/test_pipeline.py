@@ -31,7 +31,7 @@ def test_entry_has_all():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert set(e.oracle_sql()) <= set(names)
     with pytest.raises(KeyError):
-        names["op11_"]
+        names["op14_"]
