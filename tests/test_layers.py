@@ -203,9 +203,47 @@ def test_raster(spark):
     assert raster.gaussian_blur(raster.raster_lines(lines, 1.0), 1.0).agg(F.sum("value")).first()[0] == pytest.approx(8)
     same = raster.compare_normalized(lines, lines, 1.0, 1.0)
     assert same.agg(F.max(F.abs("value"))).first()[0] == pytest.approx(0, abs=1e-9)
-    block = spark.createDataFrame([(x, y, 0.2) for x in range(3) for y in range(3) if (x, y) != (1, 1)], "ix int, iy int, value double")
-    rings = raster.polygons(block).first()["rings"]
-    assert sorted(len(r) for r in rings) == [4, 12] or sorted(len(r) for r in rings) == [4, 4] or len(rings) == 2
+
+
+def test_outlines(spark):
+    shape = "ix int, iy int, value double"
+    block = [(x, y, 0.2) for x in range(3) for y in range(3) if (x, y) != (1, 1)]
+    (one,) = raster.polygons(spark.createDataFrame(block, shape), resolution=2.0).collect()
+    assert (one.category, one.range_min, one.range_max) == (5, 0.1, 0.25)
+    assert [[(p.x, p.y) for p in r] for r in one.rings] == [[(0, 0), (6, 0), (6, 6), (0, 6)], [(2, 2), (2, 4), (4, 4), (4, 2)]]
+    corner = [(0, 0, 0.2), (1, 1, 0.2), (5, 5, 0.7), (9, 9, None), (8, 8, 0.0)]  # two pixels that meet at a corner, one of another range
+    assert sorted((r.category, len(r.rings), len(r.rings[0])) for r in raster.polygons(spark.createDataFrame(corner, shape)).collect()) == [(5, 1, 4), (5, 1, 4), (7, 1, 4)]
+    assert raster.polygons(spark.createDataFrame([], shape)).count() == 0
+    rng = random.Random(6)
+    pixels = {(x, y) for x in range(24) for y in range(16) if rng.random() < 0.62}
+    drawn_from = spark.createDataFrame([(x - 9, y - 9, 0.2) for x, y in pixels], shape).repartition(3)
+    whole = {(r.category, r.polygon, str(r.rings)) for r in raster.polygons(drawn_from).collect()}
+    assert {(r.category, r.polygon, str(r.rings)) for r in raster.polygons(drawn_from, tile=5).collect()} == whole  # tiles change nothing
+    found = raster.polygons(spark.createDataFrame([(x, y, 0.2) for x, y in pixels], shape)).collect()
+    groups, left = [], set(pixels)
+    while left:
+        todo, group = [left.pop()], set()
+        while todo:
+            x, y = todo.pop()
+            group.add((x, y))
+            near = {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)} & left
+            left -= near
+            todo += near
+        groups.append(group)
+    area = lambda r: sum(a.x * b.y - b.x * a.y for a, b in zip(r, [*r[1:], r[0]], strict=True)) / 2
+    inside = lambda r, x, y: sum((a.y > y) != (b.y > y) and a.x > x for a, b in zip(r, [*r[1:], r[0]], strict=True)) % 2 == 1
+    drawn = []
+    for r in found:
+        assert area(r.rings[0]) > 0 and all(area(h) < 0 for h in r.rings[1:])
+        drawn.append({(x, y) for x in range(24) for y in range(16) if inside(r.rings[0], x + 0.5, y + 0.5) and not any(inside(h, x + 0.5, y + 0.5) for h in r.rings[1:])})
+    assert sorted(map(sorted, drawn)) == sorted(map(sorted, groups))
+
+
+def test_nearest_line_far_off_and_without_coordinates(spark):
+    lines = frame(spark, [(0, 0, 10, 0), (0, 50, 10, 50)])
+    at = spark.createDataFrame([(0, 5.0, 1.0), (1, 9000.0, 60.0), (2, None, 1.0), (3, 1.0, None), (4, 5.0, 25.0)], "pt_id long, x double, y double")
+    assert {r.pt_id: r.line_id for r in axial.nearest_line(at, lines).collect()} == {0: 0, 1: 1, 4: 0}
+    assert axial.nearest_line(at, lines.limit(0)).count() == 0
 
 
 def test_square_lengths(spark):

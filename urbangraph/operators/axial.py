@@ -125,9 +125,10 @@ def graph_info(g: dict[str, DataFrame], points: DataFrame | None = None, groups:
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, first: float = 60.0) -> DataFrame:
-    """pt_id, line_id, d, t: by distance, then line_id. Rings double until every point has a line within its ring."""
+    """pt_id, line_id, d, t: by distance, then line_id. Rings become four times as wide until every point has a line within its ring. Points and
+    lines with a null coordinate are left out; without lines no point has any."""
     columns = lines.select("line_id", "x1", "y1", "x2", "y2")
-    todo, found, radius = points.select("pt_id", "x", "y"), None, first
+    todo, found, radius = points.select("pt_id", "x", "y").where("x is not null and y is not null"), None, first
     ends = columns.agg(*(F.min(c) for c in ("x1", "x2", "y1", "y2")), *(F.max(c) for c in ("x1", "x2", "y1", "y2"))).first()
     box = todo.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if ends[0] is None or box[0] is None:

@@ -71,7 +71,7 @@ class Network:
         turns = a.join(b.drop("x", "y"), "crossing").where("line_a <> line_b").select("src", "dst", zero.alias("walking"), F.lit(1).cast("long").alias("steps"), turn.alias("angular"), zero.alias("weights"), "x", "y")
         return cut(ahead.unionByName(back).unionByName(turns))
 
-    def seeds(self, metrics: tuple[str, ...]) -> DataFrame:
+    def seeds(self, metrics: tuple[str, ...], weight_per_metre: float = 0.0) -> DataFrame:
         """origin, node, ox, oy and metrics at each start, in both directions; where it lies at a crossing also on the lines that cross there, one step
         away, to which a path without a direction yet doesn't turn."""
         far, zero, one = units(F.col("d")), F.lit(0).cast("long"), F.lit(1).cast("long")
@@ -80,7 +80,7 @@ class Network:
         there = begins.drop("place").join(at.drop("place"), ["line_id", "t"]).withColumnRenamed("line_id", "own")
         beside = there.drop("t").join(at.drop("t"), "crossing").where("line_id <> own").select("line_id", "place", "origin", "d", "ox", "oy", one.alias("steps"))
         ways = begins.select("line_id", "place", "origin", "d", "ox", "oy", zero.alias("steps")).unionByName(beside).withColumn("way", F.explode(F.array(F.lit(0), F.lit(1))))
-        first = {"walking": far, "axmeter": far, "steps": F.col("steps")}
+        first = {"walking": far, "axmeter": far, "steps": F.col("steps"), "weights": units(weight_per_metre * F.col("d"))}
         return ways.select("origin", node("line_id", "place", F.col("way")).alias("node"), "ox", "oy", *(first.get(m, zero).alias(m) for m in metrics))
 
     def ends(self, targets: DataFrame) -> DataFrame:
@@ -169,13 +169,13 @@ def from_points(g: dict[str, DataFrame], points: DataFrame) -> DataFrame:
 def reached(g: dict[str, DataFrame], starts: DataFrame, kind: str | None, radius: Radius, targets: DataFrame | str | None = None, weight: str | None = None, weight_per_metre: float = 0.0) -> DataFrame:
     """origin, target, d: the least distance by kind from each start to each target that a path within all limits reaches; without a kind
     d is 0. Targets: the lines' middles (null), "junctions" (x, y as a struct), or points (pt_id, x, y), to which the way from their nearest line
-    counts. The way from a start to its line counts as walking and axmeter; the last way to a line's middle doesn't count as axmeter."""
+    counts. A metre off a line weighs weight_per_metre. The way from a start to its line counts as walking and axmeter; the last way to a line's middle doesn't count as axmeter."""
     radius.only("a search of the network", "walking", "steps", "angular", "axmeter", "straight")
     if kind not in (None, *DISTANCES):
         raise ValueError(f"no paths by {kind}")
     metrics = needed(kind, radius) or ("steps",)
     network = Network(g, starts, weight)
-    labels = cut(search(network.seeds(metrics), network.edges(metrics), metrics, radius))
+    labels = cut(search(network.seeds(metrics, weight_per_metre), network.edges(metrics), metrics, radius))
     to_points = isinstance(targets, DataFrame)
     if isinstance(targets, str):
         spots = network.spots.where("crossing is not null").withColumn("way", F.explode(F.array(F.lit(0), F.lit(1))))

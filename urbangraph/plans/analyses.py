@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from urbangraph.functions import normalize as N
 from urbangraph.functions.naming import column_name, short
-from urbangraph.operators import axial, grouping, isovist, paths, raster, reach, segment_map
+from urbangraph.operators import axial, grouping, isovist, multidistance, paths, raster, reach, segment_map
 from urbangraph.radii import Radius
 
 
@@ -41,6 +41,16 @@ def network_integration_analysis(lines: DataFrame, steps: list[int | None], unli
     return wide(lines, found)
 
 
+def junction_integration_analysis(lines: DataFrame, steps: list[int | None], unlinks: DataFrame | None = None) -> DataFrame:
+    """x, y of each point where lines meet, and for each radius the mean integration of the lines there."""
+    g, out = axial.graph(lines, unlinks), None
+    for s in steps:
+        name = column_name("I", "", Radius(steps=s))
+        found = reach.junction_scores(g, reach.network_integration(g, Radius(steps=s))).withColumnRenamed("score", name)
+        out = found if out is None else out.join(found, ["x", "y"])
+    return out
+
+
 def angular_integration_analysis(lines: DataFrame, radii: list[Radius], threshold: float = 0.0, precision: float = 1.0) -> DataFrame:
     found = []
     for r in radii:
@@ -60,7 +70,7 @@ def betweenness_analysis(lines: DataFrame, kinds: list[str], radii: list[Radius]
     for k in kinds:
         for r in radii:
             for w in weights:
-                name = column_name("B", k, r, weight=short(w) if w else "")
+                name = column_name("B", k, r, weight="wl" if w == "length" else short(w) if w else "")
                 out = paths.segment_betweenness(lines, k, r, w)
                 found.append(N.standard(out, "betweenness", name + "S").select("line_id", F.col("betweenness").alias(name), name + "S", F.col("node_count").alias(name + "N"), F.col("total_depth").alias(name + "T")))
     return wide(lines, found)
@@ -88,35 +98,74 @@ def angular_choice_analysis(lines: DataFrame, radii: list[Radius], threshold: fl
     return wide(lines, found)
 
 
-def attraction_distance_analysis(lines: DataFrame, attractions: DataFrame, kinds: list[str], limit: float | None = None, columns: list[str] = []) -> DataFrame:  # noqa: B006
+def limited(kind: str, limit: float | Radius | dict[str, float | Radius] | None) -> Radius:
+    """The limit of one kind of distance: a number is of that kind, a Radius as it is, and a dict has one for each kind."""
+    one = limit.get(kind) if isinstance(limit, dict) else limit
+    return one if isinstance(one, Radius) else Radius(**({} if one is None else {kind: one}))
+
+
+def attraction_distance_analysis(
+    lines: DataFrame, attractions: DataFrame, kinds: list[str], limit: float | Radius | dict[str, float | Radius] | None = None, columns: list[str] = [], targets: DataFrame | None = None, weight: str | None = None, weight_per_metre: float = 0.0  # noqa: B006
+) -> DataFrame:
+    """By line, or by point of targets (pt_id, x, y). attractions: points, or regions with a column ring, which are entered every 20 units along their edge. A
+    column: attractions where it is positive. weight: the column of lines
+    that distances by weights add up; a metre between a line and a point counts weight_per_metre."""
     g, found = axial.graph(lines), []
+    if "ring" in attractions.columns:
+        entries = segment_map.region_points(attractions, ENTRANCE)
+        attractions = entries.join(attractions.drop("ring"), "region_id").withColumn("pt_id", F.col("region_id"))
     for column in columns or [None]:
         some = attractions if column is None else attractions.where(F.col(column) > 0)
         for k in kinds:
-            name = column_name("AD", k, Radius(**{k: limit}) if limit else None, extra=short(column) if column else "")
-            found.append(reach.attraction_distance(g, some, k, limit).withColumnRenamed("distance", name))
-    return wide(lines, found)
-
-
-def attraction_reach_analysis(lines: DataFrame, attractions: DataFrame, kinds: list[str], limit: float, columns: list[str], decay: str = "constant", constant: float = 1.0) -> DataFrame:
-    g, found = axial.graph(lines), []
+            radius = limited(k, limit)
+            name = column_name("AD", k, radius, extra=short(column) if column else "")
+            if targets is None and k in ("steps", "walking") and set(radius.limits()) <= {k}:
+                found.append(reach.attraction_distance(g, some, k, radius.limits().get(k)).withColumnRenamed("distance", name))
+            else:
+                out = multidistance.attraction_distance(g, some, k, radius, targets, weight, weight_per_metre)
+                found.append(out.withColumnsRenamed({"target": "line_id" if targets is None else "pt_id", "distance": name}))
+    return wide(lines, found) if targets is None else wide(targets, found, "pt_id")
+
+
+#: Between the entrances of a region.
+ENTRANCE = 20.0
+
+
+def attraction_reach_analysis(
+    lines: DataFrame, attractions: DataFrame, kinds: list[str], limit: float | Radius | dict[str, float | Radius], columns: list[str], decay: str = "constant", constant: float = 1.0, targets: DataFrame | None = None, distribution: str = "copy"
+) -> DataFrame:
+    """By line, or by point of targets. attractions: points, or regions with a column ring, whose values are copied to their entrances or divided among
+    them."""
+    g, found, regions = axial.graph(lines), [], "ring" in attractions.columns
     for column in columns:
         valued = attractions.withColumn("value", F.coalesce(F.col(column).cast("double"), F.lit(0.0)))
+        if regions:
+            valued = multidistance.polygon_attractions(valued, ENTRANCE, distribution)
         for k in kinds:
-            name = column_name("AR", "", Radius(**{k: limit}), decay=decay[0] if decay != "constant" else "", extra=short(column))
-            found.append(reach.attraction_reach(g, valued, k, limit, decay, constant).withColumnRenamed("score", name))
-    return wide(lines, found)
+            radius = limited(k, limit)
+            name = column_name("AR", "", radius, decay=decay[0] if decay != "constant" else "", extra=short(column))
+            if targets is None and not regions and k in ("steps", "walking") and set(radius.limits()) <= {k}:
+                found.append(reach.attraction_reach(g, valued, k, radius.limits().get(k), decay, constant).withColumnRenamed("score", name))
+            else:
+                out = multidistance.attraction_reach(g, valued, k, radius, decay, constant, targets)
+                found.append(out.withColumnsRenamed({"target": "line_id" if targets is None else "pt_id", "score": name}))
+    return wide(lines, found) if targets is None else wide(targets, found, "pt_id")
 
 
-def attraction_betweenness_analysis(lines: DataFrame, attractions: DataFrame, radius: Radius, column: str) -> DataFrame:
+def attraction_betweenness_analysis(lines: DataFrame, attractions: DataFrame, radius: Radius, column: str, kinds: tuple[str, ...] = ("angular",)) -> DataFrame:
     weights = axial.line_weights(attractions.withColumn("weight", F.col(column).cast("double")), lines)
-    out = paths.segment_betweenness(lines.join(weights, "line_id"), "angular", radius, "weight")
-    name = column_name("AT", "angular", radius, extra=short(column))
-    return wide(lines, [N.standard(out, "betweenness", name + "S").select("line_id", F.col("betweenness").alias(name), name + "S")])
+    found = []
+    for k in kinds:
+        out = paths.segment_betweenness(lines.join(weights, "line_id"), k, radius, "weight")
+        name = column_name("AT", k, radius, extra=short(column))
+        found.append(N.standard(out, "betweenness", name + "S").select("line_id", F.col("betweenness").alias(name), name + "S"))
+    return wide(lines, found)
 
 
-def od_betweenness_analysis(lines: DataFrame, origins: DataFrame, destinations: DataFrame, walking: list[float | None], closest: bool = False) -> DataFrame:
-    return wide(lines, [paths.od_betweenness(lines, origins, destinations, w, closest).withColumnRenamed("score", column_name("OD", "walking", Radius(walking=w))) for w in walking])
+def od_betweenness_analysis(lines: DataFrame, origins: DataFrame, destinations: DataFrame, radii: list[float | Radius | None], closest: bool = False, kind: str = "walking") -> DataFrame:
+    """A number is a limit by walking; points without a column weight count 1 each."""
+    every = [r if isinstance(r, Radius) else Radius(walking=r) for r in radii]
+    return wide(lines, [paths.od_betweenness(lines, origins, destinations, closest=closest, kind=kind, radius=r).withColumnRenamed("score", column_name("OD", kind, r)) for r in every])
 
 
 def grouping_analysis(lines: DataFrame, threshold: float, split: bool = False) -> DataFrame:

@@ -404,9 +404,22 @@ def _(s, d):
     return raster.classified(lines(s, d).select("line_id", ((F.col("size") - 25) / 25.0).alias("value"))).select("line_id", "category")
 
 
-@query("raster_polygons")
+#: Of each range its pixels, the edges around them and the straight runs of those.
+OUTLINES = """, vals as (select ix, iy, value / (select max(abs(value)) from b) as v from b), cat as (select ix, iy, case when v >= -1 and v < -0.5 then 0 when v >= -0.5 and v < -0.25 then 1 when v >= -0.25 and v < -0.1 then 2 when v >= -0.1 and v < -0.01 then 3
+ when v >= 0.01 and v < 0.1 then 4 when v >= 0.1 and v < 0.25 then 5 when v >= 0.25 and v < 0.5 then 6 when v >= 0.5 and v <= 1 then 7 end as category from vals),
+px as (select * from cat where category is not null), sides as (select category, ix, iy, 0 as way from px union all select category, ix, iy, 1 from px union all select category, ix, iy, 2 from px union all select category, ix, iy, 3 from px),
+edge as (select s.*, case when way in (0, 2) then s.iy else s.ix end as line, case when way in (0, 2) then s.ix else s.iy end as place from sides s left join px o on o.category = s.category
+ and o.ix = s.ix + case way when 1 then 1 when 3 then -1 else 0 end and o.iy = s.iy + case way when 0 then -1 when 2 then 1 else 0 end where o.ix is null),
+island as (select category, way, line, place - row_number() over (partition by category, way, line order by place) as i from edge),
+corner as (select category, count(distinct (way, line, i)) as corners from island group by 1)"""
+
+
+@query("raster_polygons", WITH + rastered("c", f"value * {CHANGED} - value") + f", {KERNEL2}, " + BLURS.format(name="b", of="c_ras") + OUTLINES + " select p.category, count(*) * 400.0::double as area, (select count(*) from edge e where e.category = p.category) * 20.0::double as perimeter, max(corners) as corners from px p join corner using (category) group by 1")
 def _(s, d):
-    return raster.polygons(raster.compare_normalized(*before_after(s, d), 20.0, 2.0), resolution=20.0).select("category", "tile", F.size("rings").alias("n_rings"))
+    found = raster.polygons(raster.compare_normalized(*before_after(s, d), 20.0, 2.0), resolution=20.0)
+    rings = found.select("category", F.explode("rings").alias("ring")).select("category", G.ring_area(F.col("ring")).alias("area"), F.size("ring").cast("long").alias("corners"), G.ring_edges(F.col("ring")).alias("edges"))
+    length = F.aggregate("edges", F.lit(0.0), lambda a, e: a + F.abs(e["x2"] - e["x1"]) + F.abs(e["y2"] - e["y1"]))
+    return rings.groupBy("category").agg(F.sum("area").alias("area"), F.sum(length).alias("perimeter"), F.sum("corners").alias("corners"))
 
 
 @query("distinct_segments", WITH + "r as (select line_id, row_number() over (partition by least((x1,y1),(x2,y2)), greatest((x1,y1),(x2,y2)) order by line_id) as n from lines where x1 <> x2 or y1 <> y2) select line_id from r where n = 1")
@@ -489,6 +502,68 @@ def _(s, d):
     return views.drop("polygon")
 
 
+MEANT = "case when {n} > 1 then {t}::double/({n}-1) else 0.0 end"
+
+
+@query("reach_analysis", ORACLES["reach_straight"].replace("reach_count, round(l, 6) as reach_length, round(pi()*300.0*300.0, 6) as reach_area", 'reach_count as "Rs300N", round(l, 6) as "Rs300L", round(pi()*9.0, 6) as "Rs300aha"'))
+def _(s, d):
+    return analyses.reach_analysis(lines(s, d), [Radius(straight=300.0)], unit="ha")
+
+
+@query("network_integration_analysis", WITH + STEPS + f""", r as (select origin as line_id, count(*) as n, sum(d)::double as t from depth group by 1)
+ select line_id, round({integration_sql('n', 't')}, 6) as "It3", n as "It3N", t as "It3T", round({MEANT.format(n='n', t='t')}, 6) as "It3M" from r""")
+def _(s, d):
+    return analyses.network_integration_analysis(lines(s, d), [3])
+
+
+@query("junction_integration_analysis", WITH + STEPS.rstrip() + f""", scores as (select origin as line_id, {integration_sql('count(*)', 'sum(d)')} as i from depth group by 1),
+ met2 as (select distinct line_id, x, y from (select la as line_id, x, y from crossings union all select lb, x, y from crossings)) select x, y, round(avg(i), 6) as "It3" from met2 join scores using (line_id) group by 1, 2""")
+def _(s, d):
+    return analyses.junction_integration_analysis(lines(s, d), [3])
+
+
+@query("angular_integration_analysis", WITH + ADJ + f""", walk as (select line_id as origin, line_id*2 + w as node, 0.0::double as d from lines, (values (0), (1)) v(w)
+ union select k.origin, x.dst*2 + x.forward::int, k.d + x.turn from walk k join nexts x on x.src = k.node // 2 and x.src_end = k.node % 2 where k.d + x.turn <= 100.0),
+depth as (select origin, node // 2 as line_id, min(d) as d from walk group by 1, 2),
+r as (select origin as line_id, count(*) as n, sum(d)/90 as t, coalesce(sum(len) filter (origin <> depth.line_id), 0) as l, coalesce(sum(len*d) filter (origin <> depth.line_id), 0)/90 as w from depth join dirs on dirs.line_id = depth.line_id group by 1)
+select line_id, round((n-1)/(t+1), 6) as "AIa100", round(power(n, 1.2)/(t+1), 6) as "AIa100A", round(n*n/(t+1), 6) as "AIa100H", round(l/(w+1), 6) as "AIa100wl", round(power(l, 1.2)/(w+1), 6) as "AIa100wlA", round(l*l/(w+1), 6) as "AIa100wlH",
+ n as "AIa100N", round(t, 6) as "AIa100T", round({MEANT.format(n='n', t='t')}, 6) as "AIa100M" from r""")
+def _(s, d):
+    return analyses.angular_integration_analysis(lines(s, d), [Radius(angular=100.0)])
+
+
+@query("attraction_distance_analysis", ORACLES["attraction_distance_steps3"].replace("from attractions p cross", "from (select * from attractions where value > 0) p cross").replace("as distance", 'as "ADtt3va"'))
+def _(s, d):
+    return analyses.attraction_distance_analysis(lines(s, d), attractions(s, d), ["steps"], 3, ["value"])
+
+
+@query("attraction_distance_weights_analysis", ORACLES["attraction_distance_walking"].replace("<= 800.0", "<= 400.0").replace("as distance", 'as "ADweightsw400"'))
+def _(s, d):
+    return analyses.attraction_distance_analysis(axial.with_length(lines(s, d)), attractions(s, d), ["weights"], Radius(walking=400.0), weight="length", weight_per_metre=1.0)
+
+
+@query("attraction_reach_analysis", ORACLES["attraction_reach_walking"].replace("as score from lines", 'as "ARw600pva" from lines'))
+def _(s, d):
+    out = analyses.attraction_reach_analysis(lines(s, d), attractions(s, d), ["walking"], {"walking": 600.0}, ["value"], "pow", 2.0)
+    return out.withColumn("ARw600pva", F.round("ARw600pva", 4))
+
+
+@query("attraction_reach_regions_analysis", ORACLES["attraction_reach_polygons_divide"].replace("as score from lines", 'as "ARt1va" from lines'))
+def _(s, d):
+    out = analyses.attraction_reach_analysis(lines(s, d), attraction_regions(s, d), ["steps"], 1, ["value"], distribution="divide")
+    return out.withColumn("ARt1va", F.round("ARt1va", 4))
+
+
+@query("junctions_analysis", ORACLES["junctions_one_layer"].replace("select x, y from r", "select row_number() over (order by x, y) - 1 as id, x, y from r"))
+def _(s, d):
+    return analyses.junctions_analysis(lines(s, d))
+
+
+@query("attraction_betweenness_analysis")
+def _(s, d):
+    return analyses.attraction_betweenness_analysis(lines(s, d), attractions(s, d).where("value > 0"), Radius(walking=500.0, angular=180.0), "value", ("angular", "walking"))
+
+
 ORACLES["junctions_two_layers"] = ORACLES["junctions_two_layers"].replace("from lines a join lines b on a.line_id < b.line_id", "from lines a join lines b on a.line_id < 1000000000 and b.line_id >= 1000000000")
 
 
