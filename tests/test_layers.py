@@ -300,3 +300,67 @@ def test_region_points_against_a_walk(spark):
     for i, ring in rows:
         assert found[i] == [pytest.approx(p, abs=1e-6) for p in plain_region_points(ring, 20.0)], ring
     assert len(found[0]) == 2
+
+
+def plain_view(at, rings, distance, fov=360.0, direction=0.0, sides=64):
+    """Area and ids in sight: between any two neighbouring angles of ends and crossings the nearest wall is one wall."""
+    outer, first, span = distance * G.equal_area_scale(sides), math.radians(direction - fov / 2), math.radians(fov)
+    held = {g for g, _ in rings if sum(plain_inside(at, r) for h, r in rings if h == g) % 2}
+    walls = [(g, a, b) for g, r in rings if g not in held for a, b in zip(r, r[1:] + r[:1], strict=True)]
+    corner = [(at[0] + outer * math.cos(first + span * i / sides), at[1] + outer * math.sin(first + span * i / sides)) for i in range(sides + 1)]
+    walls += [(None, a, b) for a, b in zip(corner, corner[1:], strict=False)]
+    spots = [p for _, a, b in walls for p in (a, b)]
+    for i, (_, a, b) in enumerate(walls):
+        for _, c, d in walls[:i]:
+            det = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
+            if abs(det) > 1e-12:
+                t = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / det
+                spots.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+    angles = sorted({0.0, span, *(t for p in spots if (t := (math.atan2(p[1] - at[1], p[0] - at[0]) - first) % (2 * math.pi)) < span)})
+    area, seen = 0.0, set()
+    for lo, hi in zip(angles, angles[1:], strict=False):
+        if hi - lo < 1e-10:
+            continue
+
+        def reach(w, angle):
+            _, a, b = w
+            dx, dy, ex, ey = math.cos(angle + first), math.sin(angle + first), b[0] - a[0], b[1] - a[1]
+            det = dx * ey - dy * ex
+            if abs(det) < 1e-12:
+                return math.inf
+            t, u = ((a[0] - at[0]) * ey - (a[1] - at[1]) * ex) / det, ((a[0] - at[0]) * dy - (a[1] - at[1]) * dx) / det
+            return t if t > 0 and -1e-9 <= u <= 1 + 1e-9 else math.inf
+
+        best = min(walls, key=lambda w: reach(w, (lo + hi) / 2))
+        seen.add(best[0])
+        area += reach(best, lo + 1e-12) * reach(best, hi - 1e-12) * math.sin(hi - lo) / 2
+    return area, sorted(seen - {None})
+
+
+def plain_inside(at, ring):
+    return sum((a[1] > at[1]) != (b[1] > at[1]) and a[0] + (at[1] - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) > at[0] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) % 2
+
+
+@pytest.mark.parametrize("fov,direction", [(360.0, 0.0), (110.0, 200.0)])
+def test_isovists_among_random_obstacles(spark, fov, direction):
+    """Obstacles cross each other, hold origins, have holes and lie on the circle."""
+    draw = random.Random(5)
+    rings = []
+    for g in range(14):
+        x, y, turn, n = draw.uniform(-9, 9), draw.uniform(-9, 9), draw.uniform(0, 6), draw.randint(3, 6)
+        for size in (draw.uniform(0.5, 3),) if g % 5 else (2.0, 1.0):
+            rings.append((g, [(x + size * math.cos(turn + 6.283 * i / n), y + size * math.sin(turn + 6.283 * i / n)) for i in range(n)]))
+    at = [(i, draw.uniform(-8, 8), draw.uniform(-8, 8)) for i in range(12)]
+    origins = spark.createDataFrame([*at, at[0], (99, None, 1.0)], "pt_id long, x double, y double")
+    obstacles = spark.createDataFrame([*rings, (77, None), (78, [])], f"group_id long, ring {isovist.RING}")
+    got = isovist.isovists(origins, obstacles, 6.0, fov, direction, 16).collect()
+    assert sorted(r.pt_id for r in got) == sorted([*range(12), 0, 99])
+    for r in got:
+        if r.pt_id == 99:
+            assert (r.polygon, r.area, r.obstacles) == (None, None, None)
+            continue
+        area, seen = plain_view((r.x, r.y), rings, 6.0, fov, direction, 16)
+        assert r.area == pytest.approx(area, rel=1e-6) and r.obstacles == seen
+        ring = [(p.x, p.y) for p in r.polygon]
+        assert -sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2 == pytest.approx(r.area, rel=1e-6)
+    assert isovist.isovists(origins.limit(0), obstacles, 6.0).count() == 0
