@@ -200,20 +200,31 @@ def corners_of(px: np.ndarray, py: np.ndarray, size: float, eye: tuple[float, fl
     return [{"x": a, "y": b} for a, b in ([eye] if eye else []) + ring][::-1]
 
 
+def seen_from(views: DataFrame) -> DataFrame:
+    """Views with the boxes of their polygons; those without one see nothing."""
+    box = {f"b{c}{i}": f(F.col("polygon")[c]) for c in "xy" for i, f in ((1, F.array_min), (2, F.array_max))}
+    return views.select("pt_id", "x", "y", "polygon").where(F.size("polygon") > 2).withColumns(box)
+
+
 def visible_points(views: DataFrame, points: DataFrame, distance: float) -> DataFrame:
-    """pt_id, seen_id of the points (pt_id, x, y) inside each view's polygon."""
-    near = grid.overlapping(grid.boxed(views, "x", "y", "x", "y", 1.2 * distance), grid.boxed(points.select("pt_id", "x", "y"), "x", "y", "x", "y"), max(distance, 1.0))
+    """pt_id, seen_id of the points (pt_id, x, y) inside each view's polygon. distance: about how far views reach."""
+    near = grid.overlapping(seen_from(views), grid.boxed(points.select("pt_id", "x", "y"), "x", "y", "x", "y"), max(distance, 1.0))
     return near.where(G.in_ring(F.col("r_x"), F.col("r_y"), F.col("polygon"))).select("pt_id", F.col("r_pt_id").alias("seen_id"))
 
 
 def visible_regions(views: DataFrame, regions: DataFrame, distance: float) -> DataFrame:
-    """pt_id, seen_id of the regions (region_id, ring) that hold the origin, have a corner in the view or an edge that crosses its outline."""
-    edges = regions.select("region_id", "ring", F.explode(G.ring_edges(F.col("ring"))).alias("e")).select("region_id", "ring", "e.*")
-    near = grid.overlapping(grid.boxed(views, "x", "y", "x", "y", 1.2 * distance), grid.boxed(edges, "x1", "y1", "x2", "y2"), max(distance, 1.0))
+    """pt_id, seen_id of the regions (region_id, ring) that hold the origin, have a corner in the view or an edge that crosses its outline, each once."""
+    cell = max(distance, 1.0)
+    seeing, rings = seen_from(views), regions.select("region_id", "ring").where(F.size("ring") > 1)
+    edges = rings.select("region_id", F.explode(G.ring_edges(F.col("ring"))).alias("e")).select("region_id", "e.*")
+    near = grid.overlapping(seeing, grid.boxed(edges, "x1", "y1", "x2", "y2"), cell)
 
     def meets(e):
         t, u, _ = G.crossing(F.col("r_x1"), F.col("r_y1"), F.col("r_x2"), F.col("r_y2"), e["x1"], e["y1"], e["x2"], e["y2"])
         return F.coalesce(t.between(0, 1) & u.between(0, 1), F.lit(False))
 
-    inside = G.in_ring(F.col("r_x1"), F.col("r_y1"), F.col("polygon")) | G.in_ring(F.col("x"), F.col("y"), F.col("r_ring"))
-    return near.where(inside | F.exists(G.ring_edges(F.col("polygon")), meets)).select("pt_id", F.col("r_region_id").alias("seen_id")).distinct()
+    touched = near.where(G.in_ring(F.col("r_x1"), F.col("r_y1"), F.col("polygon")) | F.exists(G.ring_edges(F.col("polygon")), meets)).select("pt_id", F.col("r_region_id").alias("seen_id"))
+    box = {f"b{c}{i}": f(F.col("ring")[c]) for c in "xy" for i, f in ((1, F.array_min), (2, F.array_max))}
+    here = grid.boxed(seeing.select("pt_id", "x", "y"), "x", "y", "x", "y")
+    around = grid.overlapping(here, rings.withColumns(box), cell).where(G.in_ring(F.col("x"), F.col("y"), F.col("r_ring"))).select("pt_id", F.col("r_region_id").alias("seen_id"))
+    return touched.union(around).distinct()

@@ -188,13 +188,15 @@ def compare_analysis(before: DataFrame, after: DataFrame, pixel: int, blur: floa
     return raster.polygons(raster.compare_normalized(before, after, float(pixel), sigma), resolution=float(pixel))
 
 
-def isovist_analysis(origins: DataFrame, obstacles: DataFrame, distance: float, points: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Views of 360 degrees with 64 sides, and how many points of each layer they hold."""
+def isovist_analysis(origins: DataFrame, obstacles: DataFrame, distance: float, points: dict[str, DataFrame] | None = None, regions: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Views of 360 degrees with 64 sides, the obstacles in sight, and how many points and regions of each layer they hold or touch."""
     views = isovist.isovists(origins, obstacles, distance).withColumns({"max_dist": F.lit(float(distance)), "fov_angle": F.lit(360.0), "direction": F.lit(0.0)})
-    for name, layer in (points or {}).items():
-        seen = isovist.visible_points(views, layer, distance).groupBy("pt_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
-        views = views.join(seen, "pt_id", "left").fillna(0, [f"n_{name}"])
-    return views
+    out = views
+    for find, layers in ((isovist.visible_points, points), (isovist.visible_regions, regions)):
+        for name, layer in (layers or {}).items():
+            seen = find(views, layer, distance).groupBy("pt_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+            out = out.join(seen, "pt_id", "left").fillna(0, [f"n_{name}"])
+    return out
 
 
 def segment_map_analysis(polylines: DataFrame, snap: float = 1.0, copied: list[str] = [], **options) -> tuple[DataFrame, DataFrame | None]:  # noqa: B006

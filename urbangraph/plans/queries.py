@@ -495,11 +495,46 @@ def _(s, d):
     return analyses.segment_map_analysis(streets(s, d), unlinks=attractions(s, d).drop("value"))[0]
 
 
+def footprints(s, d):
+    return regions(s, d).select(F.col("region_id").alias("group_id"), "ring")
+
+
 @query("isovists")
 def _(s, d):
-    rings = regions(s, d).select(F.col("region_id").alias("group_id"), "ring")
-    views = analyses.isovist_analysis(attractions(s, d).drop("value"), rings, 150.0, {"points": points(s, d)})
-    return views.drop("polygon")
+    blocks = lines(s, d).select(F.col("line_id").alias("region_id"), F.array(*(F.struct((F.col("x1") + dx).alias("x"), (F.col("y1") + dy).alias("y")) for dx, dy in ((-9.3, -9.4), (9.3, -9.4), (9.3, 9.4), (-9.3, 9.4)))).alias("ring"))
+    return analyses.isovist_analysis(attractions(s, d).drop("value"), footprints(s, d), 150.0, {"points": points(s, d)}, {"blocks": blocks})
+
+
+#: Sight up to 150 by rays through the middle between any two neighbouring angles of corners and crossings, where one wall is the nearest.
+SIGHT = """radius as (select 150.0e0 * sqrt(pi() / (64 * sin(pi()/64) * cos(pi()/64))) as r),
+near as (select a.pt_id, p.pt_id as g, p.x - a.x as l, p.y - a.y as b from attractions a join points p on p.x - a.x between -250 and 250 and p.y - a.y between -250 and 250
+ where not (p.x <= a.x and a.x < p.x + 40 and p.y <= a.y and a.y < p.y + 30)),
+corner as (select k, r * cos(k * pi() / 32) as x, r * sin(k * pi() / 32) as y from radius, range(65) t(k)),
+walls as (select pt_id, g, l as x1, b as y1, l+40 as x2, b as y2 from near union all select pt_id, g, l+40, b, l+40, b+30 from near
+ union all select pt_id, g, l+40, b+30, l, b+30 from near union all select pt_id, g, l, b+30, l, b from near
+ union all select pt_id, null, c.x, c.y, e.x, e.y from attractions, corner c join corner e on e.k = c.k + 1),
+cuts as (select a.pt_id, a.x1, a.y1, a.x2 - a.x1 as dx, a.y2 - a.y1 as dy, b.x2 - b.x1 as ex, b.y2 - b.y1 as ey, b.x1 - a.x1 as fx, b.y1 - a.y1 as fy
+ from walls a join walls b on a.pt_id = b.pt_id and a.g is not null and a.g is distinct from b.g
+ and least(a.x1, a.x2) <= greatest(b.x1, b.x2) and greatest(a.x1, a.x2) >= least(b.x1, b.x2) and least(a.y1, a.y2) <= greatest(b.y1, b.y2) and greatest(a.y1, a.y2) >= least(b.y1, b.y2)),
+spots as (select pt_id, x1 as x, y1 as y from walls union all
+ select pt_id, x1 + (fx*ey - fy*ex) / (dx*ey - dy*ex) * dx, y1 + (fx*ey - fy*ex) / (dx*ey - dy*ex) * dy from cuts where abs(dx*ey - dy*ex) > 1e-12),
+angles as (select pt_id, atan2(y, x) as a from spots union select pt_id, -pi() from attractions union select pt_id, pi() from attractions),
+spans as (select * from (select pt_id, a as lo, lead(a) over (partition by pt_id order by a) as hi from angles) where hi - lo > 1e-9),
+met as (select s.*, g, x1, y1, x2 - x1 as ex, y2 - y1 as ey, (lo + hi) / 2 as m from spans s join walls using (pt_id)),
+hits as (select *, (x1*ey - y1*ex) / nullif(cos(m)*ey - sin(m)*ex, 0) as t, (x1*sin(m) - y1*cos(m)) / nullif(cos(m)*ey - sin(m)*ex, 0) as u from met),
+first as (select * from hits where t > 0 and u between 0 and 1 qualify row_number() over (partition by pt_id, lo order by round(t, 7), g nulls last) = 1),
+sides as (select *, (x1*ey - y1*ex) / (cos(lo)*ey - sin(lo)*ex) as ta, (x1*ey - y1*ex) / (cos(hi)*ey - sin(hi)*ex) as tb from first),
+"""
+
+
+@query("isovist_sights", WITH + SIGHT + """seen as (select pt_id, count(*) as n from (select a.pt_id, (l.x1 + l.x2)/2 + 0.37e0 - a.x as x, (l.y1 + l.y2)/2 + 0.61e0 - a.y as y from attractions a, lines l) p
+ join sides s using (pt_id) where x between -160 and 160 and y between -160 and 160 and atan2(y, x) >= lo and atan2(y, x) < hi and (x*ey - y*ex) / (x1*ey - y1*ex) < 1 group by 1)
+ select pt_id, round(sum(ta*tb*sin(hi - lo)/2), 3) as area, coalesce(string_agg(distinct g::varchar, ',' order by g::varchar), '') as obstacles, coalesce(max(n), 0) as n_middles
+ from sides left join seen using (pt_id) group by 1""")
+def _(s, d):
+    middles = lines(s, d).select(F.col("line_id").alias("pt_id"), ((F.col("x1") + F.col("x2")) / 2 + 0.37).alias("x"), ((F.col("y1") + F.col("y2")) / 2 + 0.61).alias("y"))
+    views = analyses.isovist_analysis(attractions(s, d).drop("value"), footprints(s, d), 150.0, {"middles": middles})
+    return views.select("pt_id", F.round("area", 3).alias("area"), F.array_join(F.array_sort(F.col("obstacles").cast("array<string>")), ",").alias("obstacles"), "n_middles")
 
 
 MEANT = "case when {n} > 1 then {t}::double/({n}-1) else 0.0 end"
