@@ -370,7 +370,7 @@ def test_visible_regions(spark):
     """Regions around the origin, with a corner in sight, crossed by the outline, behind a wall and out of reach."""
     at = spark.createDataFrame([(0, 0.0, 0.0)], "pt_id long, x double, y double")
     wall = spark.createDataFrame([(0, [(2.0, -3.0), (2.1, -3.0), (2.1, 3.0), (2.0, 3.0)])], f"group_id long, ring {isovist.RING}")
-    box = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d)]
+    box = lambda a, b, c, d: [(float(x), float(y)) for x, y in ((a, b), (c, b), (c, d), (a, d))]
     regions = [(1, box(-50, -50, 50, 50)), (2, box(-1, 1, 0, 2)), (3, box(-6, -0.5, -4, 0.5)), (4, box(3, -1, 4, 1)), (5, box(20, 0, 21, 1)), (6, None)]
     views = isovist.isovists(at, wall, 5.0)
     seen = isovist.visible_regions(views, spark.createDataFrame(regions, f"region_id long, ring {isovist.RING}"), 5.0)
