@@ -376,3 +376,25 @@ def test_visible_regions(spark):
     seen = isovist.visible_regions(views, spark.createDataFrame(regions, f"region_id long, ring {isovist.RING}"), 5.0)
     assert sorted(r.seen_id for r in seen.collect()) == [1, 2, 3]
     assert views.first().obstacles == [0]
+
+
+def test_polygons_with_holes(spark):
+    rows = [(1, "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (2 2, 4 2, 4 4, 2 4, 2 2))"), (2, "MULTIPOLYGON (((0 0, 2 0, 2 2, 0 0)))"), (3, None), (4, "POLYGON EMPTY")]
+    layer = spark.createDataFrame(rows, "id long, wkt string").withColumn("rings", layers.rings_from_wkt(F.col("wkt")))
+    found = layers.polygons(layer, row_id="id")
+    assert {r.region_id: r.rings and [len(x) for x in r.rings] for r in found.collect()} == {1: [4, 4], 2: [3], 3: None, 4: []}
+    first = found.where("region_id = 1")
+    at = lambda a, b: G.in_rings(F.lit(a), F.lit(b), F.col("rings"))
+    assert list(first.select(at(1.0, 1.0), at(3.0, 3.0), at(5.0, 5.0), at(10.0, 1.0), G.rings_area(F.col("rings"))).first()) == [True, False, True, False, 77]
+    with pytest.raises(Exception, match="more than one part"):
+        spark.createDataFrame([("MULTIPOLYGON (((0 0, 2 0, 2 2, 0 0)), ((5 5, 6 5, 6 6, 5 5)))",)], "w string").select(layers.rings_from_wkt(F.col("w"))).collect()
+    json = ['{"type":"Polygon","coordinates":[[[0,0],[9,0],[9,9],[0,0]],[[1,1],[2,1],[2,2],[1,1]]]}', '{"type":"MultiPolygon","coordinates":[[[[0,0],[2,0],[2,2],[0,0]]]]}']
+    got = spark.createDataFrame([(j,) for j in json], "j string").select(layers.rings_from_geojson(F.col("j")).alias("r")).collect()
+    assert [[len(x) for x in r.r] for r in got] == [[4, 4], [4]] and got[1].r[0][1] == (2, 0)
+    with pytest.raises(Exception, match="more than one part"):
+        two = '{"type":"MultiPolygon","coordinates":[[[[0,0],[2,0],[2,2],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]}'
+        spark.createDataFrame([(two,)], "j string").select(layers.rings_from_geojson(F.col("j"))).collect()
+    rings = [[(0.0, 0.0), (50.0, 0.0), (50.0, 30.0)], [(5.0, 5.0), (9.0, 5.0), (9.0, 50.0)]]
+    points = segment_map.region_points(spark.createDataFrame([(1, rings), (2, None), (3, [])], "region_id long, rings array<array<struct<x:double,y:double>>>"), 20.0).orderBy("k").collect()
+    want = [p for ring in rings for p in plain_region_points(ring, 20.0)]
+    assert [r.k for r in points] == list(range(len(want))) and [(r.x, r.y) for r in points] == [pytest.approx(p) for p in want]

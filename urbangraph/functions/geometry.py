@@ -136,6 +136,17 @@ def in_ring(px: Column, py: Column, ring: Column) -> Column:
     return F.aggregate(ring_edges(ring), F.lit(0), lambda a, e: a + crosses(e)) % 2 == 1
 
 
+def in_rings(px: Column, py: Column, rings: Column) -> Column:
+    """In a polygon of several rings array<ring>, which are outlines and holes: in an odd number of them."""
+    return F.aggregate(rings, F.lit(0), lambda n, ring: n + F.when(in_ring(px, py, ring), 1).otherwise(0)) % 2 == 1
+
+
+def rings_area(rings: Column) -> Column:
+    """Of an outline, the first ring, without its holes, the others."""
+    areas = F.transform(rings, lambda ring: F.abs(ring_area(ring)))
+    return 2 * F.coalesce(F.get(areas, F.lit(0)), F.lit(0.0)) - F.aggregate(areas, F.lit(0.0), lambda a, b: a + b)
+
+
 def decay(x: Column, kind: str, constant: float = 1.0, radius: float | None = None) -> Column:
     """constant: 1; pow: 1 - x^C; curve: two halves of a power curve; divide: (x + 1)^-C. pow and curve take x as a share of the radius."""
     if kind == "constant":

@@ -182,7 +182,11 @@ def with_base_columns(result: DataFrame, layer: DataFrame, columns: list[str]) -
 
 def region_points(regions: DataFrame, interval: float) -> DataFrame:
     """region_id, k, x, y: the first corner, then a point every interval along the edge; on the last edge only where more than
-    half an interval is left before the first corner again. Edges without length count for nothing; a null or empty ring has no points."""
+    half an interval is left before the first corner again. Edges without length count for nothing; a null or empty ring has no points.
+    Regions may have rings, outline and holes, in place of ring: points begin anew on each ring and are numbered through, ring by ring."""
+    if "rings" in regions.columns:
+        each = region_points(regions.select("region_id", F.posexplode("rings").alias("r", "ring")).select(F.struct("region_id", "r").alias("region_id"), "ring"), interval)
+        return each.select("region_id.region_id", (F.row_number().over(Window.partitionBy("region_id.region_id").orderBy("region_id.r", "k")) - 1).cast("long").alias("k"), "x", "y")
     edges = regions.select("region_id", F.posexplode(G.ring_edges(F.col("ring"))).alias("i", "e")).select("region_id", "i", "e.*").withColumn("length", G.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
     ring = Window.partitionBy("region_id")
     edges = edges.withColumn("to", F.sum("length").over(ring.orderBy("i"))).withColumn("from", F.col("to") - F.col("length"))

@@ -348,6 +348,28 @@ def _(s, d):
     return near.where(G.in_ring(F.col("x"), F.col("y"), F.col("r_ring"))).select(F.col("r_region_id").alias("region_id"), "pt_id")
 
 
+def courts(s, d):
+    """The regions with a hole that starts 10 from the left and 8 from below and a second outline 50 to the right."""
+    box = lambda x, y, w, h: F.array(*(F.struct((F.col("x") + x + a * w).alias("x"), (F.col("y") + y + b * h).alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))))
+    return points(s, d).select(F.col("pt_id").alias("region_id"), "x", "y", F.array(box(0.0, 0.0, 40.0, 30.0), box(10.0, 8.0, 20.0, 14.0), box(50.0, 0.0, 25.0, 30.0)).alias("rings"))
+
+
+@query("points_in_courts", WITH + """r as (select 1) select r.pt_id as region_id, a.pt_id from points r join attractions a on a.y >= r.y and a.y < r.y + 30 and
+ (a.x >= r.x and a.x < r.x + 40 and not (a.x >= r.x + 10 and a.x < r.x + 30 and a.y >= r.y + 8 and a.y < r.y + 22) or a.x >= r.x + 50 and a.x < r.x + 75)""")
+def _(s, d):
+    boxes = courts(s, d).select("region_id", "rings", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 75).alias("x2"), (F.col("y") + 30).alias("y2"))
+    near = grid.overlapping(grid.boxed(attractions(s, d), "x", "y", "x", "y"), grid.boxed(boxes, "x1", "y1", "x2", "y2"), 100.0)
+    return near.where(G.in_rings(F.col("x"), F.col("y"), F.col("r_rings"))).select(F.col("r_region_id").alias("region_id"), "pt_id")
+
+
+@query("court_points", WITH + """corner as (select * from (values (0, 0.0, 0.0, 40.0, 30.0, 0), (1, 10.0, 8.0, 20.0, 14.0, 3), (2, 50.0, 0.0, 25.0, 30.0, 5)) c(r, dx, dy, w, h, before)),
+ along as (select *, 40.0 * k as t from corner, range(4) s(k) where k = 0 or 40.0 * k < 2 * (w + h) - 20)
+ select pt_id as region_id, before + k as k, round(x + dx + case when t < w then t when t < w + h then w when t < 2*w + h then 2*w + h - t else 0.0 end, 6) as x,
+ round(y + dy + case when t < w then 0.0 when t < w + h then t - w when t < 2*w + h then h else 2*(w + h) - t end, 6) as y from points, along""")
+def _(s, d):
+    return segment_map.region_points(courts(s, d), 40.0)
+
+
 SAMPLES = f"""sc as (select x1/20.0 as x1, y1/20.0 as y1, x2/20.0 as x2, y2/20.0 as y2, value from lines), ln as (select *, {LEN} as len, cast(ceil({LEN}*2) as int) as n from sc where {LEN} > 0),
 sm as (select x1 + (x2-x1)*((i+0.5)/n) - 0.5 as px, y1 + (y2-y1)*((i+0.5)/n) - 0.5 as py, value*len/n as w from ln, range(0, 20) g(i) where i < n),
 cl as (select cast(floor(px) as int) + dx as ix, cast(floor(py) as int) + dy as iy, w * (case dx when 1 then px-floor(px) else 1-(px-floor(px)) end) * (case dy when 1 then py-floor(py) else 1-(py-floor(py)) end) as v from sm, (values (0),(1)) a(dx), (values (0),(1)) b(dy)),

@@ -1,7 +1,7 @@
 """Layers in and out: tables of lines, polylines, points and regions, their attributes, and results joined back to them.
 
-lines: line_id, x1, y1, x2, y2; polylines: base_id, coords; points: pt_id, x, y; regions: region_id, ring; coords and ring are
-array<struct<x: double, y: double>>.
+lines: line_id, x1, y1, x2, y2; polylines: base_id, coords; points: pt_id, x, y; regions: region_id, ring; polygons: region_id, rings;
+coords and ring are array<struct<x: double, y: double>>, rings is an array of these.
 """
 
 from __future__ import annotations
@@ -26,6 +26,24 @@ def from_wkt(wkt: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y")))
 
 
+def rings_from_wkt(wkt: Column) -> Column:
+    """The rings of a WKT polygon, its outline first, then its holes; a multipolygon may have one part only, more are an error."""
+    parts = F.regexp_count(wkt, F.lit(r"\(\s*\(\s*[^\s()]"))
+    whole = F.when(parts > 1, F.raise_error(F.concat(F.lit("a polygon has more than one part: "), F.left(wkt, F.lit(60))))).otherwise(wkt)
+    pairs = F.transform(F.regexp_extract_all(whole, F.lit(r"\(([^()]+)\)"), F.lit(1)), lambda r: F.transform(F.split(F.trim(r), r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+")))
+    point = lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y"))
+    return F.transform(pairs, lambda ring: F.transform(ring, point))
+
+
+def rings_from_geojson(json: Column) -> Column:
+    """The rings of a GeoJSON Polygon, or of a MultiPolygon of one part; more parts are an error."""
+    single = F.from_json(json, "struct<coordinates:array<array<array<double>>>>")["coordinates"]
+    several = F.from_json(json, "struct<coordinates:array<array<array<array<double>>>>>")["coordinates"]
+    checked = F.when(F.size(several) > 1, F.raise_error(F.lit("a polygon has more than one part"))).otherwise(F.get(several, F.lit(0)))
+    rings = F.when(F.get_json_object(json, "$.type") == "MultiPolygon", checked).otherwise(single)
+    return F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
+
+
 def from_geojson(json: Column) -> Column:
     """The points of a GeoJSON LineString, or of a Polygon's outer ring."""
     line = F.from_json(json, "struct<coordinates:array<array<double>>>")["coordinates"]
@@ -60,9 +78,19 @@ def points(layer: DataFrame, coords: str = "coords", row_id: str = "pt_id") -> D
 
 def regions(layer: DataFrame, ring: str = "ring", row_id: str = "region_id") -> DataFrame:
     """Outer rings without the repeated first point."""
-    r = F.col(ring)
-    closed = F.get(r, F.lit(0)) == F.element_at(r, -1)
-    return layer.select(F.col(row_id).alias("region_id"), F.when(closed & (F.size(r) > 1), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r).alias("ring"))
+    return layer.select(F.col(row_id).alias("region_id"), opened(F.col(ring)).alias("ring"))
+
+
+def opened(ring: Column) -> Column:
+    """Without the repeated first point."""
+    closed = F.get(ring, F.lit(0)) == F.element_at(ring, -1)
+    return F.when(closed & (F.size(ring) > 1), F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
+
+
+def polygons(layer: DataFrame, rings: str = "rings", row_id: str = "region_id") -> DataFrame:
+    """region_id, rings: outlines first, then holes, without repeated first points; empty rings are left out and null stays null."""
+    full = F.filter(F.col(rings), lambda r: F.size(r) > 0)
+    return layer.select(F.col(row_id).alias("region_id"), F.transform(full, opened).alias("rings"))
 
 
 def values(layer: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
