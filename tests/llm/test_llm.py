@@ -75,6 +75,37 @@ def test_media(docs, rows, nothing):
     assert media.digests(media.load(media.store(nothing), tensor=False)).count() == 0
 
 
+def test_media_tensors_are_stored(docs, rows, nothing, tmp_path):
+    loaded = media.load(media.store(awkward(docs)))
+    folder = f"file://{tmp_path}/tensors"
+    out = media.stored_digests(loaded, folder)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, media.digests(loaded).collect()), key=str)
+    assert out.count() == len(rows)
+    assert docs.sparkSession.read.parquet(folder).where("tensor is null").count() == 0
+    assert media.stored_digests(media.load(media.store(nothing))).count() == 0
+
+
+def test_jpeg_samples_against_the_plain_transform():
+    """Whole-number samples and colours are within 2 of those by real numbers."""
+    rng = np.random.default_rng(3)
+    for n in (1, 5):
+        image = jpeg.Image(jpeg.encode(rng.integers(0, 40, 384 * n, dtype=np.uint8).tobytes()))
+        planes = []
+        for c in image.components.values():
+            plane = np.zeros((8 * c.rows, 8 * c.stride))
+            for i, block in enumerate(c.coefficients.reshape(-1, 64)):
+                square = np.zeros((8, 8))
+                square.ravel()[jpeg.ZIGZAG] = block
+                y, x = divmod(i, c.stride)
+                for v in range(8):
+                    for h in range(8):
+                        plane[8 * y + v, 8 * x + h] = sum(square[a, b] * (0.5**0.5 if a == 0 else 1) * (0.5**0.5 if b == 0 else 1) / 4 * np.cos((2 * v + 1) * a * np.pi / 16) * np.cos((2 * h + 1) * b * np.pi / 16) for a in range(8) for b in range(8))
+            planes.append(np.repeat(np.repeat(plane, image.most_v // c.v, 0), image.most_h // c.h, 1)[: image.height, : image.width])
+        y, cb, cr = planes[0] + 128, *planes[1:]
+        want = np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2), 0, 255)
+        assert np.abs(image.rgb() - want).max() <= 2
+
+
 # byte-level BPE
 
 

@@ -21,6 +21,9 @@ _u, _x = np.mgrid[0:8, 0:8]
 _BASIS = np.cos((2 * _x + 1) * _u * np.pi / 16) * np.where(_u == 0, np.sqrt(0.125), 0.5)
 #: Row: coefficient in zigzag order; column: sample of the block.
 INVERSE = np.einsum("ux,vy->uvxy", _BASIS, _BASIS).reshape(64, 64)[ZIGZAG].astype(np.float32)
+#: The same by SCALE as whole numbers: every machine gets the same samples.
+SCALE = 8192.0
+WHOLE = np.rint(INVERSE.astype(np.float64) * SCALE)
 
 ACROSS = 1024
 SAMPLING = ((1, 2, 2), (2, 1, 1), (3, 1, 1))
@@ -320,20 +323,21 @@ class Image:
         """height x width x 3, 8 bits a sample; one component gives three equal ones."""
         planes = []
         for c in self.components.values():
-            samples = (c.coefficients * self.quantisers[c.quantiser]).astype(np.float32) @ INVERSE
+            sums = (c.coefficients * self.quantisers[c.quantiser]).astype(np.float64) @ WHOLE  # of whole numbers below 2^53, so exact in any order
+            samples = np.clip(np.floor((sums + SCALE / 2) / SCALE), -16384, 16384).astype(np.int32)
             plane = samples.reshape(c.rows, c.stride, 8, 8).transpose(0, 2, 1, 3).reshape(8 * c.rows, 8 * c.stride)
             if (v := self.most_v // c.v) > 1:
                 plane = np.repeat(plane, v, 0)
             if (h := self.most_h // c.h) > 1:
                 plane = np.repeat(plane, h, 1)
             planes.append(plane[: self.height, : self.width])
-        y = planes[0] + np.float32(128)
+        y = planes[0] + 128
         if len(planes) < 3:
             planes = [y, y, y]
         else:
             cb, cr = planes[1:3]
-            planes = [y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb]
+            planes = [y + (91881 * cr + 32768 >> 16), y - (22554 * cb + 32768 >> 16) - (46802 * cr + 32768 >> 16), y + (116130 * cb + 32768 >> 16)]  # 1.402, 0.344136, 0.714136, 1.772 by 2^16
         out = np.empty((self.height, self.width, 3), np.uint8)
         for i, p in enumerate(planes):
-            out[:, :, i] = np.clip(np.rint(p), 0, 255)
+            out[:, :, i] = np.clip(p, 0, 255)
         return out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbangraph.llm import jpeg
-from urbangraph.llm.arrays import as_arrow, pieces
+from urbangraph.llm.arrays import as_arrow, pieces, scratch
 
 UNIT = 192
 
@@ -58,7 +58,21 @@ def load(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), tensor: b
     return as_arrow(df.select(*keep, "media"), run, types(df, keep) + "media binary, payload binary, height int, width int, feature string" + ", tensor binary" * tensor)
 
 
-def digests(df: DataFrame) -> DataFrame:
+def tensors(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows written to `folder` (null: a new one in the shared folder) and read from there; row groups are small, as a row may be long."""
+    folder = folder or scratch(df.sparkSession, "tensors")
+    df.write.options(**{"compression": "zstd", "parquet.block.size": 16 << 20}).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def stored_digests(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """`digests` of `load`'s rows, whose tensors are stored beside them; the feature's checksum is that of the stored tensor."""
+    kept = tensors(digests(df, "tensor"), folder)
+    checksum = F.lpad(F.lower(F.hex(F.crc32("tensor"))), 8, "0")
+    return kept.withColumn("feature", F.concat_ws(":", F.substring_index("feature", ":", 2), checksum)).drop("tensor")
+
+
+def digests(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
         "doc_id",
         "n_bytes",
@@ -68,4 +82,5 @@ def digests(df: DataFrame) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        *more,
     )
