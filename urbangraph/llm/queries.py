@@ -19,7 +19,7 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from urbangraph.llm import media
 
-    return media.stored_digests(media.load(media.store(documents(spark, sf_dir))))
+    return media.digests(media.load(media.store(documents(spark, sf_dir))), "tensor")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
