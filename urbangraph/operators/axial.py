@@ -126,9 +126,9 @@ def graph_info(g: dict[str, DataFrame], points: DataFrame | None = None, groups:
 
 def nearest_line(points: DataFrame, lines: DataFrame, first: float = 60.0) -> DataFrame:
     """pt_id, line_id, d, t: by distance, then line_id. Rings become four times as wide until every point has a line within its ring. Points and
-    lines with a null coordinate are left out; without lines no point has any."""
-    columns = lines.select("line_id", "x1", "y1", "x2", "y2")
-    todo, found, radius = points.select("pt_id", "x", "y").where("x is not null and y is not null"), None, first
+    lines with a null coordinate are left out; without lines no point has any. Points at one place are searched for once."""
+    columns, placed = lines.select("line_id", "x1", "y1", "x2", "y2"), points.select("pt_id", "x", "y").where("x is not null and y is not null")
+    todo, found, radius = cut(grid.places(placed).select(F.struct("x", "y").alias("place"), "x", "y")), None, first
     ends = columns.agg(*(F.min(c) for c in ("x1", "x2", "y1", "y2")), *(F.max(c) for c in ("x1", "x2", "y1", "y2"))).first()
     box = todo.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if ends[0] is None or box[0] is None:
@@ -139,13 +139,15 @@ def nearest_line(points: DataFrame, lines: DataFrame, first: float = 60.0) -> Da
         r = min(radius, whole)
         near = grid.points_near_lines(todo, columns, r)
         near = near.withColumn("d", G.point_segment_distance(F.col("x"), F.col("y"), *line)).withColumn("t", G.nearest_position(F.col("x"), F.col("y"), *line)).where(F.col("d") <= r)
-        best = near.groupBy("pt_id").agg(F.min(F.struct("d", F.col("r_line_id").alias("line_id"), "t")).alias("b")).select("pt_id", "b.line_id", "b.d", "b.t")
+        best = near.groupBy("place").agg(F.min(F.struct("d", F.col("r_line_id").alias("line_id"), "t")).alias("b"))
         best = cut(best)
         found = best if found is None else found.union(best)
-        todo = cut(todo.join(best, "pt_id", "left_anti"))
+        todo = cut(todo.join(best, "place", "left_anti"))
         if r >= whole or not todo.take(1):
-            return found
+            break
         radius *= 4
+    of = placed.join(found.select(F.col("place.x").alias("x"), F.col("place.y").alias("y"), "b").hint("merge"), ["x", "y"])
+    return of.groupBy("pt_id").agg(F.min("b").alias("b")).select("pt_id", "b.line_id", "b.d", "b.t")  # repeated ids: the nearest of their places
 
 
 def lines_within(points: DataFrame, lines: DataFrame, radius: float) -> DataFrame:
