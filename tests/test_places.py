@@ -2,7 +2,7 @@
 
 from networks import frame
 
-from urbangraph.operators import axial, grid
+from urbangraph.operators import axial, grid, reach
 
 
 def copies(spark, places, n, extra=""):
@@ -29,3 +29,14 @@ def test_nearest_line_asks_once_for_a_place(spark, monkeypatch):
     found = {r.pt_id: (r.line_id, r.d) for r in axial.nearest_line(points, lines).collect()}
     assert seen == [3]
     assert len(found) == 80 and found[0] == (1, 1.0) and found[39] == (0, 5.0) and found[79] == (1, 2.0)
+
+
+def test_straight_distances_pair_places(spark, monkeypatch):
+    origins, targets = (given(monkeypatch, reach, "straight_pairs", at) for at in (0, 1))
+    points = copies(spark, [(0, 0), (900, 0)], 30).union(spark.createDataFrame([(99, None, 1.0)], "pt_id long, x double, y double"))
+    attractions = copies(spark, [(0, 300), (40, 0)], 20).selectExpr("*", "if(pt_id = 0, -1.0D, 2.0D) as value")
+    far = {r.pt_id: r.distance for r in reach.attraction_distance_straight(points, attractions, 500.0).collect()}
+    assert len(far) == 61 and far[0] == far[29] == 40.0 and far[30] == far[99] == -1.0
+    score = {r.pt_id: r.score for r in reach.attraction_reach_straight(points, attractions, 500.0).collect()}
+    assert len(score) == 61 and score[0] == 39 * 2.0 and score[30] == score[99] == 0.0
+    assert origins == targets == [2, 2]
