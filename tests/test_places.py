@@ -1,7 +1,9 @@
 """Points and outlines at one place are searched for once; what is on an outline."""
 
 from networks import frame
+from pyspark.sql import functions as F
 
+from urbangraph.functions import geometry as G
 from urbangraph.operators import axial, grid, reach
 
 
@@ -40,3 +42,20 @@ def test_straight_distances_pair_places(spark, monkeypatch):
     score = {r.pt_id: r.score for r in reach.attraction_reach_straight(points, attractions, 500.0).collect()}
     assert len(score) == 61 and score[0] == 39 * 2.0 and score[30] == score[99] == 0.0
     assert origins == targets == [2, 2]
+
+
+def test_points_on_an_outline_are_not_inside(spark):
+    ring = "array(struct(0.0D as x, 0.0D as y), struct(40.0D as x, 0.0D as y), struct(40.0D as x, 30.0D as y), struct(0.0D as x, 30.0D as y)) as ring"
+    points = spark.createDataFrame([(0, 0.0, 10.0), (1, 5.0, 0.0), (2, 0.0, 0.0), (3, 5.0, 5.0), (4, 40.0, 10.0), (5, 39.0, 29.0)], "pt_id long, x double, y double")
+    found = points.select("pt_id", "x", "y", F.expr(ring)).where(G.inside_ring(F.col("x"), F.col("y"), F.col("ring")))
+    assert sorted(r.pt_id for r in found.collect()) == [3, 5]
+
+
+def test_points_in_shapes_hold_places_against_outlines_once(spark, monkeypatch):
+    left, right = (given(monkeypatch, grid, "overlapping", at) for at in (0, 1))
+    ring = "array(struct(0.0D as x, 0.0D as y), struct(40.0D as x, 0.0D as y), struct(40.0D as x, 30.0D as y)) as ring"
+    shapes = spark.range(25).select(F.col("id").alias("region_id"), F.expr(ring))
+    points = copies(spark, [(20, 5), (90, 90)], 10)
+    corners = tuple(F.lit(c) for c in (0.0, 0.0, 40.0, 30.0))
+    assert grid.points_in_shapes(points, shapes, "ring", corners, G.in_ring).distinct().count() == 250
+    assert (left, right) == ([2], [1])

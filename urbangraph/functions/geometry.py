@@ -136,6 +136,21 @@ def in_ring(px: Column, py: Column, ring: Column) -> Column:
     return F.aggregate(ring_edges(ring), F.lit(0), lambda a, e: a + crosses(e)) % 2 == 1
 
 
+def on_ring(px: Column, py: Column, ring: Column) -> Column:
+    """On an edge or a corner of the ring."""
+
+    def on(e: Column) -> Column:
+        within = px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+        return within & (cross(e["x2"] - e["x1"], e["y2"] - e["y1"], px - e["x1"], py - e["y1"]) == 0)
+
+    return F.exists(ring_edges(ring), on)
+
+
+def inside_ring(px: Column, py: Column, ring: Column) -> Column:
+    """In the ring and not on it."""
+    return in_ring(px, py, ring) & ~on_ring(px, py, ring)
+
+
 def in_rings(px: Column, py: Column, rings: Column) -> Column:
     """In a polygon of several rings array<ring>, which are outlines and holes: in an odd number of them."""
     return F.aggregate(rings, F.lit(0), lambda n, ring: n + F.when(in_ring(px, py, ring), 1).otherwise(0)) % 2 == 1
