@@ -4,7 +4,8 @@ from networks import frame
 from pyspark.sql import functions as F
 
 from urbangraph.functions import geometry as G
-from urbangraph.operators import axial, grid, reach
+from urbangraph.operators import axial, grid, isovist, paths, reach
+from urbangraph.radii import Radius
 
 
 def copies(spark, places, n, extra=""):
@@ -59,3 +60,30 @@ def test_points_in_shapes_hold_places_against_outlines_once(spark, monkeypatch):
     corners = tuple(F.lit(c) for c in (0.0, 0.0, 40.0, 30.0))
     assert grid.points_in_shapes(points, shapes, "ring", corners, G.in_ring).distinct().count() == 250
     assert (left, right) == ([2], [1])
+
+
+def test_turns_alone_need_only_what_lies_around(spark, monkeypatch):
+    limits, whole = [], paths.groups
+    monkeypatch.setattr(paths, "groups", lambda lines, limit, *args, **named: limits.append(limit) or whole(lines, limit, *args, **named))
+    squares = frame(spark, [(x + a, b, x + c, d) for x in (0, 9000) for a, b, c, d in ((0, 0, 100, 0), (100, 0, 100, 100), (100, 100, 0, 100), (0, 100, 0, 0))] + [(20000, 0, 30000, 0), (30000, 0, 40000, 0)])
+    found = {r.line_id: r.node_count for r in paths.angular_integration(squares, Radius(angular=100.0)).collect()}
+    assert limits == [2000.0, 8000.0, 32000.0]
+    assert found == {**dict.fromkeys(range(8), 3), 8: 2, 9: 2}
+
+
+def test_obstacles_with_the_same_rings_are_one(spark):
+    rings = {"a": [(30.0, -20.0), (40.0, -20.0), (40.0, 20.0), (30.0, 20.0)], "b": [(-60.0, -60.0), (60.0, -60.0), (60.0, 60.0), (-60.0, 60.0)]}
+    rows = [(i, rings["a"]) for i in range(5, 15)] + [(1, rings["a"]), (1, rings["b"])]
+    obstacles = spark.createDataFrame(rows, "group_id long, ring array<struct<x:double,y:double>>")
+    assert isovist.distinct_obstacles(obstacles).count() == 3
+    origins = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 0.0), (2, None, 0.0)], "pt_id long, x double, y double")
+    assert isovist.sights(origins, obstacles, 100.0).count() == 1
+    assert {r.pt_id: r.obstacles for r in isovist.isovists(origins, obstacles, 100.0).collect()} == {0: [5], 1: [5], 2: None}
+
+
+def test_flows_search_once_for_a_place(spark, monkeypatch):
+    seen = given(monkeypatch, axial, "nearest_line")
+    lines = frame(spark, [(0, 0, 100, 0), (100, 0, 200, 0), (200, 0, 300, 0)])
+    origins, ends = copies(spark, [(20, 5), (50, 5)], 30), copies(spark, [(280, 5)], 4)
+    found = {r.line_id: round(r.score, 6) for r in paths.od_betweenness(lines, origins, ends, 800.0).collect()}
+    assert seen == [2, 1] and found == {0: 60.0, 1: 60.0, 2: 60.0}

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbangraph.functions import geometry as G
+from urbangraph.lineage import cut
 from urbangraph.operators import grid
 
 RING = "array<struct<x:double,y:double>>"
@@ -134,26 +135,41 @@ def in_view(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Colu
 def isovists(origins: DataFrame, obstacles: DataFrame, distance: float, fov: float = 360.0, direction: float = 0.0, sides: int = 64) -> DataFrame:
     """pt_id, x, y, polygon (clockwise), area, obstacles (ids in sight, ascending). obstacles: group_id, ring, where rings of one id are the outlines and holes of one
     obstacle; those around the origin don't hide anything."""
+    return seen_by(origins, sights(origins, obstacles, distance, fov, direction, sides))
+
+
+def seen_by(origins: DataFrame, sights: DataFrame) -> DataFrame:
+    """The sights of the places that origins (pt_id, x, y) are at."""
+    return origins.select(F.col("pt_id").cast("long").alias("pt_id"), "x", "y").join(sights.hint("merge"), ["x", "y"], "left").select("pt_id", "x", "y", *(c for c in sights.columns if c not in ("x", "y")))
+
+
+def distinct_obstacles(obstacles: DataFrame) -> DataFrame:
+    """group_id, ring: of obstacles with the same rings the one with the smallest id, which is the one seen."""
+    whole = obstacles.where(F.size("ring") > 1).groupBy("group_id").agg(F.sort_array(F.collect_list("ring")).alias("rings"))
+    return whole.groupBy("rings").agg(F.min(F.struct("group_id")).alias("o")).select("o.group_id", F.explode("rings").alias("ring"))
+
+
+def sights(origins: DataFrame, obstacles: DataFrame, distance: float, fov: float = 360.0, direction: float = 0.0, sides: int = 64) -> DataFrame:
+    """x, y, polygon, area, obstacles (see isovists) of each place that has origins, once."""
     outer = distance * G.equal_area_scale(sides)
     first, span = math.radians(direction - fov / 2), math.radians(min(fov, 360.0))
-    spots = origins.groupBy("pt_id", "x", "y").agg(F.count(F.lit(1)).alias("rows"))
-    own = grid.boxed(spots.where(F.col("x").isNotNull() & F.col("y").isNotNull()), "x", "y", "x", "y", outer)
+    spots = grid.places(origins.where(~F.isnan("x") & ~F.isnan("y"))).select("x", "y")
+    own = grid.boxed(spots, "x", "y", "x", "y", outer)
     cell = max(distance, 1.0)
-    rings = obstacles.select("group_id", "ring").where(F.size("ring") > 1)
+    rings = cut(distinct_obstacles(obstacles))
     corners = {f"b{c}{i}": f(F.col("ring")[c]) for c in "xy" for i, f in ((1, F.array_min), (2, F.array_max))}
-    here = grid.boxed(spots, "x", "y", "x", "y").select("pt_id", "x", "y", "bx1", "by1", "bx2", "by2")
+    here = grid.boxed(spots, "x", "y", "x", "y")
     inside = grid.overlapping(here, rings.withColumns(corners), cell).where(G.in_ring(F.col("x"), F.col("y"), F.col("r_ring")))
-    inside = inside.groupBy("pt_id", "x", "y", F.col("r_group_id").alias("group_id")).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").drop("n")
+    inside = inside.groupBy("x", "y", F.col("r_group_id").alias("group_id")).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").drop("n")
     edges = rings.select("group_id", F.explode(G.ring_edges(F.col("ring"))).alias("e")).select("group_id", "e.*")
     x, y, *wall = (F.col(c) for c in ("x", "y", "r_x1", "r_y1", "r_x2", "r_y2"))
     near = grid.overlapping(own, grid.boxed(edges, "x1", "y1", "x2", "y2"), cell).where(G.segment_meets_circle(*wall, x, y, outer) & in_view(x, y, *wall, fov, direction))
-    near = near.select("pt_id", "x", "y", F.struct(F.col("r_group_id").alias("group_id"), *(c.alias(n) for c, n in zip(wall, ("x1", "y1", "x2", "y2"), strict=True))).alias("wall"))
+    near = near.select("x", "y", F.struct(F.col("r_group_id").alias("group_id"), *(c.alias(n) for c, n in zip(wall, ("x1", "y1", "x2", "y2"), strict=True))).alias("wall"))
     a, b = near.alias("a"), inside.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("pt_id", "x", "y")]
-    near = a.join(b, [*same, F.col("a.wall.group_id").eqNullSafe(F.col("b.group_id"))], "left_anti")
-    both = spots.select("pt_id", "x", "y", F.lit(None).cast(near.schema["wall"].dataType).alias("wall"), "rows").unionByName(near.withColumn("rows", F.lit(0)))
-    ready = both.groupBy("pt_id", "x", "y").agg(F.sort_array(F.collect_list("wall")).alias("walls"), F.sum("rows").alias("rows"))
-    ready = ready.select("pt_id", "x", "y", "walls", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("col")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("x", "y")]
+    near = a.join(b.hint("merge"), [*same, F.col("a.wall.group_id").eqNullSafe(F.col("b.group_id"))], "left_anti")
+    both = spots.select("x", "y", F.lit(None).cast(near.schema["wall"].dataType).alias("wall")).unionByName(near)
+    ready = both.groupBy("x", "y").agg(F.sort_array(F.collect_list("wall")).alias("walls"))
 
     def kernel(batches):
         for batch in batches:
@@ -173,22 +189,17 @@ def isovists(origins: DataFrame, obstacles: DataFrame, distance: float, fov: flo
             ids = flat.field("group_id").to_pylist()
             polygons, seen = [], []
             for i in range(batch.num_rows):
-                if math.isnan(x[i]) or math.isnan(y[i]):
-                    polygons.append(None)
-                    seen.append(None)
-                    continue
                 own = slice(at[i], at[i + 1])
                 polygons.append(corners_of(px[own].ravel(), py[own].ravel(), outer, None if fov >= 360 else (x[i], y[i])))
                 hit = {ids[w] for w in found.wall[own].tolist() if w < len(ids)}
                 seen.append(sorted(h for h in hit if h is not None))
-            missing = np.isnan(x) | np.isnan(y)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("pt_id"), batch.column("x"), batch.column("y"), pa.array(polygons, pa.list_(pa.struct({"x": pa.float64(), "y": pa.float64()}))), pa.array(area, mask=missing), pa.array(seen, pa.list_(pa.int64()))],
-                ["pt_id", "x", "y", "polygon", "area", "obstacles"],
+                [batch.column("x"), batch.column("y"), pa.array(polygons, pa.list_(pa.struct({"x": pa.float64(), "y": pa.float64()}))), pa.array(area), pa.array(seen, pa.list_(pa.int64()))],
+                ["x", "y", "polygon", "area", "obstacles"],
             )
 
-    ready = ready.select(F.col("pt_id").cast("long").alias("pt_id"), "x", "y", F.transform("walls", lambda w: w.withField("group_id", w["group_id"].cast("long"))).alias("walls"))
-    return ready.mapInArrow(kernel, f"pt_id long, x double, y double, polygon {RING}, area double, obstacles array<long>")
+    ready = ready.select("x", "y", F.transform("walls", lambda w: w.withField("group_id", w["group_id"].cast("long"))).alias("walls"))
+    return ready.mapInArrow(kernel, f"x double, y double, polygon {RING}, area double, obstacles array<long>")
 
 
 def corners_of(px: np.ndarray, py: np.ndarray, size: float, eye: tuple[float, float] | None) -> list[dict]:
@@ -212,6 +223,12 @@ def visible_points(views: DataFrame, points: DataFrame, distance: float) -> Data
     return near.where(G.in_ring(F.col("r_x"), F.col("r_y"), F.col("polygon"))).select("pt_id", F.col("r_pt_id").alias("seen_id"))
 
 
+def points_in_sight(views: DataFrame, points: DataFrame, distance: float) -> DataFrame:
+    """pt_id, n of the points (pt_id, x, y) inside each view's polygon; those at one place are held against it once."""
+    near = grid.overlapping(seen_from(views), grid.boxed(grid.places(points), "x", "y", "x", "y"), max(distance, 1.0))
+    return near.where(G.in_ring(F.col("r_x"), F.col("r_y"), F.col("polygon"))).groupBy("pt_id").agg(F.sum("r_n_points").alias("n"))
+
+
 def visible_regions(views: DataFrame, regions: DataFrame, distance: float) -> DataFrame:
     """pt_id, seen_id of the regions (region_id, ring) that hold the origin, have a corner in the view or an edge that crosses its outline, each once."""
     cell = max(distance, 1.0)

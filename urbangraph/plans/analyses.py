@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from urbangraph.functions import normalize as N
 from urbangraph.functions.naming import column_name, short
+from urbangraph.lineage import cut
 from urbangraph.operators import axial, grouping, isovist, multidistance, paths, raster, reach, segment_map
 from urbangraph.radii import Radius
 
@@ -190,13 +191,15 @@ def compare_analysis(before: DataFrame, after: DataFrame, pixel: int, blur: floa
 
 def isovist_analysis(origins: DataFrame, obstacles: DataFrame, distance: float, points: dict[str, DataFrame] | None = None, regions: dict[str, DataFrame] | None = None) -> DataFrame:
     """Views of 360 degrees with 64 sides, the obstacles in sight, and how many points and regions of each layer they hold or touch."""
-    views = isovist.isovists(origins, obstacles, distance).withColumns({"max_dist": F.lit(float(distance)), "fov_angle": F.lit(360.0), "direction": F.lit(0.0)})
-    out = views
-    for find, layers in ((isovist.visible_points, points), (isovist.visible_regions, regions)):
+    sights = cut(isovist.sights(origins, obstacles, distance))
+    views = sights.withColumn("pt_id", F.struct("x", "y"))
+    out = isovist.seen_by(origins, sights).withColumns({"max_dist": F.lit(float(distance)), "fov_angle": F.lit(360.0), "direction": F.lit(0.0)})
+    regions_in_sight = lambda *given: isovist.visible_regions(*given).groupBy("pt_id").agg(F.count(F.lit(1)).alias("n"))
+    for find, layers in ((isovist.points_in_sight, points), (regions_in_sight, regions)):
         for name, layer in (layers or {}).items():
-            seen = find(views, layer, distance).groupBy("pt_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
-            out = out.join(seen, "pt_id", "left").fillna(0, [f"n_{name}"])
-    return out
+            seen = find(views, layer, distance).select("pt_id.x", "pt_id.y", F.col("n").alias(f"n_{name}"))
+            out = out.join(seen.hint("merge"), ["x", "y"], "left").fillna(0, [f"n_{name}"])
+    return out.select("pt_id", *(c for c in out.columns if c != "pt_id"))
 
 
 def segment_map_analysis(polylines: DataFrame, snap: float = 1.0, copied: list[str] = [], **options) -> tuple[DataFrame, DataFrame | None]:  # noqa: B006
