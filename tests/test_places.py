@@ -4,7 +4,7 @@ from networks import frame
 from pyspark.sql import functions as F
 
 from urbangraph.functions import geometry as G
-from urbangraph.operators import axial, grid, isovist, paths, reach
+from urbangraph.operators import axial, grid, isovist, multidistance, paths, raster, reach
 from urbangraph.radii import Radius
 
 
@@ -87,3 +87,23 @@ def test_flows_search_once_for_a_place(spark, monkeypatch):
     origins, ends = copies(spark, [(20, 5), (50, 5)], 30), copies(spark, [(280, 5)], 4)
     found = {r.line_id: round(r.score, 6) for r in paths.od_betweenness(lines, origins, ends, 800.0).collect()}
     assert seen == [2, 1] and found == {0: 60.0, 1: 60.0, 2: 60.0}
+
+
+def test_rasters_shuffle_lines_not_samples(spark):
+    lines = frame(spark, [(0, 0, 5000, 0), (0, 10, 3000, 4010)]).withColumn("value", F.lit(1.0))
+    for made in (raster.raster_lines(lines, 10.0), raster.compare_percent(lines, lines, 10.0, 2.0, 1.0)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsInPandas" in plan and "Join" not in plan and "Aggregate" not in plan
+    assert abs(raster.raster_lines(lines, 10.0).agg(F.sum("value")).first()[0] - 1000) < 1e-6
+
+
+def test_starts_on_a_line_do_not_lengthen_a_search(spark, monkeypatch):
+    seen = given(monkeypatch, multidistance, "search")
+    g = axial.graph(frame(spark, [(0, 0, 100, 0), (100, 0, 100, 100)]))
+    points = spark.createDataFrame([(i, float(i % 20), 0.0, 1.0) for i in range(40)], "pt_id long, x double, y double, value double")
+    edges = multidistance.Network(g, multidistance.from_points(g, points), through=False).edges(("walking",))
+    assert edges.where("src.line = 0 and dst.line = 0").select("dst").distinct().count() == 1
+    found = {r.target: r.score for r in multidistance.attraction_reach(g, points, "walking", Radius(walking=140.0)).collect()}
+    assert seen == [40] and found == {0: 40.0, 1: 20.0}
+    assert {r.target: r.score for r in multidistance.attraction_reach(g, points, "steps", Radius(steps=1)).collect()} == {0: 40.0, 1: 40.0}
+    assert len(seen) == 1
