@@ -11,6 +11,7 @@ from urbangraph.lineage import cut
 from urbangraph.operators import axial, grid, grouping, segments
 
 
+#: Spark takes exploded tables for as small as the files they came from, so the joins here merge and broadcast nothing.
 #: An unlink takes a point with cuts that is nearer than this.
 UNLINK_MOST = 100.0
 
@@ -36,12 +37,12 @@ def cuts(lines: DataFrame, extrude: float = 0.0, cell: float = axial.CELL) -> Da
         length = F.nullif(G.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), F.lit(0.0))
         ex, ey = (F.col("x2") - F.col("x1")) / length * extrude, (F.col("y2") - F.col("y1")) / length * extrude
         free = segments.ends(lines).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("x", "y"))).where("n = 1").groupBy("line_id").agg(F.max(F.when(F.col("end") == 0, 1)).alias("at1"), F.max(F.when(F.col("end") == 1, 1)).alias("at2"))
-        longer = lines.join(free, "line_id", "left").select("line_id", *(F.when(F.col(f"at{i}") == 1, F.coalesce(F.col(f"{c}{i}") + (e if i == 2 else -e), F.col(f"{c}{i}"))).otherwise(F.col(f"{c}{i}")).alias(f"{c}{i}") for i in (1, 2) for c, e in (("x", ex), ("y", ey))))
+        longer = lines.join(free.hint("merge"), "line_id", "left").select("line_id", *(F.when(F.col(f"at{i}") == 1, F.coalesce(F.col(f"{c}{i}") + (e if i == 2 else -e), F.col(f"{c}{i}"))).otherwise(F.col(f"{c}{i}")).alias(f"{c}{i}") for i in (1, 2) for c, e in (("x", ex), ("y", ey))))
         found = axial.crossing_pairs(longer, cell=cell)
         ids = lines.select("line_id", "x1", "y1", "x2", "y2")
         for s in "ab":  # positions along the lines as drawn
             at = ids.withColumnRenamed("line_id", f"line_{s}")
-            found = found.join(at, f"line_{s}").withColumn(f"t_{s}", G.nearest_position(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).drop("x1", "y1", "x2", "y2")
+            found = found.join(at.hint("merge"), f"line_{s}").withColumn(f"t_{s}", G.nearest_position(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).drop("x1", "y1", "x2", "y2")
     return found.where(~(F.col("t_a").isin(0.0, 1.0) & F.col("t_b").isin(0.0, 1.0)))
 
 
@@ -51,7 +52,7 @@ def cut_lines(lines: DataFrame, at: DataFrame) -> DataFrame:
     ends = lines.select("line_id", F.lit(0.0).alias("t"), F.col("x1").alias("x"), F.col("y1").alias("y")).union(lines.select("line_id", F.lit(1.0), "x2", "y2"))
     along = Window.partitionBy("line_id").orderBy("t")
     pieces = points.union(ends).select("line_id", "t", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(along).alias("x2"), F.lead("y").over(along).alias("y2"), (F.row_number().over(along) - 1).alias("piece"))
-    return pieces.where("x2 is not null").join(lines.select("line_id", "base_id", "part"), "line_id").select("line_id", "base_id", "part", "piece", "x1", "y1", "x2", "y2")
+    return pieces.where("x2 is not null").join(lines.select("line_id", "base_id", "part").hint("merge"), "line_id").select("line_id", "base_id", "part", "piece", "x1", "y1", "x2", "y2")
 
 
 def snap(lines: DataFrame, distance: float) -> DataFrame:
@@ -61,12 +62,12 @@ def snap(lines: DataFrame, distance: float) -> DataFrame:
     boxes = grid.boxed(points, "x", "y", "x", "y", distance), grid.boxed(points, "x", "y", "x", "y")
     near = grid.overlapping(*boxes, max(distance, 1e-6)).where((F.col("id") < F.col("r_id")) & (G.distance(F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y")) <= distance)).select(F.col("id").alias("a"), F.col("r_id").alias("b"))
     labels = grouping.components(points.select(F.col("id").alias("node")), near)
-    joined = points.join(labels.withColumnRenamed("node", "id"), "id")
+    joined = points.join(labels.withColumnRenamed("node", "id").hint("merge"), "id")
     best = joined.groupBy("label").agg(F.min(F.struct((-F.col("n")).alias("n"), "x", "y")).alias("best"))
-    moved = cut(joined.join(best, "label").select("x", "y", F.col("best.x").alias("sx"), F.col("best.y").alias("sy")))
+    moved = cut(joined.join(best.hint("merge"), "label").select("x", "y", F.col("best.x").alias("sx"), F.col("best.y").alias("sy")))
     for i in (1, 2):
         m = moved.select(F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"), "sx", "sy")
-        lines = lines.join(m, [f"x{i}", f"y{i}"]).drop(f"x{i}", f"y{i}").withColumnRenamed("sx", f"x{i}").withColumnRenamed("sy", f"y{i}")
+        lines = lines.join(m.hint("merge"), [f"x{i}", f"y{i}"]).drop(f"x{i}", f"y{i}").withColumnRenamed("sx", f"x{i}").withColumnRenamed("sy", f"y{i}")
     return lines
 
 
@@ -82,16 +83,16 @@ def trim_tails(lines: DataFrame, shortest: float) -> DataFrame:
     than that: each round adds the next segment to the chains still below it."""
     e = segments.ends(lines).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("x", "y")))
     far = e.select("line_id", F.col("end").alias("far"), F.col("x").alias("to_x"), F.col("y").alias("to_y"), F.col("n").alias("to_n"))
-    ways = cut(e.join(far, "line_id").where("end <> far").join(segments.described(lines).select("line_id", "length"), "line_id").where((F.col("to_n") > 1) & (F.col("length") < shortest)))
+    ways = cut(e.join(far.hint("merge"), "line_id").where("end <> far").join(segments.described(lines).select("line_id", "length").hint("merge"), "line_id").where((F.col("to_n") > 1) & (F.col("length") < shortest)))
     front = cut(ways.where("n = 1").select(F.col("line_id").alias("tail"), "line_id", "to_x", "to_y", "to_n", "length"))
     walked = front
     onward = ways.where("n = 2").select(F.col("line_id").alias("next"), "x", "y", F.col("to_x").alias("next_x"), F.col("to_y").alias("next_y"), F.col("to_n").alias("next_n"), F.col("length").alias("more"))
     while front.take(1):
-        step = front.where("to_n = 2").join(onward, (F.col("to_x") == F.col("x")) & (F.col("to_y") == F.col("y"))).where((F.col("next") != F.col("line_id")) & (F.col("length") + F.col("more") < shortest))
+        step = front.where("to_n = 2").join(onward.hint("merge"), (F.col("to_x") == F.col("x")) & (F.col("to_y") == F.col("y"))).where((F.col("next") != F.col("line_id")) & (F.col("length") + F.col("more") < shortest))
         front = cut(step.select("tail", F.col("next").alias("line_id"), F.col("next_x").alias("to_x"), F.col("next_y").alias("to_y"), F.col("next_n").alias("to_n"), (F.col("length") + F.col("more")).alias("length")))
         walked = walked.union(front)
     gone = walked.join(walked.where("to_n >= 3").select("tail"), "tail").select("line_id").distinct()
-    return lines.join(gone, "line_id", "left_anti")
+    return lines.join(gone.hint("merge"), "line_id", "left_anti")
 
 
 def remove_detail(lines: DataFrame, deviation: float) -> DataFrame:
@@ -101,13 +102,13 @@ def remove_detail(lines: DataFrame, deviation: float) -> DataFrame:
 
     Which two segments meet alone is found by counts of points, and what can be joined lies within one base, so a task walks the chains of its
     bases one base at a time. Null base_ids are one base. An empty table stays empty."""
-    e = segments.ends(lines).join(lines.select("line_id", "base_id"), "line_id")
+    e = segments.ends(lines).join(lines.select("line_id", "base_id").hint("merge"), "line_id")
     two = e.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("a"), F.max("line_id").alias("b"), F.count_distinct(F.coalesce("base_id", F.lit(-1))).alias("bases")).where("n = 2 and a < b and bases = 1")
     pairs = two.select("x", "y", F.explode(F.array(F.struct(F.col("a").alias("line_id"), F.col("b").alias("next")), F.struct(F.col("b").alias("line_id"), F.col("a").alias("next")))).alias("p")).select("x", "y", "p.*")
     met = lines.select("line_id", "base_id", "x1", "y1", "x2", "y2")
     for i in (1, 2):
         at = pairs.select("line_id", F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"), F.col("next").alias(f"at{i}"))
-        met = met.join(at, ["line_id", f"x{i}", f"y{i}"], "left")
+        met = met.join(at.hint("merge"), ["line_id", f"x{i}", f"y{i}"], "left")
     alone = met.where("at1 is null and at2 is null").select("line_id", "base_id", "x1", "y1", "x2", "y2")
     itself = [F.coalesce(f"at{i}", "line_id").alias(f"at{i}") for i in (1, 2)]  # where there is no neighbour
     known = [F.coalesce("base_id", F.lit(0).cast("long")).alias("base"), F.col("base_id").isNull().alias("baseless")]
