@@ -5,7 +5,8 @@ import random
 import pytest
 from networks import CROSSHAIR, SPLIT, SPLIT2, by_line, chain, frame, square
 
-from urbangraph.operators import axial, grouping, paths, reach
+from urbangraph.lineage import cut
+from urbangraph.operators import axial, frontier, grouping, paths, reach
 from urbangraph.radii import Radius
 
 near = lambda x: pytest.approx(x, rel=1e-3, abs=1e-3)
@@ -250,6 +251,36 @@ def test_grouping_and_group_integration(spark):
     assert by_line(grouping.group_integration(lines, of, Radius(walking=1)), "node_count", "group_id") == [7] * 4 + [8] * 4
 
 
+def test_group_integration_goes_from_group_to_group(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(frontier, "cut", lambda df: rounds.append(1) or cut(df))
+    lines = chain(12, 1) + [(6, 0, 6, 1), (6, 1, 5, 1)]
+    of = spark.createDataFrame(list(enumerate([0] * 12 + [1, 2])), "line_id long, group_id long")
+    assert by_line(grouping.group_integration(frame(spark, lines), of, connected=True), "total_depth", "group_id") == [3, 2, 3]
+    assert len(rounds) <= 6  # the changes of group count, not the lines of a street
+
+
+def test_group_integration_against_all_ends(spark):
+    rng = random.Random(3)
+    lines = [(a % 4, a // 4, b % 4, b // 4) for a, b in ((rng.randrange(16), rng.randrange(16)) for _ in range(14))]
+    of = [rng.randrange(6) for _ in lines]  # lines of a group may lie apart
+    expected = {}
+    for origin in sorted(set(of)):
+        d = {(i, e): 0 for i, g in enumerate(of) if g == origin for e in (0, 1)}
+        todo = list(d)
+        while todo:
+            i, e = todo.pop(0)
+            for j, f in [(i, 1 - e), *((j, f) for j in range(len(lines)) for f in (0, 1) if lines[j][2 * f : 2 * f + 2] == lines[i][2 * e : 2 * e + 2])]:
+                cost = d[i, e] + (of[i] != of[j])
+                if cost < d.get((j, f), 99) and cost <= 2:
+                    d[j, f] = cost
+                    todo.append((j, f))
+        least = {g: min(c for (i, _), c in d.items() if of[i] == g) for g in {of[i] for i, _ in d}}
+        expected[origin] = (len(least), sum(least.values()))
+    out = grouping.group_integration(frame(spark, lines), spark.createDataFrame(list(enumerate(of)), "line_id long, group_id long"), Radius(steps=2))
+    assert {r["group_id"]: (r["node_count"], r["total_depth"]) for r in out.collect()} == expected
+
+
 def test_od_by_turns_against_all_walks(spark):
     made = crooked(31, 4)
     near, length, _ = moves(made)

@@ -9,7 +9,7 @@ from urbangraph.functions import geometry as G
 from urbangraph.functions import normalize as N
 from urbangraph.lineage import cut
 from urbangraph.operators import segments
-from urbangraph.operators.frontier import relax
+from urbangraph.operators.frontier import first_visits, relax
 from urbangraph.radii import Radius
 
 
@@ -87,20 +87,40 @@ def group_colours(lines: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.join(found.withColumnRenamed("node", "group_id"), "group_id").select("line_id", "colour")
 
 
-def group_integration(lines: DataFrame, groups: DataFrame, radius: Radius = Radius()) -> DataFrame:  # noqa: B008
-    """group_id, node_count (groups reached, its own included), total_depth (changes of group), integration."""
-    d = segments.described(lines).join(groups, "line_id").select("line_id", "length", "group_id")
-    ends = segments.ends(lines).join(d, "line_id").withColumn("id", F.col("line_id") * 2 + F.col("end"))
-    along = d.select((F.col("line_id") * 2).alias("src"), (F.col("line_id") * 2 + 1).alias("dst"), F.lit(0.0).alias("steps"), F.col("length").alias("walking"))
-    along = along.union(along.select(F.col("dst"), F.col("src"), "steps", "walking"))
-    a, b = (ends.select("x", "y", F.col("id").alias(n), F.col("group_id").alias(f"g{n}")) for n in ("src", "dst"))
-    sides = a.join(b, ["x", "y"]).where("src <> dst").select("src", "dst", F.when(F.col("gsrc") == F.col("gdst"), 0.0).otherwise(1.0).alias("steps"), F.lit(0.0).alias("walking"))
-    edges = cut(along.union(sides))
-    seeds = ends.select(F.col("group_id").alias("origin"), F.col("id").alias("node"), F.lit(0.0).alias("d"))
-    of = ends.select(F.col("id").alias("node"), "group_id")
-    found = None
-    for kind in ["steps", *(["walking"] if radius.walking is not None else [])]:
-        here = relax(seeds, edges.select("src", "dst", F.col(kind).alias("cost")), radius.limits().get(kind)).join(of, "node").groupBy("origin", "group_id").agg(F.min("d").alias("d"))
-        found = here if found is None else found.join(here.select("origin", "group_id"), ["origin", "group_id"])
+def parts(ends: DataFrame) -> DataFrame:
+    """line_id, part: the lines of a group that hang together, named by the least of them. ends: line_id, group_id, x, y."""
+    met = ends.withColumn("first", F.min("line_id").over(Window.partitionBy("group_id", "x", "y")))
+    found = components(ends.select(F.col("line_id").alias("node")).distinct(), met.where("first <> line_id").select(F.col("first").alias("a"), F.col("line_id").alias("b")))
+    return found.select(F.col("node").alias("line_id"), F.col("label").alias("part"))
+
+
+def group_depths(lines: DataFrame, groups: DataFrame, steps: float | None, connected: bool) -> DataFrame:
+    """origin, group_id, d: the least changes of group from each group to each other. As a group costs nothing along itself, the search goes from
+    group to group (from part to part, where a group's lines may lie apart), not along lines."""
+    ends = segments.ends(lines).join(groups, "line_id")
+    at = ends.withColumn("part", F.col("group_id")) if connected else ends.join(parts(ends), "line_id")
+    here = at.select("x", "y", "part").distinct()
+    edges = cut(here.withColumnRenamed("part", "src").join(here.withColumnRenamed("part", "dst"), ["x", "y"]).where("src <> dst").select("src", "dst").distinct())
+    of = at.select(F.col("group_id").alias("origin"), F.col("part").alias("node")).distinct()
+    found = first_visits(of, edges, steps)
+    if connected:
+        return found.withColumnRenamed("node", "group_id")
+    return found.join(of.withColumnRenamed("origin", "group_id"), "node").groupBy("origin", "group_id").agg(F.min("d").alias("d"))
+
+
+def group_integration(lines: DataFrame, groups: DataFrame, radius: Radius = Radius(), connected: bool = False) -> DataFrame:  # noqa: B008
+    """group_id, node_count (groups reached, its own included), total_depth (changes of group), integration. connected: each group's lines
+    are known to hang together at their ends, as those of `grouping` do; else they may lie apart."""
+    found = group_depths(lines, groups, radius.steps, connected)
+    if radius.walking is not None:
+        d = segments.described(lines).join(groups, "line_id").select("line_id", "length", "group_id")
+        ends = segments.ends(lines).join(d, "line_id").withColumn("id", F.col("line_id") * 2 + F.col("end"))
+        along = d.select((F.col("line_id") * 2).alias("src"), (F.col("line_id") * 2 + 1).alias("dst"), F.col("length").alias("cost"))
+        a, b = (ends.select("x", "y", F.col("id").alias(n)) for n in ("src", "dst"))
+        sides = a.join(b, ["x", "y"]).where("src <> dst").select("src", "dst", F.lit(0.0).alias("cost"))
+        edges = cut(along.union(along.select("dst", "src", "cost")).union(sides))
+        seeds = ends.select(F.col("group_id").alias("origin"), F.col("id").alias("node"), F.lit(0.0).alias("d"))
+        near = relax(seeds, edges, radius.walking).join(ends.select(F.col("id").alias("node"), "group_id"), "node").select("origin", "group_id").distinct()
+        found = found.join(near, ["origin", "group_id"])
     sums = found.groupBy(F.col("origin").alias("group_id")).agg(F.count(F.lit(1)).alias("node_count"), F.sum("d").alias("total_depth"))
     return sums.withColumn("integration", N.network_integration(F.col("node_count"), F.col("total_depth")))

@@ -178,7 +178,7 @@ def group_integration_analysis(lines: DataFrame, threshold: float, radii: list[R
     groups, found = grouping.grouping(lines, threshold, split), []
     for r in radii:
         name = column_name(f"GI_{threshold:g}" + "_sp" * split, "", r)
-        out = grouping.group_integration(lines, groups, r)
+        out = grouping.group_integration(lines, groups, r, connected=True)
         out = out.select("group_id", F.col("integration").alias(name), F.col("node_count").alias(name + "N"), F.col("total_depth").alias(name + "T"), N.mean_depth(F.col("node_count"), F.col("total_depth")).alias(name + "M"))
         found.append(groups.join(out, "group_id").drop("group_id"))
     return wide(lines, found)
