@@ -367,6 +367,14 @@ def test_jaccard_plans():
                     assert of[i] & set(other.tolist())
 
 
+def test_jaccard_in_turns(docs):
+    _, chosen = jaccard.describe(docs.select("doc_id", "text"), 5, 80)
+    whole, *turns = ([tuple(r) for r in jaccard.entries(docs, 5, 80, chosen, *turn).collect()] for turn in ((), (2, 0), (2, 1)))
+    assert sorted(turns[0] + turns[1]) == sorted(whole) and not {s for s, _ in turns[0]} & {s for s, _ in turns[1]}
+    assert max(map(len, turns)) < 0.6 * len(whole)  # what is on disk at once
+    assert sorted_rows(jaccard.distinct(docs, passes=3)) == sorted_rows(jaccard.distinct(docs))
+
+
 def test_jaccard_on_empty_table(nothing):
     assert jaccard.join(nothing).count() == 0 and jaccard.distinct(nothing).count() == 0
 

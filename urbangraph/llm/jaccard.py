@@ -29,6 +29,10 @@ differences: taken in one order (rare ones first, gained before lost), the two m
 `|D| - common + 1` of both. As at most one of the two is linked with the leader, most of a near copy's own changes
 are rare, and so are candidates, also among thousands of near copies just below the threshold. They are verified on the differences.
 
+Turns. The entries of the index, and the texts that are compared, are the most that is dealt out at once. With `passes` above 1 they
+are dealt in so many turns, by signature and by set: each turn reads all texts and its shuffle goes before the next one begins. Links and
+results are the same; the price is that texts are read and cut into shingles once more for each turn.
+
 Verification counts common 64-bit shingle hashes of the whole texts.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; with fewer than k words
@@ -39,7 +43,8 @@ and `distinct` passes them on, whatever their names.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -284,8 +289,13 @@ def describe(df: DataFrame, k: int, percent: int) -> tuple[DataFrame, dict[int,
     return found, allocated({(r["x"] >> 8, r["x"] & 255): r["n"] for r in masks}, percent)
 
 
-def entries(df: DataFrame, k: int, percent: int, chosen: dict[int, tuple[int, int]]) -> DataFrame:
-    """signature long, a long: index entries of each distinct set, mostly once from each task."""
+def in_turns(make: Callable[[int], DataFrame], passes: int, name: str) -> DataFrame:
+    """What all turns make; each is saved before the next begins, so that no two have shuffles on disk."""
+    return reduce(DataFrame.union, [saved(make(turn), name) for turn in range(passes)])
+
+
+def entries(df: DataFrame, k: int, percent: int, chosen: dict[int, tuple[int, int]], passes: int = 1, turn: int = 0) -> DataFrame:
+    """signature long, a long: index entries of each distinct set, mostly once from each task; those of one turn alone."""
 
     def run(batches):
         recent = Recent()
@@ -295,6 +305,9 @@ def entries(df: DataFrame, k: int, percent: int, chosen: dict[int, tuple[int, in
             some = recent.fresh(a)
             mine, doc = spread(shingles, first, some)
             keys, owner = signatures(mine, np.searchsorted(doc, np.arange(len(some) + 1)), percent, chosen)
+            if passes > 1:
+                mine = (keys >> np.uint64(32)) % np.uint64(passes) == turn
+                keys, owner = keys[mine], owner[mine]
             yield pa.RecordBatch.from_pydict({"signature": pa.array(keys.view(np.int64)), "a": pa.array(a[some][owner])})
 
     return as_arrow(df.select("text"), run, "signature long, a long")
@@ -379,7 +392,7 @@ def changed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 COMPARED = "x long, y long, n long, n_y long, d long, near boolean, gained binary, lost binary"
 
 
-def compared(df: DataFrame, votes: DataFrame, k: int, percent: int) -> DataFrame:
+def compared(df: DataFrame, votes: DataFrame, k: int, percent: int, passes: int = 1) -> DataFrame:
     """Each set x with each leader y: their sizes n and n_y, in how many shingles d they differ, whether they link, and, for
     leaders of several sets, which shingles x has gained and lost."""
     spark = df.sparkSession
@@ -411,8 +424,14 @@ def compared(df: DataFrame, votes: DataFrame, k: int, percent: int) -> DataFrame
 
     leaders = votes.groupBy("leader").agg((F.count(F.lit(1)) > 1).alias("several"))
     pairs = votes.join(leaders, "leader").select(F.col("a").alias("x"), F.col("leader").alias("y"), "several")
-    joined = pairs.join(held.select(F.col("a").alias("x"), F.col("held").alias("held_x")), "x").join(held.select(F.col("a").alias("y"), F.col("held").alias("held_y")), "y")
-    out = saved(as_arrow(joined.select("x", "y", "several", "held_x", "held_y"), test, COMPARED), "compared")
+    held_x, held_y = (held.select(F.col("a").alias(c), F.col("held").alias(f"held_{c}")) for c in ("x", "y"))
+
+    def tested(turn: int) -> DataFrame:
+        now = F.lit(True) if passes == 1 else F.pmod(F.xxhash64("x"), F.lit(passes)) == turn
+        joined = pairs.where(now).join(held_x.where(now), "x").join(held_y, "y")
+        return as_arrow(joined.select("x", "y", "several", "held_x", "held_y"), test, COMPARED)
+
+    out = in_turns(tested, passes, "compared")
     freed(held)
     return out
 
@@ -514,13 +533,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_sets(df: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def link_sets(df: DataFrame, k: int, percent: int, passes: int = 1) -> tuple[DataFrame, DataFrame]:
     """(sets of all documents, a and label of the sets in components of several)."""
     described, chosen = describe(df.select("doc_id", "text"), k, percent)
-    index = saved(led(entries(df, k, percent, chosen)), "index")
+    index = in_turns(lambda turn: led(entries(df, k, percent, chosen, passes, turn)), passes, "index")
     votes = trimmed(index, described, chosen)
     freed(index)
-    tested = compared(df, votes, k, percent)
+    tested = compared(df, votes, k, percent, passes)
     labels = components(tested.where("near").select("x", "y"))
     more = between(tested, labels, percent)
     freed(votes, tested)
@@ -560,11 +579,11 @@ def join(df: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def distinct(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+def distinct(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", passes: int = 1) -> DataFrame:
     """The rows of df without near duplicates: of each component the row of the least doc_id stays (a null counts as greatest,
     of equal rows one stays); rows without words all stay."""
     docs = df.select("doc_id", F.col(text).alias("text"))
-    described, labels = link_sets(docs, k, percent)
+    described, labels = link_sets(docs, k, percent, passes)
     rows = named(described, labels)
     if keyed(described, "doc_id"):
         gone = saved(rows.where("n_shingles > 0 and doc_id <> least").select("doc_id"), "gone")
