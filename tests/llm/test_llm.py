@@ -440,6 +440,22 @@ def test_suffix_splits_anchors_of_many_fragments(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     met, repeats = [], suffix.repeats
     monkeypatch.setattr(suffix, "repeats", lambda sent: met.extend(sent.where("body is not null").groupBy("anchor").agg(F.countDistinct("body").alias("n")).collect()) or repeats(sent))
+def test_suffix_arrays_end_at_the_length_of_a_string(monkeypatch):
+    """Nearly equal fragments are not told apart beyond the bytes that decide."""
+    rng = np.random.default_rng(4)
+    same = rng.integers(0, 4, 112, np.uint8).tobytes()
+    bodies = [*(same + bytes([k]) for k in range(8)), same[:70], same[20:75] + b"x"]
+    docs, sorts, argsort = np.arange(10)[::-1], [], np.argsort
+    monkeypatch.setattr(suffix.np, "argsort", lambda *a, **b: sorts.append(len(a[0])) or argsort(*a, **b))
+    least = suffix.least_documents(bodies, docs)
+    assert len(sorts) <= 4  # by 7 bytes, 14, 28 and 56
+    first = {}
+    for d, b in sorted(zip(docs.tolist(), bodies, strict=True)):
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], d)
+    assert [x.tolist() for x in least] == [[first[b[p : p + 50]] for p in range(len(b) - 49)] for b in bodies]
+
+
     out = suffix.dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert collections.Counter(map(tuple, out)) == plain_removal(rows)
     assert sum(r.n_removed > 0 for r in out) >= 20
