@@ -3,8 +3,10 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -375,6 +377,26 @@ def test_jaccard_in_turns(docs):
     assert sorted_rows(jaccard.distinct(docs, passes=3)) == sorted_rows(jaccard.distinct(docs))
 
 
+def test_jaccard_keeps_what_is_still_needed(docs, monkeypatch):
+    made, saved, left = {}, jaccard.saved, []
+
+    def seen(df, name):
+        if name in ("first-ones", "between"):  # what is on disk at the steps that deal out most
+            left.append({k for k, tables in made.items() for t in tables if any(os.path.exists(urllib.parse.urlparse(f).path) for f in t.inputFiles())})
+        out = saved(df, name)
+        made.setdefault(name, []).append(out)
+        if name == "held":
+            roles.extend(out.select("member", "leads").collect())
+        return out
+
+    roles = []
+    monkeypatch.setattr(jaccard, "saved", seen)
+    jaccard.distinct(docs, passes=2)
+    assert all(r.member or r.leads for r in roles) and not all(r.leads for r in roles)  # leaders alone are dealt as such
+    assert "members" in left[0] and not {"compared", "votes", "mixed"} & left[0]
+    assert "meeting" in left[1] and not {"members", "first-ones"} & left[1]
+
+
 def test_jaccard_on_empty_table(nothing):
     assert jaccard.join(nothing).count() == 0 and jaccard.distinct(nothing).count() == 0
 
@@ -418,6 +440,22 @@ def test_passages_of_few_letters(spark):
     assert collections.Counter(map(tuple, out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == plain_removal(made)
 
 
+def test_suffix_arrays_end_at_the_length_of_a_string(monkeypatch):
+    """Nearly equal fragments are not told apart beyond the bytes that decide."""
+    rng = np.random.default_rng(4)
+    same = rng.integers(0, 4, 112, np.uint8).tobytes()
+    bodies = [*(same + bytes([k]) for k in range(8)), same[:70], same[20:75] + b"x"]
+    docs, sorts, argsort = np.arange(10)[::-1], [], np.argsort
+    monkeypatch.setattr(suffix.np, "argsort", lambda *a, **b: sorts.append(len(a[0])) or argsort(*a, **b))
+    least = suffix.least_documents(bodies, docs)
+    assert len(sorts) <= 4  # by 7 bytes, 14, 28 and 56
+    first = {}
+    for d, b in sorted(zip(docs.tolist(), bodies, strict=True)):
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], d)
+    assert [x.tolist() for x in least] == [[first[b[p : p + 50]] for p in range(len(b) - 49)] for b in bodies]
+
+
 def test_suffix_shards_agree(docs, rows, monkeypatch):
     monkeypatch.setattr(suffix, "SHARD", 400)  # an anchor goes on over several shards
     bodies = [(b"0123456789" * 12)[k : k + 60 + k] for k in range(8)] * 3
@@ -440,22 +478,6 @@ def test_suffix_splits_anchors_of_many_fragments(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     met, repeats = [], suffix.repeats
     monkeypatch.setattr(suffix, "repeats", lambda sent: met.extend(sent.where("body is not null").groupBy("anchor").agg(F.countDistinct("body").alias("n")).collect()) or repeats(sent))
-def test_suffix_arrays_end_at_the_length_of_a_string(monkeypatch):
-    """Nearly equal fragments are not told apart beyond the bytes that decide."""
-    rng = np.random.default_rng(4)
-    same = rng.integers(0, 4, 112, np.uint8).tobytes()
-    bodies = [*(same + bytes([k]) for k in range(8)), same[:70], same[20:75] + b"x"]
-    docs, sorts, argsort = np.arange(10)[::-1], [], np.argsort
-    monkeypatch.setattr(suffix.np, "argsort", lambda *a, **b: sorts.append(len(a[0])) or argsort(*a, **b))
-    least = suffix.least_documents(bodies, docs)
-    assert len(sorts) <= 4  # by 7 bytes, 14, 28 and 56
-    first = {}
-    for d, b in sorted(zip(docs.tolist(), bodies, strict=True)):
-        for p in range(len(b) - 49):
-            first.setdefault(b[p : p + 50], d)
-    assert [x.tolist() for x in least] == [[first[b[p : p + 50]] for p in range(len(b) - 49)] for b in bodies]
-
-
     out = suffix.dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert collections.Counter(map(tuple, out)) == plain_removal(rows)
     assert sum(r.n_removed > 0 for r in out) >= 20

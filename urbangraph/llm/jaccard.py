@@ -396,7 +396,7 @@ def compared(df: DataFrame, votes: DataFrame, k: int, percent: int, passes: int
     """Each set x with each leader y: their sizes n and n_y, in how many shingles d they differ, whether they link, and, for
     leaders of several sets, which shingles x has gained and lost."""
     spark = df.sparkSession
-    needed = spark.sparkContext.broadcast(bit_filter(votes.select(F.explode(F.array("a", "leader")).alias("a")), "a", FILTER_BITS))  # 2 MB
+    members, leading = (spark.sparkContext.broadcast(bit_filter(votes, c, FILTER_BITS)) for c in ("a", "leader"))  # 2 MB each
 
     def pick(batches):
         recent = Recent()
@@ -404,11 +404,14 @@ def compared(df: DataFrame, votes: DataFrame, k: int, percent: int, passes: int
             shingles, first = sets(batch.column("text"), k)
             a = digests(shingles, first)
             some = recent.fresh(a)
-            some = some[(np.diff(first)[some] > 0) & has_bit(needed.value, a[some], FILTER_BITS)]
+            member, leads = (has_bit(x.value, a[some], FILTER_BITS) for x in (members, leading))
+            kept = (np.diff(first)[some] > 0) & (member | leads)
+            some, member, leads = some[kept], member[kept], leads[kept]
             if len(some):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a[some]), "held": pa.array([shingles[first[i] : first[i + 1]].tobytes() for i in some.tolist()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a[some]), "member": pa.array(member), "leads": pa.array(leads), "held": pa.array([shingles[first[i] : first[i + 1]].tobytes() for i in some.tolist()], pa.binary())})
 
-    held = saved(as_arrow(df.select("text"), pick, "a long, held binary").groupBy("a").agg(F.min("held").alias("held")), "held")
+    held = as_arrow(df.select("text"), pick, "a long, member boolean, leads boolean, held binary")
+    held = saved(held.groupBy("a", "member", "leads").agg(F.min("held").alias("held")), "held")
 
     def test(batches):
         for batch in pieces(batches, "held_y"):
@@ -424,7 +427,7 @@ def compared(df: DataFrame, votes: DataFrame, k: int, percent: int, passes: int
 
     leaders = votes.groupBy("leader").agg((F.count(F.lit(1)) > 1).alias("several"))
     pairs = votes.join(leaders, "leader").select(F.col("a").alias("x"), F.col("leader").alias("y"), "several")
-    held_x, held_y = (held.select(F.col("a").alias(c), F.col("held").alias(f"held_{c}")) for c in ("x", "y"))
+    held_x, held_y = (held.where(role).select(F.col("a").alias(c), F.col("held").alias(f"held_{c}")) for c, role in (("x", "member"), ("y", "leads")))
 
     def tested(turn: int) -> DataFrame:
         now = F.lit(True) if passes == 1 else F.pmod(F.xxhash64("x"), F.lit(passes)) == turn
@@ -437,7 +440,7 @@ def compared(df: DataFrame, votes: DataFrame, k: int, percent: int, passes: int
 
 
 def between(tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """x, y: labels of components that a link between two sets of one leader joins."""
+    """x, y: labels of components that a link between two sets of one leader joins. `tested`, a saved table, goes once its part is copied."""
     spark = tested.sparkSession
     up, down = 100 - percent, 100 + percent  # sets link if d * down <= up * (n + n_y)
     own = small(labels).select(F.col("a").alias("x"), "label")
@@ -445,6 +448,7 @@ def between(tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     groups = members.groupBy("y").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     groups = saved(groups.select("y"), "mixed")
     members = saved(members.join(small(groups), "y", "left_semi"), "members")
+    freed(groups, tested)
 
     def repeated(batches):  # a leader's sets come together, so that its common shingles meet in a batch
         for batch in pieces(batches, "lost"):
@@ -491,7 +495,16 @@ def between(tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     which = (F.col("f.pair") == F.col("g.pair")) & (F.col("f.y") == F.col("g.y")) & (F.col("f.label") != F.col("g.label")) & (F.col("g.near") | (F.col("f.far") & F.col("g.far") & (F.col("f.x") < F.col("g.x"))))
     pairs = f.join(g, which & enough).groupBy(F.least("f.x", "g.x").alias("x"), F.greatest("f.x", "g.x").alias("z")).agg(F.min("f.y").alias("y"))
     pairs = saved(pairs, "pairs")
-    whole = members.select("x", "y", "n", "label", F.concat("gained", "lost").alias("held"))
+    end = F.xxhash64("x", "y").alias("end")
+    ends = spark.sparkContext.broadcast(bit_filter(pairs.select("y", F.explode(F.array("x", "z")).alias("x")).select(end), "end", OFTEN_BITS))  # 8 MB
+
+    def meeting(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(has_bit(ends.value, batch.column("end").to_numpy(), OFTEN_BITS)))
+
+    whole = as_arrow(members.select("x", "y", "n", "label", F.concat("gained", "lost").alias("held"), end), meeting, "x long, y long, n long, label long, held binary, end long")
+    whole = saved(whole.drop("end"), "meeting")
+    freed(members, found)
     sides = [whole.select("y", F.col("x").alias(c), F.col("n").alias(f"n_{c}"), F.col("label").alias(f"label_{c}"), F.col("held").alias(f"held_{c}")) for c in ("x", "z")]
 
     def test(batches):
@@ -506,7 +519,7 @@ def between(tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     joined = pairs.join(sides[0], ["x", "y"]).join(sides[1], ["z", "y"]).select("n_x", "n_z", "label_x", "label_z", "held_x", "held_z")
     out = saved(as_arrow(joined, test, "x long, y long").distinct(), "between")
-    freed(groups, members, found, pairs)
+    freed(whole, pairs)
     return out
 
 
@@ -540,9 +553,9 @@ def link_sets(df: DataFrame, k: int, percent: int, passes: int = 1) -> tuple[Dat
     votes = trimmed(index, described, chosen)
     freed(index)
     tested = compared(df, votes, k, percent, passes)
+    freed(votes)
     labels = components(tested.where("near").select("x", "y"))
     more = between(tested, labels, percent)
-    freed(votes, tested)
     if more.take(1):
         joined = small(components(more)).select(F.col("a").alias("label"), F.col("label").alias("top"))
         single = joined.select(F.col("label").alias("a"), F.col("top").alias("label"))  # roots aren't named in labels
