@@ -398,3 +398,17 @@ def test_polygons_with_holes(spark):
     points = segment_map.region_points(spark.createDataFrame([(1, rings), (2, None), (3, [])], "region_id long, rings array<array<struct<x:double,y:double>>>"), 20.0).orderBy("k").collect()
     want = [p for ring in rings for p in plain_region_points(ring, 20.0)]
     assert [r.k for r in points] == list(range(len(want))) and [(r.x, r.y) for r in points] == [pytest.approx(p) for p in want]
+
+
+def test_outlines_hold_a_ring_a_row(spark, monkeypatch):
+    rng = random.Random(7)
+    pixels = spark.createDataFrame([(x, y, 0.2 if rng.random() < 0.7 else 0.05) for x in range(40) for y in range(30)], "ix int, iy int, value double").repartition(3)
+    whole = {(r.category, r.polygon): r.rings for r in raster.polygons(pixels, resolution=2.0).collect()}
+    assert max(map(len, whole.values())) > 20  # many holes
+    monkeypatch.setattr(raster, "RUNS", 7)
+    monkeypatch.setattr(raster, "CORNERS", 5)
+    rows = raster.outlines(pixels, resolution=2.0, tile=9).collect()
+    found = {}
+    for r in sorted(rows, key=lambda r: r.place):
+        found.setdefault((r.category, r.polygon), []).append(r.ring)
+    assert found == whole and len(rows) == sum(map(len, whole.values()))
